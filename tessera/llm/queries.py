@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, lines, mix, sql
+from . import exact, lines, mix, near, packing, sql
 from .shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": lambda spark, d: mix.mix_counts(read(spark, d, "documents")),
+    "op3_pack": lambda spark, d: packing.packed_digests(packing.pack(read(spark, d, "documents"))),
     "op4_line_dedup": lambda spark, d: lines.dedup_lines(read(spark, d, "documents")),
     "op8_exact_dedup": lambda spark, d: exact.exact_groups(read(spark, d, "documents")),
+    "op9_near_dedup": lambda spark, d: near.near_duplicates(read(spark, d, "documents")),
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_mix": sql.MIX, "op4_line_dedup": sql.LINES, "op8_exact_dedup": sql.EXACT}
