@@ -7,10 +7,11 @@ often. The join itself is exact: the signature is split into CHUNKS chunks that
 errors with sum(e_i + 1) = DISTANCE + 1, and two signatures within DISTANCE agree in some chunk up to its
 errors. Each way to leave out e_i minima of chunk i is a key, so every such pair shares a key.
 
-Documents with equal shingle sets meet first and only one of them goes on. In a bucket all members are
-compared with its smallest member; where a bucket then still holds several components, the pairs that lie
-across components are compared as well, so a large group of near copies costs about its size and no link
-between components is lost. Links are confirmed on the full sets.
+Documents with equal shingle sets meet first and only one of them goes on. A shingle that no other candidate
+has can't be in an intersection, which bounds a pair's similarity before its sets are fetched. In a bucket
+all members are compared with its smallest member; where a bucket then still holds several components, the
+pairs that lie across components and pass that bound are compared as well, each in the first bucket that it
+shares, so no link between components is lost. Links are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -83,15 +84,25 @@ def keys_of(signs: np.ndarray, plan: list[tuple[list[int], int]]) -> np.ndarray:
     return np.stack(out, axis=1).view(np.int64)
 
 
-def differing(a: Column, b: Column, longs: int) -> Column:
-    """How many of the 16-bit lanes of two arrays of longs differ."""
+def key_masks(plan: list[tuple[list[int], int]]) -> list[int]:
+    """The minima that each key covers, as bits of a signed long placed as in difference()."""
+    masks = []
+    for columns, errors in plan:
+        for gone in combinations(columns, errors):
+            bits = sum(1 << (16 * (c % 4) + c // 4) for c in columns if c not in gone)
+            masks.append(bits - (1 << 64) if bits >> 63 else bits)
+    return masks
+
+
+def difference(a: Column, b: Column) -> Column:
+    """A long with a bit for each of the 64 minima, set where two signatures (16 longs of 4 minima) differ."""
 
     def lanes(x: Column) -> Column:
         for n in (8, 4, 2, 1):
             x = x.bitwiseOR(F.shiftrightunsigned(x, n))
-        return F.bit_count(x.bitwiseAND(F.lit(0x0001000100010001)))
+        return x.bitwiseAND(F.lit(0x0001000100010001))
 
-    return reduce(lambda x, y: x + y, [lanes(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(longs)])
+    return reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(lanes(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))), i) for i in range(HASHES // 4)])
 
 
 def _sketch(words: int, hashes: int, full: bool):
@@ -124,21 +135,22 @@ def _sketch(words: int, hashes: int, full: bool):
     return run
 
 
-def _keys(hashes: int, distance: int, chunks: int):
+def _keys(distance: int, chunks: int):
     def run(batches):
-        plan = layout(hashes, distance, chunks)
+        plan = layout(HASHES, distance, chunks)
         for batch in batches:
             if batch.num_rows:
                 signs = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.int64).view(np.uint16)
                 keys = keys_of(signs, plan)
                 ids = np.repeat(batch.column(0).to_numpy(), keys.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(ids)], names=["key", "rep"])
+                which = np.tile(np.arange(keys.shape[1], dtype=np.int32), len(keys))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(which), pa.array(ids)], names=["key", "which", "rep"])
 
     return run
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY, words: int = WORDS,
-                    hashes: int = HASHES, distance: int = DISTANCE, chunks: int = CHUNKS) -> DataFrame:
+                    distance: int = DISTANCE, chunks: int = CHUNKS) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id (smallest id reachable by links), kept (id = component_id).
 
     Words are lower-cased (A-Z) runs of anything but ASCII white space; sets hold 64-bit hashes of shingles. A
@@ -146,48 +158,60 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A null id joins the component of documents with its very set, and has none (null, kept) where there is no
     such document. An empty table gives an empty result; other columns are ignored.
     """
-    if hashes % 4:
-        raise ValueError("hashes must be a multiple of 4")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = cut(texts.mapInArrow(_sketch(words, hashes, False), "id long, n long, digest binary, sign array<long>"))
+    rows = cut(texts.mapInArrow(_sketch(words, HASHES, False), "id long, n long, digest binary, sign array<long>"))
     sets = cut(rows.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.first("sign").alias("sign")))
     reps = sets.where("rep is not null").select("rep", "sign")
-    keyed = reps.mapInArrow(_keys(hashes, distance, chunks), "key long, rep long")
-    shared = cut(keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").select("key", "pivot"))
-    members = cut(keyed.join(shared.hint("merge"), "key"))
-    involved = cut(members.select(F.col("rep").alias("id")).distinct())
-    full = cut(texts.join(involved, "id", "left_semi").mapInArrow(_sketch(words, hashes, True), "id long, n long, shingles array<long>").where("n > 0"))
+    keyed = reps.mapInArrow(_keys(distance, chunks), "key long, which int, rep long")
+    shared = cut(keyed.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key"))
+    met = cut(keyed.join(shared.hint("merge"), "key"))
+    involved = cut(met.select(F.col("rep").alias("id")).distinct())
+    full = cut(texts.join(involved, "id", "left_semi").mapInArrow(_sketch(words, HASHES, True), "id long, n long, shingles array<long>").where("n > 0"))
+
+    # own: shingles that no other candidate has. Ids of several rows are never ruled out by it.
+    single = full.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1")
+    single = single.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    sizes = full.groupBy("id").agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("c")).join(single, "id", "left")
+    sizes = sizes.select(F.col("id").alias("rep"), F.when(F.col("c") == 1, F.col("n")).alias("n"), F.when(F.col("c") == 1, F.coalesce("own", F.lit(0))).alias("own"))
+    hopeful = F.col("n").isNull() | (100 * (F.col("n") - F.col("own")) >= similarity * F.col("n"))
+    sizes = cut(sizes.where(hopeful))
+
+    def possible(x: str, y: str) -> Column:
+        (nx, ox), (ny, oy) = ((F.col(f"n{k}"), F.col(f"own{k}")) for k in (x, y))
+        bound = 100 * F.least(nx - ox, ny - oy) >= similarity * (ox + oy + F.greatest(nx - ox, ny - oy))
+        return nx.isNull() | ny.isNull() | bound
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        a = full.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-        b = full.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
+        a = full.select(F.col("id").alias("a"), F.col("n").alias("fa"), F.col("shingles").alias("sa"))
+        b = full.select(F.col("id").alias("b"), F.col("n").alias("fb"), F.col("shingles").alias("sb"))
         both = F.size(F.array_intersect("sa", "sb"))
-        # The sizes alone rule most far pairs out.
-        fit = 100 * F.least("na", "nb") >= similarity * F.greatest("na", "nb")
-        joined = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").where(fit)
-        return joined.where(100 * both >= similarity * (F.col("na") + F.col("nb") - both)).select("a", "b").distinct()
-
-    def close(pairs: DataFrame) -> DataFrame:
-        a, b = (reps.select(F.col("rep").alias(x), F.col("sign").alias(f"s{x}")) for x in "ab")
-        both = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b")
-        return both.where(differing(F.col("sa"), F.col("sb"), hashes // 4) <= distance).select("a", "b")
-
-    stars = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    links = cut(confirmed(cut(close(stars))))
+        joined = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b")
+        return joined.where(100 * both >= similarity * (F.col("fa") + F.col("fb") - both)).select("a", "b").distinct()
+
+    met = cut(met.join(sizes, "rep"), [met])
+    pivots = cut(met.groupBy("key").agg(F.min(F.struct("rep", "n", "own")).alias("p"), F.max("rep").alias("hi")).where("p.rep < hi").select(
+        "key", F.col("p.rep").alias("a"), F.col("p.n").alias("na"), F.col("p.own").alias("owna")))
+    members = cut(met.join(pivots.hint("merge"), "key").withColumnsRenamed({"rep": "b", "n": "nb", "own": "ownb"}))
+    stars = members.where((F.col("a") != F.col("b")) & possible("a", "b")).select("a", "b").distinct()
+    links = cut(confirmed(cut(stars)))
     found = cut(components(links))
     # Buckets whose members don't form one component yet.
-    named = members.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", "pivot", F.coalesce("component", "rep").alias("c"))
-    named = cut(named)
+    named = cut(members.where("a <> b").select("key", "which", "b", "nb", "ownb").join(found.select(F.col("id").alias("b"), "component"), "b", "left").withColumn("c", F.coalesce("component", "b")).drop("component"))
     several = cut(named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"))
-    open_ = cut(named.join(several.hint("merge"), "key").where("rep <> pivot").join(reps, "rep"))
-    left = open_.select("key", F.col("rep").alias("a"), F.col("c").alias("ca"), F.col("sign").alias("sa"))
-    right = open_.select("key", F.col("rep").alias("b"), F.col("c").alias("cb"), F.col("sign").alias("sb"))
-    across = left.hint("merge").join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-                                     & (differing(F.col("sa"), F.col("sb"), hashes // 4) <= distance))
+    rest = cut(named.join(several.hint("merge"), "key").join(reps.withColumnRenamed("rep", "b"), "b"))
+    left = rest.select("key", "which", F.col("b").alias("a"), F.col("nb").alias("na"), F.col("ownb").alias("owna"), F.col("c").alias("ca"), F.col("sign").alias("ga"))
+    right = rest.select(F.col("key").alias("key2"), "b", "nb", "ownb", F.col("c").alias("cb"), F.col("sign").alias("gb"))
+    masks = F.array([F.lit(m) for m in key_masks(layout(HASHES, distance, chunks))])
+    apart = difference(F.col("ga"), F.col("gb"))
+    near = F.bit_count(apart) <= distance
+    # A pair comes out of the first of the keys that it shares.
+    earlier = F.exists(F.array(apart), lambda x: F.exists(F.slice(masks, F.lit(1), F.col("which")), lambda m: x.bitwiseAND(m) == 0))
+    across = left.hint("merge").join(right, (F.col("key") == F.col("key2")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
+                                     & possible("a", "b") & near & ~earlier)
     more = cut(confirmed(cut(across.select("a", "b").distinct())))
     if not more.isEmpty():
         found = cut(components(links.unionByName(more)))
-    named_sets = cut(sets.select("digest", "rep").join(found, sets["rep"] == found["id"], "left").select("digest", F.coalesce("component", "rep").alias("component")))
-    out = rows.select("id", "n", "digest").join(named_sets.hint("merge"), "digest", "left")
+    of_sets = cut(sets.select("digest", "rep").join(found, sets["rep"] == found["id"], "left").select("digest", F.coalesce("component", "rep").alias("component")))
+    out = rows.select("id", "n", "digest").join(of_sets.hint("merge"), "digest", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
