@@ -2,16 +2,13 @@
 
 Unit vectors are centred, projected on their principal directions and rotated so that signs make balanced
 binary codes of little quantisation error (ITQ). Codes are split into CHUNKS chunks. Two codes within RADIUS
-bits differ by at most FLIPS bits in some chunk (pigeonhole); each side enumerates its chunk with up to half of
-these bits flipped, so such a pair meets in a table. Pairs within RADIUS are reranked by the cosine of the
+bits differ by at most FLIPS = 2 bits in some chunk (pigeonhole); each side enumerates its chunk with up to one
+bit flipped, so such a pair meets in a table, and is taken where it meets first. Pairs within RADIUS are reranked by the cosine of the
 original vectors in double precision.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -65,17 +62,32 @@ def _coder(shared):
     return run
 
 
-def chunk_keys(code: Column, flips: int) -> Column:
-    """Every chunk of a code with up to `flips` bits flipped; the chunk's number is part of the key."""
-    edges = [round(i * BITS / CHUNKS) for i in range(CHUNKS + 1)]
+EDGES = [round(i * BITS / CHUNKS) for i in range(CHUNKS + 1)]
+
+
+def chunk_keys(code: Column) -> Column:
+    """key and mask for every chunk of a code, as it is and with each bit flipped; the chunk's number is part of the key."""
     keys = []
-    for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-        masks = [reduce(lambda x, k: x | 1 << k, some, 0) for n in range(flips + 1) for some in combinations(range(b - a), n)]
+    for i, (a, b) in enumerate(zip(EDGES, EDGES[1:], strict=False)):
+        masks = F.array([F.lit(m) for m in [0, *(1 << k for k in range(b - a))]]).cast("array<bigint>")
         value = F.shiftrightunsigned(code, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).bitwiseOR(F.lit(i << 32))
-        keys.append(F.transform(F.array([F.lit(m) for m in masks]).cast("array<bigint>"), lambda m, v=value: m.bitwiseXOR(v)))
+        keys.append(F.transform(masks, _flipped(value)))
     return F.flatten(F.array(*keys))
 
 
+def _flipped(value: Column):
+    return lambda m: F.struct(value.bitwiseXOR(m).alias("key"), m.alias("mask"))
+
+
+def first_meeting(differ: Column, key: Column, left: Column, right: Column) -> Column:
+    """Of the ways two codes meet, holds for one: in the first chunk that may, with the fewest flips, the left one's lower."""
+    fewest = (right == 0) | ((left != 0) & (left < right))
+    chunk = F.shiftright(key, 32)
+    for i, (a, b) in enumerate(zip(EDGES[:-2], EDGES[1:], strict=False)):
+        fewest &= (chunk <= i) | (F.bit_count(F.shiftrightunsigned(differ, a).bitwiseAND(F.lit((1 << (b - a)) - 1))) > FLIPS)
+    return fewest
+
+
 def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE) -> DataFrame:
     """One row per row: id, n_links (other rows linked directly), component_id (smallest id reachable), kept.
 
@@ -105,12 +117,13 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     both = unit.select(F.struct("node", "label", "d", "copies").alias("rep"), "unit")
     kind = both.schema["rep"].dataType.simpleString()
     coded = cut(both.mapInArrow(_coder(shared), f"rep {kind}, code long").select("rep.*", "code"))
-    half = FLIPS // 2
-    left = coded.select("label", "d", F.col("node").alias("a"), F.col("code").alias("ca"), F.explode(chunk_keys(F.col("code"), FLIPS - half)).alias("key"))
-    right = coded.select(F.col("label").alias("l2"), F.col("d").alias("d2"), F.col("node").alias("b"), F.col("code").alias("cb"), F.explode(chunk_keys(F.col("code"), half)).alias("key2"))
-    on = (F.col("key") == F.col("key2")) & (F.col("label") == F.col("l2")) & (F.col("d") == F.col("d2")) & (F.bit_count(F.col("ca").bitwiseXOR(F.col("cb"))) <= RADIUS)
-    order = (F.col("a") < F.col("b")) if FLIPS % 2 == 0 else (F.col("a") != F.col("b"))
-    pairs = left.hint("merge").join(right, on & order).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    keyed = coded.select("label", "d", "node", "code", F.explode(chunk_keys(F.col("code"))).alias("k")).select("label", "d", "node", "code", "k.key", "k.mask")
+    left = keyed.select("label", "d", "key", F.col("node").alias("a"), F.col("code").alias("ca"), F.col("mask").alias("ma"))
+    right = keyed.select(F.col("label").alias("l2"), F.col("d").alias("d2"), F.col("key").alias("key2"), F.col("node").alias("b"), F.col("code").alias("cb"), F.col("mask").alias("mb"))
+    differ = F.col("ca").bitwiseXOR(F.col("cb"))
+    on = (F.col("key") == F.col("key2")) & (F.col("label") == F.col("l2")) & (F.col("d") == F.col("d2")) & (F.col("a") < F.col("b"))
+    on &= (F.bit_count(differ) <= RADIUS) & first_meeting(differ, F.col("key"), F.col("ma"), F.col("mb"))
+    pairs = left.hint("merge").join(right, on).select("a", "b")
     ends = [unit.select(F.col("node").alias(x), F.col("unit").alias(f"u{x}"), F.col("copies").alias(f"n{x}")) for x in "ab"]
     dot = F.aggregate(F.zip_with("ua", "ub", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
     links = cut(pairs.join(ends[0].hint("merge"), "a").join(ends[1].hint("merge"), "b").where(dot >= cosine).select("a", "b", "na", "nb"))
@@ -119,8 +132,8 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     found = components(links.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")))
     counted = unit.select("node", "copies").join(others, "node", "left").select(F.col("node.rep").alias("rep"), F.col("node.h").alias("h"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links"))
     named = cut(counted.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "h", "links", F.coalesce("component", "rep").alias("component")))
-    keyed = groups.select("label", "v", F.col("rep").cast("long").alias("rep"), F.xxhash64("label", F.transform("v", lambda x: x / largest)).alias("h"))
-    of_vectors = cut(keyed.join(named, ["rep", "h"]).select("label", "v", "links", "component"))
+    hashed = groups.select("label", "v", F.col("rep").cast("long").alias("rep"), F.xxhash64("label", F.transform("v", lambda x: x / largest)).alias("h"))
+    of_vectors = cut(hashed.join(named, ["rep", "h"]).select("label", "v", "links", "component"))
     joined = usable.join(of_vectors.hint("merge"), ["label", "v"]).select("id", "links", "component")
     rest = base.where(~F.coalesce(valid, F.lit(False))).select("id", F.lit(0).cast("long").alias("links"), F.col("id").cast("long").alias("component"))
     out = joined.unionByName(rest)
