@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, langid, lines, mix, near, packing, quality, sql, vectors
+from . import exact, langid, lines, mix, near, packing, pii, quality, sql, vectors
 from .shared import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language": lambda spark, d: langid.languages(read(spark, d, "documents")),
     "op8_exact_dedup": lambda spark, d: exact.exact_groups(read(spark, d, "documents")),
     "op9_near_dedup": lambda spark, d: near.near_duplicates(read(spark, d, "documents")),
+    "op10_pii": lambda spark, d: pii.span_digests(pii.personal_data(read(spark, d, "documents"))),
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_mix": sql.MIX, "op4_line_dedup": sql.LINES, "op8_exact_dedup": sql.EXACT}
