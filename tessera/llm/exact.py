@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, lower_ascii
+from .shared import cut, lower_ascii, sweep
 
 #: Salts per digest. The salt comes from the input partition, so a text's local winners spread over this many tasks.
 SALTS = 16
@@ -55,11 +55,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def unique_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows that repeat a staying id and text one stays."""
     groups = exact_groups(docs, id_col, text_col)
-    kept = groups.where("kept").select(F.col(id_col).alias("_kid"), F.col("text_sha256").alias("_ksha")).distinct()
-    sha = F.sha2(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), 256)
-    repeated = groups.where("kept").groupBy(id_col, "text_sha256").count().where("count > 1")
-    if repeated.isEmpty():
-        return docs.join(kept, docs[id_col].eqNullSafe(kept["_kid"]) & (sha == kept["_ksha"]), "left_semi")
-    rows = docs.withColumn("_ksha", sha).join(kept.withColumnRenamed("_kid", "_kid"), [
-        docs[id_col].eqNullSafe(F.col("_kid")), F.col("_ksha") == kept["_ksha"]], "left_semi")
-    return rows.dropDuplicates([id_col, "_ksha"]).drop("_ksha")
+    kept = groups.where("kept").groupBy(F.col(id_col).alias("_kid"), F.col("text_sha256").alias("_ksha")).agg(F.count(F.lit(1)).alias("_krows"))
+    kept = cut(kept)
+    sweep(docs.sparkSession)
+    rows = docs.withColumn("_sha", F.sha2(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), 256))
+    on = F.col(id_col).eqNullSafe(F.col("_kid")) & (F.col("_sha") == F.col("_ksha"))
+    if kept.where("_krows > 1").isEmpty():
+        return rows.join(kept.hint("merge"), on, "left_semi").drop("_sha")
+    single = rows.join(kept.where("_krows = 1").hint("merge"), on, "left_semi").drop("_sha")
+    repeated = rows.join(kept.where("_krows > 1").hint("merge"), on, "left_semi").dropDuplicates([id_col, "_sha"]).drop("_sha")
+    return single.unionByName(repeated)

@@ -94,7 +94,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """The rows of docs with their columns, each as often as the mix takes it."""
     counts = mix_counts(docs, id_col, text_col, source_col).groupBy(id_col, "source", "size").agg(
         F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    counts = counts.select(F.col(id_col).alias("_mid"), F.col("source").alias("_msource"), F.col("size").alias("_msize"), "_copies", "_rows")
+    counts = cut(counts.select(F.col(id_col).alias("_mid"), F.col("source").alias("_msource"), F.col("size").alias("_msize"), "_copies", "_rows"))
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     on = docs[id_col].eqNullSafe(counts["_mid"]) & docs[source_col].cast("string").eqNullSafe(counts["_msource"]) & (size == counts["_msize"])
     joined = docs.join(counts.where("_copies > 0"), on)
