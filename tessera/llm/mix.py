@@ -17,6 +17,8 @@ from .shared import WORD, cut
 BINS = 256
 #: A source's words come at most so many times.
 MOST = 3
+#: The random offset is turned by j / OFFSETS, j = 0, 1, ...; the turn whose words come nearest to the target is taken.
+OFFSETS = 16
 
 
 def uniform(text: Column) -> Column:
@@ -44,7 +46,7 @@ def source_targets(sizes: DataFrame, most: int = MOST, cycle: int = 3) -> DataFr
         "level", (F.col("total") - F.coalesce(F.sum("cap").over(below), F.lit(0))) / F.sum("weight").over(rest)
     )
     fits = F.col("level") <= F.col("cap") / F.col("weight")
-    per = per.withColumn("final", F.min(F.when(fits, F.col("level"))).over(all_rows))
+    per = per.withColumn("final", F.max(F.when(fits, F.col("level"))).over(all_rows))
     share = F.coalesce(F.col("final") * F.col("weight"), F.col("cap").cast("double"))
     return per.select("source", "source_size", F.least(F.col("cap").cast("double"), share).alias("target"))
 
@@ -84,8 +86,16 @@ def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = ranked.alias("r").join(of_bin.alias("b"), on).select(
         "r.id", "r.source", "r.size", "source_size", "target", "offset", (F.col("before") + F.col("at")).alias("rank"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    upto = lambda rank: F.floor(rank * F.col("ratio") + F.col("offset"))
-    out = joined.withColumn("ratio", ratio).withColumn("copies", upto(F.col("rank")) - upto(F.col("rank") - 1))
+    placed = cut(joined.withColumn("ratio", ratio))
+
+    def copies(offset: Column) -> Column:
+        return F.floor(F.col("rank") * F.col("ratio") + offset) - F.floor((F.col("rank") - 1) * F.col("ratio") + offset)
+
+    turned = [(F.col("offset") + j / OFFSETS) % 1.0 for j in range(OFFSETS)]
+    words = placed.groupBy("source", "target", "offset").agg(*[F.sum(copies(o) * F.col("size")).alias(f"w{j}") for j, o in enumerate(turned)])
+    tries = F.array(*[F.struct(F.abs(F.col(f"w{j}") - F.col("target")).alias("off"), F.lit(j).alias("j"), o.alias("o")) for j, o in enumerate(turned)])
+    best = cut(words.select("source", F.array_min(tries)["o"].alias("start")))
+    out = placed.alias("p").join(best.alias("b"), F.expr("p.source <=> b.source")).select("p.*", "start").withColumn("copies", copies(F.col("start")))
     out = out.withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
     return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "copies", "taken")
 

@@ -24,7 +24,7 @@ weighed AS (
     / (sum(weight) OVER (ORDER BY cap / weight, weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level
   FROM weighed
 ), targets AS (
-  SELECT *, least(cap::DOUBLE, coalesce((min(CASE WHEN level <= cap / weight THEN level END) OVER ()) * weight, cap::DOUBLE)) AS target,
+  SELECT *, least(cap::DOUBLE, coalesce((max(CASE WHEN level <= cap / weight THEN level END) OVER ()) * weight, cap::DOUBLE)) AS target,
     ('0x' || left(md5('mix:offset:' || coalesce(source, '')), 8))::BIGINT / 4294967296.0 AS start FROM levels
 ), ranked AS (
   SELECT k.*, row_number() OVER (PARTITION BY source ORDER BY class, bin, size, doc_id) AS rank FROM keyed k
@@ -32,10 +32,17 @@ weighed AS (
   SELECT r.doc_id, r.source, r.size, t.source_size, t.target, r.rank, t.start,
     CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS ratio
   FROM ranked r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source
+), turned AS (
+  SELECT c.*, j, (start + j / 16.0::DOUBLE) % 1.0::DOUBLE AS o FROM crossed c, range(16) t(j)
 ), counted AS (
-  SELECT *, (floor(rank * ratio + start) - floor((rank - 1) * ratio + start))::BIGINT AS copies FROM crossed
+  SELECT *, (floor(rank * ratio + o) - floor((rank - 1) * ratio + o))::BIGINT AS copies FROM turned
+), words AS (
+  SELECT source, j, abs(sum(copies * size) - any_value(target)) AS off FROM counted GROUP BY source, j
+), best AS (
+  SELECT source, j FROM words QUALIFY row_number() OVER (PARTITION BY source ORDER BY off, j) = 1
 )
-SELECT doc_id, source, size, source_size, target, copies, copies * size AS taken FROM counted
+SELECT doc_id, c.source, size, source_size, target, copies, copies * size AS taken
+FROM counted c JOIN best b ON c.source IS NOT DISTINCT FROM b.source AND c.j = b.j
 """
 
 LINES = r"""
