@@ -8,7 +8,8 @@ errors with sum(e_i + 1) = DISTANCE + 1, and two signatures within DISTANCE agre
 errors. Each way to leave out e_i minima of chunk i is a key, so every such pair shares a key.
 
 Documents with equal shingle sets meet first and only one of them goes on. A shingle that no other candidate
-has can't be in an intersection, which bounds a pair's similarity before its sets are fetched. In a bucket
+has can't be in an intersection, and each bit in which two sets' bitmaps differ is a shingle that only one of
+them has; both bound a pair's similarity from above before its sets are fetched. In a bucket
 all members are compared with its smallest member; where a bucket then still holds several components, the
 pairs that lie across components and pass that bound are compared as well, each in the first bucket that it
 shares, so no link between components is lost. Links are confirmed on the full sets.
@@ -31,6 +32,8 @@ from .shared import cut
 from .text import Hasher, constants, mix64, slices
 
 HASHES, DISTANCE, CHUNKS, WORDS = 64, 23, 16, 5
+#: Longs of a set's bitmap.
+BITMAP = 16
 #: Links have 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 85
 
@@ -63,6 +66,14 @@ def signatures(sets: list[np.ndarray], hashes: int = HASHES) -> np.ndarray:
     return (mix64(least) >> np.uint64(48)).astype(np.uint16)
 
 
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """A bitmap of 64 * BITMAP bits for each set, as longs; a shingle's bit is given by its low bits."""
+    bits = np.zeros((len(sets), 64 * BITMAP), bool)
+    for row, s in zip(bits, sets, strict=True):
+        row[s & np.uint64(64 * BITMAP - 1)] = True
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
 def layout(hashes: int = HASHES, distance: int = DISTANCE, chunks: int = CHUNKS) -> list[tuple[list[int], int]]:
     """(minima of the chunk, errors allowed in it) of each chunk, by the pigeonhole principle."""
     each, more = divmod(distance + 1, chunks)
@@ -129,8 +140,10 @@ def _sketch(words: int, hashes: int, full: bool):
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             return pa.RecordBatch.from_arrays([ids, n, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "n", "shingles"])
         signs = iter(signatures(filled, hashes).view(np.int64)) if filled else iter(())
+        bits = iter(bitmaps(filled))
         digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-        return pa.RecordBatch.from_arrays([ids, n, pa.array(digests, pa.binary()), pa.array([next(signs) if len(s) else None for s in sets], pa.list_(pa.int64()))], names=["id", "n", "digest", "sign"])
+        return pa.RecordBatch.from_arrays([ids, n, pa.array(digests, pa.binary()), pa.array([next(signs) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                                            pa.array([next(bits) if len(s) else None for s in sets], pa.list_(pa.int64()))], names=["id", "n", "digest", "sign", "bits"])
 
     return run
 
@@ -159,10 +172,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     such document. An empty table gives an empty result; other columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = cut(texts.mapInArrow(_sketch(words, HASHES, False), "id long, n long, digest binary, sign array<long>"))
-    sets = cut(rows.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.first("sign").alias("sign")))
-    reps = sets.where("rep is not null").select("rep", "sign")
-    keyed = reps.mapInArrow(_keys(distance, chunks), "key long, which int, rep long")
+    rows = cut(texts.mapInArrow(_sketch(words, HASHES, False), "id long, n long, digest binary, sign array<long>, bits array<long>"))
+    sets = cut(rows.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.first(F.struct("sign", "bits")).alias("s")))
+    sets = sets.select("digest", "rep", "s.sign", "s.bits")
+    reps = sets.where("rep is not null").select("rep", "sign", "bits")
+    keyed = reps.select("rep", "sign").mapInArrow(_keys(distance, chunks), "key long, which int, rep long")
     shared = cut(keyed.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("key"))
     met = cut(keyed.join(shared.hint("merge"), "key"))
     involved = cut(met.select(F.col("rep").alias("id")).distinct())
@@ -181,6 +195,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         bound = 100 * F.least(nx - ox, ny - oy) >= similarity * (ox + oy + F.greatest(nx - ox, ny - oy))
         return nx.isNull() | ny.isNull() | bound
 
+    def alike() -> Column:
+        """Whether the bitmaps of two sets of known size allow a link: |a + b - 2 ab| <= (100 - s) / (100 + s) * (|a| + |b|)."""
+        odd = reduce(lambda x, y: x + y, [F.bit_count(F.get("ma", F.lit(i)).bitwiseXOR(F.get("mb", F.lit(i)))) for i in range(BITMAP)])
+        return F.col("na").isNull() | F.col("nb").isNull() | (odd * (100 + similarity) <= (100 - similarity) * (F.col("na") + F.col("nb")))
+
     def confirmed(pairs: DataFrame) -> DataFrame:
         a = full.select(F.col("id").alias("a"), F.col("n").alias("fa"), F.col("shingles").alias("sa"))
         b = full.select(F.col("id").alias("b"), F.col("n").alias("fb"), F.col("shingles").alias("sb"))
@@ -199,15 +218,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = cut(members.where("a <> b").select("key", "which", "b", "nb", "ownb").join(found.select(F.col("id").alias("b"), "component"), "b", "left").withColumn("c", F.coalesce("component", "b")).drop("component"))
     several = cut(named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"))
     rest = cut(named.join(several.hint("merge"), "key").join(reps.withColumnRenamed("rep", "b"), "b"))
-    left = rest.select("key", "which", F.col("b").alias("a"), F.col("nb").alias("na"), F.col("ownb").alias("owna"), F.col("c").alias("ca"), F.col("sign").alias("ga"))
-    right = rest.select(F.col("key").alias("key2"), "b", "nb", "ownb", F.col("c").alias("cb"), F.col("sign").alias("gb"))
+    left = rest.select("key", "which", F.col("b").alias("a"), F.col("nb").alias("na"), F.col("ownb").alias("owna"), F.col("c").alias("ca"), F.col("sign").alias("ga"), F.col("bits").alias("ma"))
+    right = rest.select(F.col("key").alias("key2"), "b", "nb", "ownb", F.col("c").alias("cb"), F.col("sign").alias("gb"), F.col("bits").alias("mb"))
     masks = F.array([F.lit(m) for m in key_masks(layout(HASHES, distance, chunks))])
     apart = difference(F.col("ga"), F.col("gb"))
     near = F.bit_count(apart) <= distance
     # A pair comes out of the first of the keys that it shares.
     earlier = F.exists(F.array(apart), lambda x: F.exists(F.slice(masks, F.lit(1), F.col("which")), lambda m: x.bitwiseAND(m) == 0))
     across = left.hint("merge").join(right, (F.col("key") == F.col("key2")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-                                     & possible("a", "b") & near & ~earlier)
+                                     & possible("a", "b") & alike() & near & ~earlier)
     more = cut(confirmed(cut(across.select("a", "b").distinct())))
     if not more.isEmpty():
         found = cut(components(links.unionByName(more)))
