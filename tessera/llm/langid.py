@@ -26,7 +26,7 @@ FOLDS, HELD_OUT = 4, 2
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def suffix_automaton(codes: list[int]) -> tuple[list[dict[int, int]], None]:
+def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     """Transitions of the automaton that reads every substring of codes; state 0 is the start."""
     moves, link, length = [{}], [-1], [0]
     last = 0
@@ -53,7 +53,7 @@ def suffix_automaton(codes: list[int]) -> tuple[list[dict[int, int]], None]:
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    return moves, None
+    return moves
 
 
 class Parser:
@@ -73,12 +73,14 @@ class Parser:
         self.tables, self.bits = [], []
         for lang in self.langs:
             codes = self.codes(samples[lang])
-            moves, _ = suffix_automaton(codes.tolist())
+            moves = suffix_automaton(codes.tolist())
             # An entry is the next state's row, times 2, plus 1 where a new phrase begins.
-            start = np.ones(self.width, np.int64)
+            # One more state stands between phrases: texts begin there and letters that the sample lacks lead there.
+            between = len(moves)
+            start = np.full(self.width, between * self.width * 2 + 1, np.int64)
             for c, to in moves[0].items():
                 start[c] = to * self.width * 2 + 1
-            table = np.tile(start, (len(moves), 1))
+            table = np.tile(start, (between + 1, 1))
             for s, out in enumerate(moves):
                 for c, to in out.items():
                     table[s, c] = to * self.width * 2
@@ -115,7 +117,7 @@ class Parser:
         alive = np.searchsorted(-sizes, -np.arange(SEGMENT), side="left")  # segments longer than k
         out = np.zeros((len(texts), len(self.langs)))
         for j, table in enumerate(self.tables):
-            state, misses = np.zeros(len(owner), table.dtype), np.ones(len(owner), np.int32)
+            state, misses = np.full(len(owner), len(table) - self.width, table.dtype), np.zeros(len(owner), np.int32)
             for k in range(SEGMENT):
                 n = alive[k]
                 if not n:

@@ -81,10 +81,10 @@ def log_probabilities(w: dict, x: np.ndarray, y: np.ndarray, first: np.ndarray)
     """Natural log P(y) of each place, from prepared weights. x, y: (blocks, HALF); first: whether a block begins its text."""
     n, ones = len(x), np.ones(GROUP, np.float32)
     kv = np.empty((n, 2 * HALF, 2 * DIM + 1), np.float32)
-    np.take(w["kv"], x, axis=0, out=kv[:, HALF:])
+    np.take(w["kv"], x, axis=0, out=kv[:, HALF:], mode="clip")
     kv[1:, :HALF] = kv[:-1, HALF:]
     kv[:1, :HALF] = kv[:1, HALF:]
-    s = w["q"].take(x, axis=0) @ kv[:, :, :DIM].transpose(0, 2, 1)
+    s = w["q"].take(x, axis=0, mode="clip") @ kv[:, :, :DIM].transpose(0, 2, 1)
     if w["clip"][0]:
         np.minimum(s, np.float32(60), out=s)
     np.exp(s, out=s)
@@ -92,14 +92,14 @@ def log_probabilities(w: dict, x: np.ndarray, y: np.ndarray, first: np.ndarray)
     s[first, :, :HALF] = 0
     o = (s @ kv[:, :, DIM:]).reshape(-1, DIM + 1)
     z = (o[:, :DIM] / o[:, DIM:]) @ w["o"]
-    z += w["u"].take(x.reshape(-1), axis=0)
+    z += w["u"].take(x.reshape(-1), axis=0, mode="clip")
     z += w["b"]
     np.maximum(z, 0, out=z)
     t = y.reshape(-1)
     group = (t // GROUP).astype(np.int16)
     order = np.argsort(group, kind="stable")
     edges = np.searchsorted(group[order], np.arange(SLOTS // GROUP + 1))
-    z = z.take(order, axis=0)
+    z = z.take(order, axis=0, mode="clip")
     ts = t[order] % GROUP
     c = z @ w["c"].T
     c += w["c0"]
@@ -378,7 +378,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     spark, path = docs.sparkSession, tokenizer or default_tokenizer()
     rows = docs.select(F.col(id_col).alias("id"), lower_ascii(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
     training = rows.where(fold("id", FOLDS) != HELD_OUT)
-    vocabulary = cut(training.select("text").mapInArrow(_word_counts, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
+    # The hashes fold A-Z themselves.
+    raw = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(fold("id", FOLDS) != HELD_OUT)
+    vocabulary = cut(raw.select("text").mapInArrow(_word_counts, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
     ends = docs.select(F.col(id_col).alias("id")).where(fold("id", FOLDS) != HELD_OUT).count()
     sums = vocabulary.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, distinct = (sums.n or 0) + ends, sums.v + (ends > 0)

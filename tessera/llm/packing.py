@@ -29,8 +29,9 @@ LEAST_POWER = 256
 #: Tokens after which the plan is fixed but for its last window.
 BLOCK = 1 << 18
 END_ID = 1
-#: Runs of white space as long as this are left to the reference tokenizer.
-_LONG_SPACE = re.compile(r"\s{2000}")
+#: Texts with runs of white space as long as this are left to the `tokenizers` library.
+LONG_SPACE = 50_000
+_LONG_SPACE = re.compile(r"\s{%d}" % LONG_SPACE)
 #: How the tokenizer file splits texts before it merges bytes (fixed value, the byte-level pattern).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -66,7 +67,7 @@ class Encoder:
         self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
-        if any(x in text for x in self.special) or _LONG_SPACE.search(text):
+        if any(x in text for x in self.special) or (len(text) > LONG_SPACE and _LONG_SPACE.search(text)):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
 
