@@ -334,7 +334,7 @@ def _scorer(path: str, shared, divisor: float):
                 at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
                 often = known[at] == h if len(known) else np.zeros(len(h), bool)
                 value = np.log10((counts[at[often]] + 0.5) / divisor) if often.any() else np.zeros(0)
-                base = np.bincount(doc[often], value, minlength=n)
+                base = np.bincount(doc[often], value, minlength=n).astype(np.float64)
                 found = np.bincount(doc[often], minlength=n)
                 words = np.bincount(doc, minlength=n)
                 rare, rare_of = h[~often].view(np.int64), doc[~often]
