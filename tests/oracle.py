@@ -4,11 +4,12 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 
 
 def rows(frame):
     def plain(x):
-        if x is None or x != x:
+        if pd.isna(x):
             return None
         return f"{x:.9g}" if isinstance(x, float) else str(x)
 
