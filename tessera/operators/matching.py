@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import STOP_WORDS, keywords, normalized, percentage, redacted
+from tessera.functions import text as T
+from tessera.functions.text import STOP_WORDS, keywords, normalized
 from tessera.plans.catalog import query
 from tessera.sources.tables import table
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
-_TOKENS = rf"list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'))"
-_KEYS = f"list_filter({_TOKENS}, lambda t: length(t) >= 3 AND t NOT IN ({_STOP}))"
+_KEY = f"length(t) >= 3 AND t NOT IN ({_STOP}) AND NOT regexp_matches(t, '^[0-9]+$')"
+_KEYS = f"list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9-]+')), lambda t: {_KEY})"
 
 
 def source_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,76 +32,193 @@ m AS (SELECT source, item_id, count(*) AS matched FROM d JOIN b USING (term) GRO
 """
 
 
-@query(f"{_MATCHED} SELECT source, item_id, matched, total, 100.0::DOUBLE * matched / total AS pct FROM m JOIN n USING (item_id)")
+@query(f"{_MATCHED} SELECT source, item_id, matched, total, floor(matched * 100.0::DOUBLE / total + 0.5::DOUBLE)::BIGINT AS pct FROM m JOIN n USING (item_id)")
 def keyword_match_stats(spark, sf_dir):
-    """How many of an item's keywords a source's documents have."""
+    """How many of an item's keywords a source's documents have, and their whole percentage, halves up.
+
+    Pairs without a common keyword, at 0, aren't listed.
+    """
+    both = _matched(spark, sf_dir)
+    return both.select("source", "item_id", "matched", "total", F.floor(F.col("matched") * 100.0 / F.col("total") + 0.5).alias("pct"))
+
+
+def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source, item_id, matched, total."""
     terms = item_terms(spark, sf_dir)
     totals = terms.groupBy("item_id").agg(F.count(F.lit(1)).alias("total"))
-    matched = source_terms(spark, sf_dir).join(terms, "term").groupBy("source", "item_id").agg(F.count(F.lit(1)).alias("matched"))
-    return matched.join(totals, "item_id").select("source", "item_id", "matched", "total", percentage(F.col("matched"), F.col("total")).alias("pct"))
+    return source_terms(spark, sf_dir).join(terms, "term").groupBy("source", "item_id").agg(F.count(F.lit(1)).alias("matched")).join(totals, "item_id")
 
 
-@query(f"""WITH t AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM benchmark),
-c AS (SELECT item_id, term, count(*) AS uses FROM t WHERE length(term) >= 3 AND term NOT IN ({_STOP}) GROUP BY ALL)
+@query(f"""WITH u AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9-]+')) AS t FROM benchmark),
+c AS (SELECT item_id, t AS term, count(*) AS uses FROM u WHERE {_KEY} GROUP BY ALL)
 SELECT item_id, term, uses, row_number() OVER (PARTITION BY item_id ORDER BY uses DESC, term) AS place FROM c
-QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY uses DESC, term) <= 5""")
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY uses DESC, term) <= 8""")
 def keyword_extract_top(spark, sf_dir):
-    """The five most used keywords of an item."""
-    terms = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), 0)).alias("term"))
-    counted = terms.where((F.length("term") >= 3) & ~F.col("term").isin(*STOP_WORDS)).groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("uses"))
+    """The eight most used keywords of an item; ties by term."""
+    terms = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(T.TOKEN), 0)).alias("term"))
+    kept = terms.where((F.length("term") >= 3) & ~F.col("term").isin(*STOP_WORDS) & ~F.col("term").rlike("^[0-9]+$"))
     place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("uses"), "term"))
-    return counted.withColumn("place", place).where("place <= 5")
+    return kept.groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("uses")).withColumn("place", place).where("place <= 8")
 
 
-@query(f"""WITH d AS (SELECT DISTINCT source, unnest({_KEYS}) AS term FROM documents),
-b AS (SELECT item_id, unnest({_KEYS}) AS term FROM benchmark), s AS (SELECT DISTINCT source FROM documents)
-SELECT s.source, b.item_id, count(*) AS missing FROM s CROSS JOIN b LEFT JOIN d ON d.source = s.source AND d.term = b.term WHERE d.term IS NULL GROUP BY ALL""")
-def keyword_gap(spark, sf_dir):
-    """How many of an item's keywords a source lacks: all less those matched."""
-    terms = item_terms(spark, sf_dir)
-    have = source_terms(spark, sf_dir).join(terms, "term").groupBy("term", "item_id").agg(F.collect_set("source").alias("have"))
-    sources = table(spark, sf_dir, "documents").select("source").distinct().agg(F.collect_set("source").alias("every"))
-    lacking = terms.join(have, ["term", "item_id"], "left").join(F.broadcast(sources))  # one row: the set of sources
-    lacking = lacking.select("item_id", F.explode(F.array_except("every", F.coalesce("have", F.array().cast("array<string>")))).alias("source"))
-    return lacking.groupBy("source", "item_id").agg(F.count(F.lit(1)).alias("missing"))
+_MARKED = ("lorem", "data", "system", "time", "model")
+
+
+@query(f"""WITH p AS (SELECT doc_id, unnest(regexp_extract_all(text, '[a-zA-Z0-9-]+|[^a-zA-Z0-9-]+')) AS part FROM documents)
+SELECT doc_id, regexp_matches(part, '^[a-zA-Z0-9-]') AND regexp_replace(lower(part), '^-+|-+$', '', 'g') IN ({", ".join(f"'{w}'" for w in _MARKED)}) AS is_match,
+count(*) AS segments, sum(length(part))::BIGINT AS chars FROM p GROUP BY ALL""")
+def keyword_segments(spark, sf_dir):
+    """A text cut into words and gaps, with the marked words; nothing of it is lost."""
+    words = F.array(*[F.lit(w) for w in _MARKED])
+    parts = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.segments(F.col("text"), words)).alias("s"))
+    return parts.groupBy("doc_id", F.col("s.is_match").alias("is_match")).agg(F.count(F.lit(1)).alias("segments"), F.sum(F.length("s.text")).alias("chars"))
+
+
+TERMS = ("the", "license", "c++", "e-mail", "copyright")
+
 
+def _sql_term(term: str) -> str:
+    return rf"regexp_matches(lower(text), '(?:^|[^\p{{L}}\p{{N}}_]){term.replace('+', '[+]')}(?:$|[^\p{{L}}\p{{N}}_])')"
 
-_COMPOSITE = f"""{_MATCHED}, s AS (SELECT source, avg(length(text)) AS size FROM documents GROUP BY source)
-SELECT source, item_id, 0.7::DOUBLE * (100.0::DOUBLE * matched / total) + 0.3::DOUBLE * least(100.0::DOUBLE, size / 20.0::DOUBLE) AS score
-FROM m JOIN n USING (item_id) JOIN s USING (source)"""
 
+@query("SELECT doc_id, " + ", ".join(f"coalesce({_sql_term(t)}, false) AS t{i}" for i, t in enumerate(TERMS)) + " FROM documents")
+def whole_term_hits(spark, sf_dir):
+    """Which of a list of terms stand in a document as whole terms."""
+    return table(spark, sf_dir, "documents").select("doc_id", *[T.has_term(F.col("text"), t).alias(f"t{i}") for i, t in enumerate(TERMS)])
 
-@query(_COMPOSITE)
+
+_GAPS = f"""{_MATCHED}, h AS (SELECT item_id, count(*) AS held FROM b SEMI JOIN (SELECT DISTINCT term FROM d) x USING (term) GROUP BY item_id)"""
+
+
+@query(f"""{_GAPS} SELECT source, item_id, total - matched AS missing, held - matched AS injectable, total - held AS non_injectable,
+matched * 100.0::DOUBLE / total AS current_pct, held * 100.0::DOUBLE / total AS potential_pct FROM m JOIN n USING (item_id) JOIN h USING (item_id)""")
+def keyword_gap(spark, sf_dir):
+    """Keywords of an item that a source lacks: those that the whole corpus could supply, and those it lacks too."""
+    terms = item_terms(spark, sf_dir)
+    known = source_terms(spark, sf_dir).select("term").distinct()
+    held = terms.join(known, "term", "left_semi").groupBy("item_id").agg(F.count(F.lit(1)).alias("held"))
+    m, n, h = F.col("matched"), F.col("total"), F.col("held")
+    return _matched(spark, sf_dir).join(held, "item_id").select(
+        "source", "item_id", (n - m).alias("missing"), (h - m).alias("injectable"), (n - h).alias("non_injectable"),
+        (m * 100.0 / n).alias("current_pct"), (h * 100.0 / n).alias("potential_pct"))
+
+
+#: Headings that tell of a section (fixed values).
+SECTIONS = {
+    "summary": ("summary", "objective", "profile", "about"),
+    "experience": ("experience", "work history", "employment"),
+    "education": ("education", "academic", "degree"),
+    "skills": ("skills", "technologies", "competencies", "technical"),
+}
+WEIGHTS = {"keyword": 0.55, "skills": 0.25, "sections": 0.20}
+LONG = 8  # keywords of so many letters stand for an item's skills
+_HAS = [f"bool_or(regexp_matches(lower(coalesce(text, '')), '{'|'.join(p)}'))::INT" for p in SECTIONS.values()]
+_COMPOSITE = f"""{_MATCHED}, s AS (SELECT source, 25.0::DOUBLE * ({" + ".join(_HAS)}) AS sections FROM documents GROUP BY source),
+kb AS (SELECT item_id, count(*) AS skills FROM b WHERE length(term) >= {LONG} GROUP BY item_id),
+km AS (SELECT source, item_id, count(*) AS hits FROM d JOIN b USING (term) WHERE length(term) >= {LONG} GROUP BY source, item_id),
+c AS (SELECT source, item_id, matched * 100.0::DOUBLE / total AS keyword, coalesce(hits * 100.0::DOUBLE / skills, 0.0::DOUBLE) AS skills, sections
+FROM m JOIN n USING (item_id) JOIN s USING (source) LEFT JOIN kb USING (item_id) LEFT JOIN km USING (source, item_id))"""
+
+
+def weighted_score(keyword: Column, skills: Column, sections: Column) -> Column:
+    """0 to 100 of three parts, unrounded; the keyword part is held to its bounds."""
+    held = F.least(F.greatest(keyword, F.lit(0.0)), F.lit(100.0))
+    return held * WEIGHTS["keyword"] + skills * WEIGHTS["skills"] + sections * WEIGHTS["sections"]
+
+
+def advice(keyword: Column, skills: Column, sections: Column, missing: Column, injectable: Column) -> Column:
+    """array of rule names that hold for the part scores and the counts of missing and injectable keywords; never empty."""
+    rules = F.array_compact(F.array(
+        F.when((keyword < 60) & (missing > 0), "add_missing"),
+        F.when(injectable > 0, "use_master"),
+        F.when(skills < 60, "expand_skills"),
+        F.when(sections < 75, "add_sections"),
+        F.when((keyword >= 80) & (skills >= 80), "quantify"),
+    ))
+    return F.when(F.size(rules) == 0, F.array(F.lit("aligned"))).otherwise(rules)
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source, item_id, matched, total, keyword, skills, sections; one pass over the matches."""
+    long = F.length("term") >= LONG
+    terms = item_terms(spark, sf_dir)
+    totals = terms.groupBy("item_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(long).alias("n_skills"))
+    hits = source_terms(spark, sf_dir).join(terms, "term").groupBy("source", "item_id").agg(F.count(F.lit(1)).alias("matched"), F.count_if(long).alias("hits"))
+    text = F.lower(F.coalesce("text", F.lit("")))
+    flags = [F.bool_or(text.rlike("|".join(p))).cast("int") for p in SECTIONS.values()]
+    headed = table(spark, sf_dir, "documents").groupBy("source").agg((25.0 * sum(flags[1:], flags[0])).alias("sections"))
+    skills = F.when(F.col("n_skills") > 0, F.col("hits") * 100.0 / F.col("n_skills")).otherwise(F.lit(0.0))
+    return hits.join(totals, "item_id").join(headed, "source").select("source", "item_id", "matched", "total", (F.col("matched") * 100.0 / F.col("total")).alias("keyword"), skills.alias("skills"), "sections")
+
+
+@query(f"{_COMPOSITE} SELECT source, item_id, keyword, skills, sections, keyword * 0.55::DOUBLE + skills * 0.25::DOUBLE + sections * 0.2::DOUBLE AS score FROM c")
 def composite_score(spark, sf_dir):
-    """Keyword coverage and text size, weighed."""
-    sizes = table(spark, sf_dir, "documents").groupBy("source").agg(F.avg(F.length("text")).alias("size"))
-    both = keyword_match_stats(spark, sf_dir).join(sizes, "source")
-    return both.select("source", "item_id", (0.7 * F.col("pct") + 0.3 * F.least(F.lit(100.0), F.col("size") / 20.0)).alias("score"))
+    """Keywords matched, long keywords covered and sections headed, in per cent, and their weighted sum."""
+    return _parts(spark, sf_dir).select("source", "item_id", "keyword", "skills", "sections", weighted_score(F.col("keyword"), F.col("skills"), F.col("sections")).alias("score"))
 
 
-@query(f"""WITH c AS ({_COMPOSITE}) SELECT CASE WHEN score >= 80 THEN 'strong' WHEN score >= 50 THEN 'fair' ELSE 'weak' END AS verdict, count(*) AS pairs FROM c GROUP BY ALL""")
+@query(f"""{_COMPOSITE}, r AS (SELECT unnest(CASE WHEN len(list_filter(l, lambda x: x IS NOT NULL)) = 0 THEN ['aligned'] ELSE list_filter(l, lambda x: x IS NOT NULL) END) AS rule FROM
+(SELECT [CASE WHEN keyword < 60 AND keyword < 100 THEN 'add_missing' END, CASE WHEN skills < 60 THEN 'expand_skills' END,
+CASE WHEN sections < 75 THEN 'add_sections' END, CASE WHEN keyword >= 80 AND skills >= 80 THEN 'quantify' END] AS l FROM c))
+SELECT rule, count(*) AS pairs FROM r GROUP BY ALL""")
 def recommendations(spark, sf_dir):
-    score = F.col("score")
-    verdict = F.when(score >= 80, "strong").when(score >= 50, "fair").otherwise("weak")
-    return composite_score(spark, sf_dir).groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("pairs"))
+    """How often each piece of advice is given; no master text is at hand, so nothing is injectable."""
+    rules = advice(F.col("keyword"), F.col("skills"), F.col("sections"), F.col("total") - F.col("matched"), F.lit(0))
+    return _parts(spark, sf_dir).select(F.explode(rules).alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("pairs"))
+
+
+def _sql_each(column: str, patterns: tuple[str, ...], by: str) -> str:
+    for p in patterns:
+        flags = "gi" if p.startswith("(?i)") else "g"
+        column = f"regexp_replace({column}, '{p.removeprefix('(?i)').replace(chr(39), chr(39) * 2)}', '{by}', '{flags}')"
+    return column
 
 
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(password|token|secret|api_key)=[A-Za-z0-9]+', '[SECRET]', 'g'),
- '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+', '[EMAIL]', 'g'), '[0-9]{13,19}', '[NUMBER]', 'g') AS text FROM documents""")
+@query(f"SELECT doc_id, {_sql_each('text', T.CREDENTIALS, '[REDACTED]')} AS text FROM documents")
 def redact_secrets(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", redacted(F.col("text")).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.redacted(F.col("text")).alias("text"))
 
 
-@query(r"SELECT doc_id, sha256(trim(regexp_replace(lower(text), '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS fingerprint FROM documents")
-def content_fingerprint(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(normalized(F.col("text")), 256).alias("fingerprint"))
+@query(f"SELECT doc_id, {_sql_each('text', T.MESSAGE_CREDENTIALS, '<redacted>')} AS text FROM documents")
+def redact_messages(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.redacted_message(F.col("text")).alias("text"))
+
+
+@query(f"SELECT conv_id, turn, {_sql_each('text', tuple('(?i)' + p for p in T.INJECTIONS), '[REDACTED]')} AS text FROM conversations")
+def redact_injection(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.without_injections(F.col("text")).alias("text"))
+
+
+_EDGE = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
+
+
+@query(rf"SELECT doc_id, regexp_matches(text, '{_EDGE[0]}(?:{T.MONTHS})[a-z]*{_EDGE[1]}', 'i') AS has_month FROM documents")
+def month_presence(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.has_month(F.col("text")).alias("has_month"))
+
 
+@query(rf"""WITH y AS (SELECT doc_id, regexp_extract_all(text, '[0-9]{{4}}') AS y, regexp_matches(text, '{_EDGE[0]}(?:present|current|now|ongoing){_EDGE[1]}', 'i') AS c FROM documents)
+SELECT doc_id, CASE WHEN len(y) = 0 THEN '' WHEN c THEN array_to_string(y, ' - ') || ' - current' WHEN len(y) = 2 AND y[1] = y[2] THEN y[1] ELSE array_to_string(y, ' - ') END AS years
+FROM y WHERE y IS NOT NULL""")
+def year_keys(spark, sf_dir):
+    """The years of a text as one key."""
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", T.date_key(F.col("text")).alias("years"))
 
-@query(r"SELECT doc_id, regexp_extract_all(text, '[0-9]+')::VARCHAR[] AS numbers FROM documents WHERE regexp_matches(text, '[0-9]')".replace("regexp_extract_all(text, '[0-9]+')::VARCHAR[]", "array_to_string(regexp_extract_all(text, '[0-9]+'), ',')"))
+
+@query(r"SELECT doc_id, array_to_string(regexp_extract_all(text, '[0-9]+%|[0-9]+x|[$][0-9]+'), ',') AS metrics FROM documents WHERE regexp_matches(text, '[0-9]+%|[0-9]+x|[$][0-9]+')")
 def metrics_extracted(spark, sf_dir):
-    """Numbers of a text in their order."""
-    numbers = F.array_join(F.regexp_extract_all("text", F.lit("[0-9]+"), 0), ",")
-    return table(spark, sf_dir, "documents").where(F.col("text").rlike("[0-9]")).select("doc_id", numbers.alias("numbers"))
+    """Percentages, factors and amounts of a text in their order."""
+    return table(spark, sf_dir, "documents").where(F.col("text").rlike(T.METRIC)).select("doc_id", F.array_join(T.metrics(F.col("text")), ",").alias("metrics"))
+
+
+@query(r"""SELECT conv_id, turn, coalesce(""" + ", ".join(f"nullif(regexp_replace(regexp_extract(text, '{p.replace(chr(39), chr(39) * 2)}', 1), '[.]+$', ''), '')" for p in T.INTRODUCTIONS) + """, '') AS name FROM conversations""")
+def intro_names(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.intro_name(F.col("text")).alias("name"))
+
+
+@query(r"SELECT doc_id, sha256(trim(regexp_replace(lower(text), '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS fingerprint FROM documents")
+def content_fingerprint(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(normalized(F.col("text")), 256).alias("fingerprint"))
 
 
 @query(r"""WITH t AS (SELECT source, doc_id, unnest(list_distinct(regexp_extract_all(text, '[0-9]+'))) AS n FROM documents),
@@ -111,22 +229,16 @@ def novel_numbers(spark, sf_dir):
     return each.groupBy("source", "n").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("novel"))
 
 
-@query("SELECT doc_id, length(text) AS chars, CASE WHEN n_chars > 0 THEN length(text)::DOUBLE / n_chars ELSE 0.0::DOUBLE END AS ratio FROM documents")
-def word_ratio(spark, sf_dir):
-    size = F.length("text").cast("long")
-    return table(spark, sf_dir, "documents").select("doc_id", size.alias("chars"), F.when(F.col("n_chars") > 0, size / F.col("n_chars")).otherwise(F.lit(0.0)).alias("ratio"))
-
-
-@query(r"""SELECT page_id, length(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS chars,
-len(regexp_extract_all(html, '<[^>]*>')) AS tags FROM pages""")
-def sanitize_html(spark, sf_dir):
-    plain = F.trim(F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), r"[\x20\x09-\x0D]+", " "))
-    return table(spark, sf_dir, "pages").select("page_id", F.length(plain).cast("long").alias("chars"), F.regexp_count("html", F.lit("<[^>]*>")).cast("long").alias("tags"))
+@query(r"""SELECT source, sum(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')))::BIGINT AS words, count(*) AS docs FROM documents GROUP BY ALL""")
+def word_counts(spark, sf_dir):
+    words = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), 0))
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.sum(words).alias("words"), F.count(F.lit(1)).alias("docs"))
 
 
-@query(r"""SELECT doc_id, i AS place, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
-WHERE trim(line, ' ') <> ''""")
+@query(r"""WITH l AS (SELECT doc_id, list_filter([trim(regexp_replace(x, '^[\x20\x09-\x0D]*(?:[-*•]+|[0-9]+[.)])[\x20\x09-\x0D]*', ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))
+FOR x IN regexp_split_to_array(text, '\r?\n+')], lambda x: x <> '') AS l FROM documents)
+SELECT doc_id, i AS place, line FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM l)""")
 def split_bullets(spark, sf_dir):
-    """Non-blank lines with their places."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("k", "line"))
-    return lines.where(F.trim("line") != "").select("doc_id", (F.col("k") + 1).cast("long").alias("place"), "line")
+    """Non-blank lines without bullets, with their places."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("k", "line"))
+    return rows.select("doc_id", (F.col("k") + 1).cast("long").alias("place"), "line")
