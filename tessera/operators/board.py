@@ -13,11 +13,48 @@ COLUMNS = ("view", "click", "signup", "purchase", "error")
 _RANK = "list_position(['view', 'click', 'signup', 'purchase', 'error'], event_type)"
 
 
+BINS = 1024
+
+
+def placed(rows: DataFrame, group: str, key: str, tie: str) -> DataFrame:
+    """`rows` with position, long from 0 without gaps in each group by (key, tie).
+
+    A group isn't sorted in one task: a numeric key is cut into equal ranges, each range is numbered by
+    itself and starts at the count of those before. What is prefix-summed is BINS rows a group.
+    """
+    number = F.col(key).cast("double")
+    ends = rows.agg(F.min(number).alias("_low"), F.max(number).alias("_high"))
+    width = F.col("_high") - F.col("_low") + 1
+    cut = rows.join(F.broadcast(ends)).withColumn("_bin", F.floor((number - F.col("_low")) * BINS / width)).drop("_low", "_high")
+    earlier = Window.partitionBy(group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut.groupBy(group, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    starts = starts.select(F.col(group).alias("_g"), F.col("_bin").alias("_b"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(group, "_bin").orderBy(key, tie)) - 1
+    both = cut.withColumn("_inside", inside).join(starts, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_bin") == F.col("_b")))
+    return both.withColumn("position", F.col("_start") + F.col("_inside")).drop("_bin", "_inside", "_g", "_b", "_start")
+
+
+def moved(board: DataFrame, card: int, status: str, index: int | None) -> DataFrame:
+    """`board` (event_id, event_type, position) with one card at an index of a column, both columns closed up.
+
+    No index or one past the end appends, a negative one goes first; an unknown card changes nothing.
+    """
+    at = F.lit(None).cast("double") if index is None else F.lit(max(index, 0) - 0.5)
+    old = board.where(F.col("event_id") == card).agg(F.max("event_type").alias("_from"), F.max("position").alias("_at"))
+    here = F.col("event_id") == card
+    closed = F.col("position") - F.when((F.col("event_type") == F.col("_from")) & (F.col("position") > F.col("_at")), 1).otherwise(0)
+    size = board.where(F.col("event_type") == status).agg(F.max("position").alias("_last"))
+    end = F.coalesce(F.col("_last"), F.lit(0)) + 1.0
+    keyed = board.join(F.broadcast(old)).join(F.broadcast(size)).select(
+        *[c for c in board.columns if c not in ("event_type", "position")], F.when(here, status).otherwise(F.col("event_type")).alias("event_type"),
+        F.when(here, F.least(F.coalesce(at, end), end)).otherwise(closed.cast("double")).alias("_key"))
+    return placed(keyed, "event_type", "_key", "event_id").drop("_key")
+
+
 def cards(events: DataFrame) -> DataFrame:
     """One card per user and status, placed by its first event; the hot statuses meet after partial aggregation."""
     first = events.groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
-    place = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1
-    return first.withColumn("position", place.cast("long"))
+    return placed(first, "event_type", "event_id", "user_id")
 
 
 _CARDS = """WITH f AS (SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY ALL),
@@ -34,8 +71,7 @@ def board_columns(spark, sf_dir):
 def board_delete(spark, sf_dir):
     """Cards of every third event go; the rest close ranks."""
     left = cards(table(spark, sf_dir, "events")).where("event_id % 3 <> 0")
-    place = F.row_number().over(Window.partitionBy("event_type").orderBy("position", "event_id")) - 1
-    return left.select("event_id", F.col("event_type").alias("status"), place.cast("long").alias("position"))
+    return placed(left.drop("position"), "event_type", "event_id", "user_id").select("event_id", F.col("event_type").alias("status"), "position")
 
 
 @query(f"""{_CARDS}, m AS (SELECT event_id, CASE WHEN position % 10 = 0 THEN 'purchase' ELSE event_type END AS status, CASE WHEN position % 10 = 0 AND event_type <> 'purchase' THEN 1 ELSE 0 END AS moved, position FROM cards)
@@ -44,9 +80,9 @@ def board_bulk_move(spark, sf_dir):
     """Every tenth card of a column moves to the end of the purchases; all columns are numbered anew."""
     c = cards(table(spark, sf_dir, "events"))
     goes = F.col("position") % 10 == 0
-    moved = c.select("event_id", F.when(goes, "purchase").otherwise(F.col("event_type")).alias("status"), F.when(goes & (F.col("event_type") != "purchase"), 1).otherwise(0).alias("moved"), F.col("position").alias("old"))
-    place = F.row_number().over(Window.partitionBy("status").orderBy("moved", "old", "event_id")) - 1
-    return moved.select("event_id", "status", place.cast("long").alias("position"))
+    end = c.agg((F.max("position") + 1).alias("_end"))
+    keyed = c.join(F.broadcast(end)).select("event_id", F.when(goes, "purchase").otherwise(F.col("event_type")).alias("status"), (F.col("position") + F.when(goes & (F.col("event_type") != "purchase"), F.col("_end")).otherwise(0)).alias("key"))
+    return placed(keyed, "status", "key", "event_id").drop("key")
 
 
 @query(f"""{_CARDS}, m AS (SELECT event_id, event_type AS status, CASE WHEN position = 0 THEN 5.5::DOUBLE ELSE position END AS key FROM cards)
@@ -54,9 +90,17 @@ SELECT event_id, status, row_number() OVER (PARTITION BY status ORDER BY key) -
 def board_move(spark, sf_dir):
     """The first card of each column moves behind the sixth."""
     key = F.when(F.col("position") == 0, 5.5).otherwise(F.col("position").cast("double"))
-    moved = cards(table(spark, sf_dir, "events")).select("event_id", F.col("event_type").alias("status"), key.alias("key"))
-    place = F.row_number().over(Window.partitionBy("status").orderBy("key")) - 1
-    return moved.select("event_id", "status", place.cast("long").alias("position"))
+    keyed = cards(table(spark, sf_dir, "events")).select("event_id", F.col("event_type").alias("status"), key.alias("key"))
+    return placed(keyed, "status", "key", "event_id").drop("key")
+
+
+@query(f"""{_CARDS}, k AS (SELECT event_id, CASE WHEN event_id = 10 THEN 'error' ELSE event_type END AS status, CASE WHEN event_id = 10 THEN 1.5::DOUBLE
+ ELSE position - CASE WHEN event_type = (SELECT event_type FROM cards WHERE event_id = 10) AND position > (SELECT position FROM cards WHERE event_id = 10) THEN 1 ELSE 0 END END AS key FROM cards)
+SELECT event_id, status, row_number() OVER (PARTITION BY status ORDER BY key, event_id) - 1 AS position FROM k""")
+def board_move_across(spark, sf_dir):
+    """One card goes to the third place among the errors."""
+    out = moved(cards(table(spark, sf_dir, "events")).drop("user_id"), 10, "error", 2)
+    return out.select("event_id", F.col("event_type").alias("status"), "position")
 
 
 @query("""SELECT o_orderkey, o_orderstatus, c_name, n_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from tessera.plans.catalog import query
@@ -23,33 +24,61 @@ def latest_claim(spark, sf_dir):
     return last.select("user_id", F.col("m.event_id").alias("event_id"), F.col("m.event_type").alias("event_type"))
 
 
-@query(f"""WITH o AS (SELECT event_id, event_type, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS gap FROM events)
-SELECT event_id, CASE WHEN gap IS NULL THEN 'register' WHEN event_type = 'error' THEN 'release' WHEN gap < {LEASE_SECONDS} THEN 'busy' ELSE 'claim' END AS decision FROM o""")
-def claim_decision(spark, sf_dir):
-    """What becomes of a claim, given the time since the user's last event."""
-    from pyspark.sql import Window
+def claim_outcome(found: Column, inputs_match: Column, payload_matches: Column, completed: Column, result_exists: Column,
+                  expires: Column, inputs_current: Column, lease_ends: Column, now: Column) -> Column:
+    """What a request to confirm a preview gets, by the first check that decides; a null check fails."""
+    def fails(check: Column) -> Column:
+        return ~F.coalesce(check, F.lit(False))
 
-    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    gap = seconds - F.lag(seconds).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    rows = table(spark, sf_dir, "events").select("event_id", "event_type", gap.alias("gap"))
-    decision = F.when(F.col("gap").isNull(), "register").when(F.col("event_type") == "error", "release").when(F.col("gap") < LEASE_SECONDS, "busy").otherwise("claim")
-    return rows.select("event_id", decision.alias("decision"))
+    done = F.coalesce(completed, F.lit(False))
+    return (F.when(fails(found), "missing").when(fails(inputs_match), "conflict").when(fails(payload_matches), "invalid")
+            .when(done & fails(result_exists), "deleted").when(done, "replay").when(expires <= now, "expired")
+            .when(fails(inputs_current), "stale").when(lease_ends > now, "busy").otherwise("granted"))
 
 
-@query(f"SELECT event_type, count(*) FILTER (ts < (SELECT max(ts) FROM events) - INTERVAL {TTL_SECONDS} SECOND) AS expired, count(*) AS entries FROM events GROUP BY ALL")
+@query(f"""WITH o AS (SELECT *, lag(ts) OVER w AS before, lag(event_type) OVER w AS kind, lag(value) OVER w AS was FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT event_id, CASE WHEN before IS NULL THEN 'missing' WHEN event_type = 'error' THEN 'conflict' WHEN value < 1 THEN 'invalid' WHEN kind = 'purchase' AND was < 5 THEN 'deleted'
+WHEN kind = 'purchase' THEN 'replay' WHEN before + INTERVAL {TTL_SECONDS} SECOND <= ts THEN 'expired' WHEN was < value / 10 THEN 'stale'
+WHEN before + INTERVAL {LEASE_SECONDS} SECOND > ts THEN 'busy' ELSE 'granted' END AS outcome FROM o""")
+def claim_decision(spark, sf_dir):
+    """Each event confirms the preview that the user's event before it made."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    before, kind, was = (F.lag(c).over(order) for c in ("ts", "event_type", "value"))
+    rows = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value", before.alias("before"), kind.alias("kind"), was.alias("was"))
+    seconds = [F.col("before") + F.expr(f"INTERVAL {n} SECONDS") for n in (TTL_SECONDS, LEASE_SECONDS)]
+    outcome = claim_outcome(
+        F.col("before").isNotNull(), F.col("event_type") != "error", F.col("value") >= 1, F.col("kind") == "purchase", F.col("was") >= 5,
+        seconds[0], F.col("was") >= F.col("value") / 10, seconds[1], F.col("ts"))
+    return rows.select("event_id", outcome.alias("outcome"))
+
+
+@query(f"""WITH n AS (SELECT max(ts) AS now FROM events), l AS (SELECT user_id, event_type, max(ts) AS made, bool_or(event_type = 'purchase') AS done FROM events GROUP BY ALL)
+SELECT user_id, event_type FROM l, n WHERE done OR made + INTERVAL {TTL_SECONDS} SECOND > now""")
 def expire_previews(spark, sf_dir):
+    """A user's previews that stay: completed ones, and those whose time hasn't run out."""
     events = table(spark, sf_dir, "events")
-    newest = events.agg(F.max("ts").alias("newest"))
-    old = F.col("ts") < F.col("newest") - F.expr(f"INTERVAL {TTL_SECONDS} SECONDS")
-    return events.join(F.broadcast(newest)).groupBy("event_type").agg(F.count_if(old).alias("expired"), F.count(F.lit(1)).alias("entries"))
+    now = events.agg(F.max("ts").alias("now"))
+    made = events.groupBy("user_id", "event_type").agg(F.max("ts").alias("made"))
+    alive = (F.col("event_type") == "purchase") | (F.col("made") + F.expr(f"INTERVAL {TTL_SECONDS} SECONDS") > F.col("now"))
+    return made.join(F.broadcast(now)).where(alive).select("user_id", "event_type")
 
 
-@query("SELECT c_custkey, c_nationkey, c_custkey = min(c_custkey) OVER (PARTITION BY c_nationkey) AS is_master FROM customer")
+@query("""SELECT user_id, coalesce(min(event_id) FILTER (event_type NOT IN ('error', 'view')), max(event_id)) AS master FROM events GROUP BY ALL""")
 def elect_master(spark, sf_dir):
-    """The earliest of each group leads; aggregated before it is joined back."""
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    lead = customers.groupBy("c_nationkey").agg(F.min("c_custkey").alias("lead"))
-    return customers.join(lead, "c_nationkey").select("c_custkey", "c_nationkey", (F.col("c_custkey") == F.col("lead")).alias("is_master"))
+    """Who leads after all of a user's inserts: a new row takes the lead where there is none or the leader failed or is at work.
+
+    So the first sound row leads for good, or else the last row does: one aggregation, no fold.
+    """
+    sound = ~F.col("event_type").isin("error", "view")
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.coalesce(F.min(F.when(sound, F.col("event_id"))), F.max("event_id")).alias("master"))
+
+
+@query("""WITH h AS (SELECT source, doc_id, sha256(coalesce(text, '')) AS h FROM documents), f AS (SELECT source, h, min(doc_id) AS first_doc FROM h GROUP BY ALL)
+SELECT source, count(*) AS misses FROM f GROUP BY ALL""")
+def cache_misses(spark, sf_dir):
+    """How many contents a source has to have worked out: equal hashes are found in the cache."""
+    hashed = table(spark, sf_dir, "documents").select("source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
+    return hashed.distinct().groupBy("source").agg(F.count(F.lit(1)).alias("misses"))
 
 
 @query("SELECT e.event_id FROM events e WHERE e.event_type <> 'error' AND NOT EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'error')")
