@@ -8,6 +8,7 @@ from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: What stays (fixed values); elements whose content goes too; link schemes that may stay.
 TAGS = ("strong", "em", "u", "a")
@@ -64,6 +65,6 @@ def clean(html: str | None) -> str | None:
     return "".join(parser.out) + "".join(f"</{t}>" for t in reversed(parser.open))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def sanitized(html: pd.Series) -> pd.Series:
     return html.map(clean, na_action="ignore")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import initials
 from tessera.plans.catalog import query
 from tessera.sources.tables import table
 
@@ -54,33 +55,67 @@ def nested_record(spark, sf_dir):
     return orders.select("o_orderkey", F.coalesce(F.size("parts"), F.lit(0)).cast("long").alias("lines"), F.coalesce(total, F.lit(0.0)).alias("quantity"))
 
 
-@query("SELECT event_type, (props->>'k')::BIGINT % 10 AS digit, count(*) AS n FROM events GROUP BY ALL")
+def json_kind(value: Column) -> Column:
+    """The kind of a JSON value given as text."""
+    return (F.when(value.startswith("{"), "object").when(value.startswith("["), "array").when(value.isin("true", "false"), "boolean")
+            .when(value.isNull() | (value == "null"), "null").when(value.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][-+]?[0-9]+)?$"), "number").otherwise("string"))
+
+
+@query("""WITH p AS (SELECT event_type, unnest(json_keys(props)) AS key, props FROM events)
+SELECT event_type, key, CASE json_type(props, '$.' || key) WHEN 'UBIGINT' THEN 'number' WHEN 'BIGINT' THEN 'number' WHEN 'DOUBLE' THEN 'number' WHEN 'VARCHAR' THEN 'string' ELSE lower(json_type(props, '$.' || key)) END AS kind,
+count(*) AS n FROM p GROUP BY ALL""")
 def key_kinds(spark, sf_dir):
-    """The open map of events by key."""
-    value = F.get_json_object("props", "$.k").cast("long")
-    return table(spark, sf_dir, "events").groupBy("event_type", (value % 10).alias("digit")).agg(F.count(F.lit(1)).alias("n"))
+    """The keys of the events' open maps with the kinds of their values."""
+    pairs = table(spark, sf_dir, "events").select("event_type", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
+    return pairs.groupBy("event_type", "key", json_kind(F.col("value")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT p_partkey, upper(left(p_name, 1)) AS monogram FROM part")
+@query(r"""SELECT p_partkey, array_to_string([upper(left(w, 1)) FOR w IN list_filter(regexp_split_to_array(p_name, '[\x20\x09-\x0D]+'), lambda w: regexp_matches(w, '^\p{L}'))[1:3]], '') AS monogram FROM part""")
 def monogram(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.upper(F.substring("p_name", 1, 1)).alias("monogram"))
+    return table(spark, sf_dir, "part").select("p_partkey", initials(F.col("p_name")).alias("monogram"))
+
 
+def alignment(tailored: DataFrame, master: DataFrame) -> DataFrame:
+    """key, value, severity of values (key, value on both sides) that the master lacks.
 
-@query("""SELECT l_suppkey, count(*) AS violations FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) JOIN part ON l_partkey = p_partkey WHERE p_size > 40 GROUP BY ALL""")
+    Info where a master value of the key contains it or lies in it, else critical. Values compare
+    in lower case; candidates meet by key alone, and what meets is reduced before it leaves the task.
+    """
+    new = tailored.select("key", F.lower("value").alias("value")).distinct()
+    old = master.select("key", F.lower("value").alias("known")).distinct()
+    lacking = new.join(old.select("key", F.col("known").alias("value")), ["key", "value"], "left_anti")
+    near = F.bool_or(F.coalesce(F.contains("known", "value") | F.contains("value", "known"), F.lit(False)))
+    return lacking.join(old.where("known <> ''"), "key", "left").groupBy("key", "value").agg(F.when(near, "info").otherwise("critical").alias("severity"))
+
+
+@query("""WITH s AS (SELECT DISTINCT l_suppkey, lower(p_type) AS v, year(l_shipdate) > 1995 AS late FROM lineitem JOIN part ON l_partkey = p_partkey),
+x AS (SELECT n.l_suppkey, n.v, (SELECT bool_or(contains(o.v, n.v) OR contains(n.v, o.v)) FROM s o WHERE NOT o.late AND o.l_suppkey = n.l_suppkey) AS near
+FROM s n WHERE n.late AND NOT EXISTS (SELECT 1 FROM s o WHERE NOT o.late AND o.l_suppkey = n.l_suppkey AND o.v = n.v))
+SELECT l_suppkey, count(*) AS violations, count(*) FILTER (near IS NOT TRUE) AS critical, greatest(0.0::DOUBLE, 1.0::DOUBLE - 0.1::DOUBLE * count(*)) AS confidence FROM x GROUP BY ALL""")
 def alignment_violations(spark, sf_dir):
-    pairs = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
-    large = table(spark, sf_dir, "part").where("p_size > 40").select(F.col("p_partkey").alias("l_partkey"))
-    return pairs.join(large, "l_partkey").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("violations"))
+    """Part types that a supplier sells after 1995 without having sold them before."""
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", (F.year("l_shipdate") > 1995).alias("late"))
+    sold = lines.join(table(spark, sf_dir, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    sold = sold.select(F.col("l_suppkey").alias("key"), F.col("p_type").alias("value"), "late").distinct()
+    found = alignment(sold.where("late").drop("late"), sold.where("NOT late").drop("late"))
+    return found.groupBy(F.col("key").alias("l_suppkey")).agg(
+        F.count(F.lit(1)).alias("violations"), F.count_if(F.col("severity") == "critical").alias("critical"), F.greatest(F.lit(0.0), 1.0 - 0.1 * F.count(F.lit(1))).alias("confidence"))
 
 
-@query("""SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'user') AS asked, max(turn) AS last_turn, arg_max(text, turn) AS last_text FROM conversations GROUP BY ALL""")
+@query("""WITH a AS (SELECT conv_id, count(*) FILTER (role = 'user') AS asked, arg_max(role, turn) = 'assistant' AS done FROM conversations GROUP BY ALL)
+SELECT conv_id, least(asked, least(15, greatest(8, asked + CASE WHEN done THEN 0 ELSE 2 END))) AS current, least(15, greatest(8, asked + CASE WHEN done THEN 0 ELSE 2 END)) AS total FROM a""")
 def wizard_progress(spark, sf_dir):
+    """Questions asked and to be expected: 8 to 15, two ahead until the assistant has the last word."""
     turns = table(spark, sf_dir, "conversations")
-    out = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.count_if(F.col("role") == "user").alias("asked"), F.max(F.struct("turn", "text")).alias("m"))
-    return out.select("conv_id", "turns", "asked", F.col("m.turn").alias("last_turn"), F.col("m.text").alias("last_text"))
+    asked = turns.groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("asked"), F.max(F.struct("turn", "role")).alias("m"))
+    total = F.least(F.lit(15), F.greatest(F.lit(8), F.col("asked") + F.when(F.col("m.role") == "assistant", 0).otherwise(2)))
+    return asked.select("conv_id", F.least("asked", total).alias("current"), total.alias("total"))
 
 
-@query("""SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS chars_so_far FROM conversations""")
+@query("""SELECT conv_id, max(turn) AS turn, arg_max(text, turn) AS text FROM conversations c WHERE turn < (SELECT max(turn) FROM conversations m WHERE m.conv_id = c.conv_id) GROUP BY ALL""")
 def wizard_last_snapshot(spark, sf_dir):
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sum(F.length("text").cast("long")).over(order).alias("chars_so_far"))
+    """Undo: what a conversation was before its last turn, which is the last but one."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    last = turns.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    before = turns.join(last, "conv_id").where("turn < last").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("m"))
+    return before.select("conv_id", "m.turn", "m.text")

@@ -24,6 +24,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from tessera.operators import board, matching, monitor, records, state  # noqa: F401
+    from tessera.operators import board, documents, matching, monitor, records, state  # noqa: F401
 
     return QUERIES, SQL
