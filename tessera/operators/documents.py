@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.functions import html, jsontext
-from tessera.operators import patches, similarity
+from tessera.functions import html, jsontext, phrases
+from tessera.operators import patches, scorers, similarity
 from tessera.plans.catalog import query
 from tessera.sources.tables import table
 
@@ -98,3 +98,45 @@ def merge_preserve(spark, sf_dir):
 
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(texts("user").alias("source"), texts("assistant").alias("candidate"))
     return similarity.merge_preserve(rows, "source", "candidate").select("conv_id", F.size("merged").cast("long").alias("n_rows"), F.array_join("merged", "\n").alias("merged"))
+
+
+def _sql_plain(column: str) -> str:
+    for p in phrases.ORDER:
+        column = f"regexp_replace({column}, '{p}', '{phrases.PHRASES[p]}', 'gi')"
+    return column
+
+
+@query(f"SELECT doc_id, {_sql_plain('text')} AS text FROM documents")
+def phrase_cleanup(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", phrases.plain_words(F.col("text")).alias("text"))
+
+
+@query("""WITH p AS (SELECT l_suppkey AS key, lower(p_type) AS k, min((l_orderkey, l_linenumber)) AS place, max(p_type) AS s FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1 GROUP BY ALL),
+h AS (SELECT DISTINCT l_suppkey AS key, lower(p_type) AS k FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 2),
+w AS (SELECT DISTINCT l_suppkey AS key, lower(p_type) AS k FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 3)
+SELECT p.key, CASE WHEN h.k IS NOT NULL THEN 'existing' WHEN w.k IS NOT NULL THEN 'jd_added' WHEN contains(lower(s_name) || ' standard economy', p.k) THEN 'supported_by_resume' ELSE 'unsupported' END AS verdict, count(*) AS n
+FROM p JOIN supplier ON p.key = s_suppkey LEFT JOIN h ON p.key = h.key AND p.k = h.k LEFT JOIN w ON p.key = w.key AND p.k = w.k GROUP BY ALL""")
+def skill_targets(spark, sf_dir):
+    """What a supplier plans (first lines of orders), holds (second) and is asked for (third)."""
+    sold = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").join(table(spark, sf_dir, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+    sold = sold.select(F.col("l_suppkey").alias("key"), F.struct("l_orderkey", "l_linenumber").alias("place"), F.col("p_type").alias("skill"), F.col("l_linenumber").alias("n"))
+    texts = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.concat("s_name", F.lit(" standard economy")).alias("text"))
+    out = scorers.verified_skills(sold.where("n = 1"), sold.where("n = 2").select("key", "skill"), sold.where("n = 3").select("key", "skill"), texts)
+    return out.groupBy("key", "verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'education' ELSE '' END AS lost, CASE WHEN c_custkey % 2 = 0 THEN 'Elsewhere' ELSE '' END AS made_up, c_custkey % 5 <> 0 AS same_identity, TRUE AS is_meaningful FROM customer""")
+def tailoring_scores(spark, sf_dir):
+    """Records of which some lose a section, gain an employer or change their name."""
+    c, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
+
+    def record(name, education, *companies):
+        jobs = F.array(*[F.struct(x.alias("company")) for x in companies])
+        return F.to_json(F.struct(F.struct(name.alias("name")).alias("personalInfo"), education.alias("education"), jobs.alias("workExperience")))
+
+    school = F.array(F.struct(F.lit("Uni").alias("institution")))
+    old = record(F.col("c_name"), school, F.col("c_mktsegment"))
+    new = record(F.when(key % 5 == 0, F.lower("c_name")).otherwise(F.col("c_name")), F.when(key % 3 == 0, F.slice(school, 1, 0)).otherwise(school),
+                 F.lower("c_mktsegment"), F.when(key % 2 == 0, F.lit("Elsewhere")).otherwise(F.lit(" ")))
+    out = scorers.score_pairs(c.select("c_custkey", old.alias("original"), new.alias("tailored")))
+    return out.select("c_custkey", F.array_join("lost", ",").alias("lost"), F.array_join("made_up", ",").alias("made_up"), "same_identity", "is_meaningful")
