@@ -100,11 +100,13 @@ def has_term(text: Column, term: str, cjk: bool = True) -> Column:
     if not bare:
         return F.lit(False)
     lowered = F.lower(F.coalesce(text, F.lit("")))
+    # The term comes first and then what may stand before it, so that the matcher looks around at hits alone.
+    q = _quoted(bare)
     if not cjk:
-        return lowered.rlike(f"(?<!{WORD_CHAR}){_quoted(bare)}(?!{WORD_CHAR})")
+        return F.contains(lowered, F.lit(bare)) & lowered.rlike(f"{q}(?<!{WORD_CHAR}{q})(?!{WORD_CHAR})")
     if any(low <= ord(c) <= high for c in bare for low, high in CJK_RANGES):
         return F.contains(lowered, F.lit(bare))
-    return lowered.rlike(f"(?:(?<!{WORD_CHAR})|(?<=[{CJK}])){_quoted(bare)}(?:(?!{WORD_CHAR})|(?=[{CJK}]))")
+    return F.contains(lowered, F.lit(bare)) & lowered.rlike(f"{q}(?:(?<!{WORD_CHAR}{q})|(?<=[{CJK}]{q}))(?:(?!{WORD_CHAR})|(?=[{CJK}]))")
 
 
 def _each(text: Column, patterns: tuple[str, ...], by: str) -> Column:
