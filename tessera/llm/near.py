@@ -236,7 +236,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, but for those whose component has a smaller id."""
-    kept = cut(near_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kid")).distinct())
+def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY, distance: int = DISTANCE) -> DataFrame:
+    """The rows of docs, with all their columns, but for those whose component has a smaller id.
+
+    A smaller similarity needs a larger distance, or more of its pairs are missed.
+    """
+    kept = cut(near_duplicates(docs, id_col, text_col, similarity, distance=distance).where("kept").select(F.col(id_col).alias("_kid")).distinct())
     return docs.join(kept.hint("merge"), docs[id_col].eqNullSafe(kept["_kid"]), "left_semi")

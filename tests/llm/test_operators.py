@@ -330,3 +330,18 @@ def test_pipeline(spark):
     assert b.count() == mix.mix_counts(a).agg(F.sum("copies")).first()[0]
     a, b = by["pack"]
     assert b.agg(F.sum("length")).first()[0] == sum(r.doc_tokens for r in packing.pack(a).where("start = 0").collect())
+
+
+def test_pipeline_near_stage_links_at_80(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(104)]
+    sets = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    texts = [words, words[:52] + ["x", "y"] + words[54:], words[:30] + ["x"] + words[31:80] + ["y"] + words[81:]]
+    similar = [len(sets(words) & sets(t)) / len(sets(words) | sets(t)) for t in texts[1:]]
+    assert 0.85 < similar[0] and 0.8 <= similar[1] < 0.85
+    far = words[:20] + ["x"] + words[21:50] + ["y"] + words[51:80] + ["z"] + words[81:]
+    assert len(sets(words) & sets(far)) / len(sets(words) | sets(far)) < 0.8
+    for other, kept in ((texts[1], [1]), (texts[2], [1]), (far, [1, 2])):
+        docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other))], "doc_id long, text string")
+        assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == kept
