@@ -214,7 +214,7 @@ def _unflat(flat: np.ndarray) -> dict:
 
 
 class Slots:
-    """Slots of subword ids: the most frequent ids of the sample, the rest by escape."""
+    """Slots of subword ids: the most frequent ids of the training documents, the rest by escape."""
 
     def __init__(self, counts: np.ndarray):
         order = np.argsort(-counts, kind="stable")[: SLOTS - 2]
@@ -277,7 +277,7 @@ def fit_model(training: DataFrame, tokenizer: str) -> tuple[Slots, dict]:
     chosen = training.select("id").orderBy(order, "id").limit(INIT_ROWS).distinct()
     start = training.join(F.broadcast(chosen), "id").repartition(1).sortWithinPartitions(order, "text").select("text")
     # At most as many counts as the vocabulary has ids.
-    counted = share.unionAll(start).mapInArrow(_subword_counts(tokenizer), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    counted = training.select("text").mapInArrow(_subword_counts(tokenizer), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     from tokenizers import Tokenizer
 
     counts = np.zeros(Tokenizer.from_file(tokenizer).get_vocab_size() + 1)

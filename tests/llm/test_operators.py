@@ -345,3 +345,17 @@ def test_pipeline_near_stage_links_at_80(spark):
     for other, kept in ((texts[1], [1]), (texts[2], [1]), (far, [1, 2])):
         docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other))], "doc_id long, text string")
         assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == kept
+
+
+def test_lm_counts_all_training_documents(spark, monkeypatch):
+    import tessera.llm.lm as module
+
+    path, order = packing.default_tokenizer(), lambda i: hashlib.md5(str(i).encode()).hexdigest()
+    encoder = packing.Encoder(path)
+    # Beyond the first 1,500 rows by hash, and outside a 1/16 hash share.
+    far = {i for i in sorted(range(4000), key=order)[1500:] if int(order(i)[:4], 16) % 16}
+    texts = {i: "zyxomma quorvat " * 40 if i in far else "plain words" for i in range(4000)}
+    docs = spark.createDataFrame(list(texts.items()), "id long, text string").coalesce(1)
+    monkeypatch.setattr(module, "INIT_STEPS", 1)
+    slots, _ = module.fit_model(docs, path)
+    assert (slots.of[encoder.encode("zyxomma quorvat ")] > 1).all()
