@@ -7,13 +7,15 @@ cut into blocks of HALF tokens; a block attends to itself and the block before,
 overlap and each token is scored once, in batches with a causal mask.
 
 It is trained in numpy: first in one task on INIT_ROWS training documents, then from there in every partition
-on a share of its training documents, so what is learned from grows with the corpus; the partitions' weights
-are averaged by blocks. The base's word counts cover all training documents. Words with at least N / FREQUENT
+in one pass over all blocks of all its training documents; the partitions' weights are averaged by tokens. Subwords
+are counted over all training documents. The base's word counts cover all training documents. Words with at least N / FREQUENT
 occurrences, at most FREQUENT of them, are broadcast; all others are joined by their hash.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -29,8 +31,8 @@ from .text import Hasher, slices
 FOLDS, HELD_OUT = 5, 1
 SLOTS, GROUP, DIM, HIDDEN, HALF = 1024, 32, 16, 32, 16
 INIT_ROWS, INIT_STEPS = 1500, 3000
-#: Each partition trains on one in SHARE of its training documents for STEPS batches of BATCH blocks at most.
-SHARE, STEPS, BATCH = 16, 60, 64
+#: A step takes BATCH blocks; the pass over a partition mixes about POOL blocks at a time.
+BATCH, POOL = 64, 1 << 14
 FREQUENT = 4_000_000
 #: Tokens scored at a time.
 SCORED = 1 << 13
@@ -173,18 +175,52 @@ def train(w: dict, texts: list[np.ndarray], steps: int, seed: int = 0, rate: flo
     x, y, first, valid, _ = blocks(texts)
     before = np.concatenate([x[:1], x[:-1]])
     rng = np.random.default_rng(seed)
-    one, two = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+    adam = Adam(w)
     for n in range(1, steps + 1):
         at = rng.integers(0, len(x), BATCH)
-        _, g = gradients(w, x[at], y[at], first[at], before[at], valid[at])
-        for k in w:
-            one[k] = 0.9 * one[k] + 0.1 * g[k]
-            two[k] = 0.99 * two[k] + 0.01 * g[k] ** 2
-            step = rate * (1 - 0.9 * n / steps) * (one[k] / (1 - 0.9**n)) / (np.sqrt(two[k] / (1 - 0.99**n)) + 1e-7)
-            w[k] = (w[k] - step).astype(np.float32)
+        adam.step(gradients(w, x[at], y[at], first[at], before[at], valid[at])[1], rate * (1 - 0.9 * n / steps))
     return w
 
 
+def train_pass(w: dict, texts: Iterable[np.ndarray], seed: int = 0, rate: float = 5e-4) -> tuple[dict, int]:
+    """w after one pass of Adam over every block of texts (slots), and the tokens learned from, ends included; w itself stays."""
+    w = {k: v.copy() for k, v in w.items()}
+    adam, rng, learned = Adam(w), np.random.default_rng(seed), 0
+
+    def learn(pool: list[np.ndarray]) -> int:
+        x, y, first, valid, _ = blocks(pool)
+        before = np.concatenate([x[:1], x[:-1]])
+        order = rng.permutation(len(x))
+        for a in range(0, len(x), BATCH):
+            at = order[a : a + BATCH]
+            adam.step(gradients(w, x[at], y[at], first[at], before[at], valid[at])[1], rate / np.sqrt(1 + adam.n / 1000))
+        return int(valid.sum())
+
+    pool, size = [], 0
+    for t in texts:
+        pool.append(t)
+        size += len(t) // HALF + 1
+        if size >= POOL:
+            learned, pool, size = learned + learn(pool), [], 0
+    return w, learned + (learn(pool) if pool else 0)
+
+
+class Adam:
+    """Steps of Adam on the arrays of w, in place."""
+
+    def __init__(self, w: dict):
+        self.w, self.n = w, 0
+        self.one, self.two = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+
+    def step(self, g: dict, rate: float) -> None:
+        self.n += 1
+        for k in self.w:
+            self.one[k] = 0.9 * self.one[k] + 0.1 * g[k]
+            self.two[k] = 0.99 * self.two[k] + 0.01 * g[k] ** 2
+            step = rate * (self.one[k] / (1 - 0.9**self.n)) / (np.sqrt(self.two[k] / (1 - 0.99**self.n)) + 1e-7)
+            self.w[k] = (self.w[k] - step).astype(np.float32)
+
+
 def blocks(texts: list[np.ndarray]):
     """Inputs and targets of texts (slots) in blocks, which blocks begin a text, which places count, first block of each."""
     sizes = np.array([len(t) + 1 for t in texts])
@@ -250,15 +286,21 @@ def _subword_counts(path: str):
     return run
 
 
-def _trainer(path: str, shared, steps: int, rate: float):
+def _trainer(path: str, shared, steps: int | None):
+    """Trains for so many steps on texts held together, or by one pass over all of them."""
     def run(batches):
         encoder = Encoder(path)
         slots, w = shared.value
-        texts = [slots.encode(ids)[0] for ids in _ids(batches, encoder, 0)]
-        if texts:
-            learned = _flat(train(w, texts, steps, TaskContext.get().partitionId(), rate))
-            parts = np.array_split(learned, 64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(64, dtype=np.int32)), pa.array([p.astype("<f4").tobytes() for p in parts], pa.binary()), pa.array([float(len(texts))] * 64)], names=["part", "values", "weight"])
+        texts = (slots.encode(ids)[0] for ids in _ids(batches, encoder, 0))
+        seed = TaskContext.get().partitionId()
+        if steps is None:
+            w, weight = train_pass(w, texts, seed)
+        else:
+            held = list(texts)
+            w, weight = train(w, held, steps, seed), sum(len(t) + 1 for t in held)
+        if weight:
+            parts = np.array_split(_flat(w), 64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(64, dtype=np.int32)), pa.array([p.astype("<f4").tobytes() for p in parts], pa.binary()), pa.array([float(weight)] * 64)], names=["part", "values", "weight"])
 
     return run
 
@@ -273,20 +315,20 @@ def fit_model(training: DataFrame, tokenizer: str) -> tuple[Slots, dict]:
     """training: id, text (lower-cased, not null)."""
     spark = training.sparkSession
     order = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))
-    share = training.where(F.conv(F.substring(order, 1, 4), 16, 10).cast("int") % SHARE == 0).select("text")
+    texts = training.select("text")
     chosen = training.select("id").orderBy(order, "id").limit(INIT_ROWS).distinct()
     start = training.join(F.broadcast(chosen), "id").repartition(1).sortWithinPartitions(order, "text").select("text")
     # At most as many counts as the vocabulary has ids.
-    counted = training.select("text").mapInArrow(_subword_counts(tokenizer), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    counted = texts.mapInArrow(_subword_counts(tokenizer), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     from tokenizers import Tokenizer
 
     counts = np.zeros(Tokenizer.from_file(tokenizer).get_vocab_size() + 1)
     counts[[r.token for r in counted]] = [r.n for r in counted]
     slots, w = Slots(counts), start_weights()
     schema = "part int, values binary, weight double"
-    for rows, steps, rate in ((start, INIT_STEPS, 4e-3), (share, STEPS, 5e-4)):
+    for rows, steps in ((start, INIT_STEPS), (texts, None)):
         shared = spark.sparkContext.broadcast((slots, w))
-        learned = rows.mapInArrow(_trainer(tokenizer, shared, steps, rate), schema)
+        learned = rows.mapInArrow(_trainer(tokenizer, shared, steps), schema)
         mean = learned.groupBy("part").applyInPandas(_mean, "part int, values binary").collect()
         if mean:
             w = _unflat(np.concatenate([np.frombuffer(r["values"], "<f4") for r in sorted(mean, key=lambda r: r.part)]))

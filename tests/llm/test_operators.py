@@ -347,7 +347,7 @@ def test_pipeline_near_stage_links_at_80(spark):
         assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == kept
 
 
-def test_lm_counts_all_training_documents(spark, monkeypatch):
+def test_lm_counts_and_learns_from_all_training_documents(spark, monkeypatch):
     import tessera.llm.lm as module
 
     path, order = packing.default_tokenizer(), lambda i: hashlib.md5(str(i).encode()).hexdigest()
@@ -357,5 +357,15 @@ def test_lm_counts_all_training_documents(spark, monkeypatch):
     texts = {i: "zyxomma quorvat " * 40 if i in far else "plain words" for i in range(4000)}
     docs = spark.createDataFrame(list(texts.items()), "id long, text string").coalesce(1)
     monkeypatch.setattr(module, "INIT_STEPS", 1)
+    seen = []
+    trainer = module._trainer
+
+    def watched(*args):
+        seen.append(args)
+        return trainer(*args)
+
+    monkeypatch.setattr(module, "_trainer", watched)
     slots, _ = module.fit_model(docs, path)
     assert (slots.of[encoder.encode("zyxomma quorvat ")] > 1).all()
+    rows = docs.select("text").mapInArrow(trainer(*seen[-1]), "part int, values binary, weight double").where("part = 0").collect()
+    assert sum(r.weight for r in rows) == sum(len(encoder.encode(t)) + 1 for t in texts.values()) > 61_440
