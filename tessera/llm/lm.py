@@ -2,19 +2,25 @@
 
 The model predicts a subword from the ones before it: one attention layer whose queries, keys and values are
 tables by id plus a bias by distance, a hidden layer, and a two-level softmax over SLOTS outputs. Slot 0 is the
-text's end (and start), slot 1 escapes to the ids outside the vocabulary by their smoothed counts. Texts are
+text's end (and start), another one escapes to the ids outside the vocabulary by their smoothed counts; slots whose
+neighbours are alike share a group of the softmax, by counts of all pairs of training subwords. Texts are
 cut into blocks of HALF tokens; a block attends to itself and the block before, so windows of 2 * HALF tokens
 overlap and each token is scored once, in batches with a causal mask.
 
-It is trained in numpy: first in one task on INIT_ROWS training documents, then from there in every partition
-in one pass over all blocks of all its training documents; the partitions' weights are averaged by tokens. Subwords
-are counted over all training documents. The base's word counts cover all training documents. Words with at least N / FREQUENT
-occurrences, at most FREQUENT of them, are broadcast; all others are joined by their hash.
+Texts are encoded once, to the shared folder. Subwords are counted over all training documents. Training in
+numpy starts in one task on INIT_ROWS training documents; from there each shard of the training documents
+trains on all its blocks in one pass (every step moves the output side's tables, every INPUTS-th the input side's), and the shards' weights are averaged by tokens, in two levels, so that no
+task holds more than the square root of the shards. Shards hold about SHARD tokens and are dealt by a hash of id and
+text: neither files nor partitions change the model. The base's word counts cover all training documents. Words
+with at least N / FREQUENT occurrences, at most FREQUENT of them, are broadcast; all others are joined by their
+hash.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -30,20 +36,47 @@ from .text import Hasher, slices
 
 FOLDS, HELD_OUT = 5, 1
 SLOTS, GROUP, DIM, HIDDEN, HALF = 1024, 32, 16, 32, 16
-INIT_ROWS, INIT_STEPS = 1500, 3000
-#: A step takes BATCH blocks; the pass over a partition mixes about POOL blocks at a time.
-BATCH, POOL = 64, 1 << 14
+GROUPS = SLOTS // GROUP
+#: Rows that the first weights are trained on, passes over them at most BATCH blocks a step, and the rates of both phases.
+INIT_ROWS, INIT_STEPS, INIT_RATE, RATE = 1500, 1800, 2e-2, 3e-3
+#: A step takes BATCH blocks; the pass over a shard mixes about POOL blocks at a time and moves the input side every INPUTS steps.
+BATCH, POOL, INPUTS = 256, 1 << 14, 4
+#: Training tokens of a shard.
+SHARD = 4_000_000
+#: Rows that a set of weights travels in.
+PARTS = 64
 FREQUENT = 4_000_000
 #: Tokens scored at a time.
 SCORED = 1 << 13
+#: How ids are stored.
+IDS = "<u4"
 _FAR = np.float32(-1e9)
+_SCALE = np.float32(DIM**-0.5)
+SHAPES = {"q": (SLOTS, DIM), "kv": (SLOTS, 2 * DIM), "u": (SLOTS, HIDDEN), "o": (DIM, HIDDEN), "b": (HIDDEN,), "far": (2 * HALF,),
+          "c": (GROUPS, HIDDEN), "c0": (GROUPS,), "m": (GROUPS, GROUP, HIDDEN), "m0": (GROUPS, GROUP)}
+SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
+#: Where the tables of the output side begin.
+OUTPUT = SIZE - sum(int(np.prod(SHAPES[k])) for k in ("c", "c0", "m", "m0"))
 
 
-def start_weights(seed: int = 5) -> dict[str, np.ndarray]:
+def views(flat: np.ndarray) -> dict[str, np.ndarray]:
+    """The model's tables, as parts of one array."""
+    out, at = {}, 0
+    for name, shape in SHAPES.items():
+        n = int(np.prod(shape))
+        out[name] = flat[at : at + n].reshape(shape)
+        at += n
+    return out
+
+
+def start_weights(seed: int = 5) -> np.ndarray:
     rng = np.random.default_rng(seed)
-    shapes = {"q": (SLOTS, DIM), "k": (SLOTS, DIM), "v": (SLOTS, DIM), "u": (SLOTS, HIDDEN), "o": (DIM, HIDDEN), "b": (HIDDEN,),
-              "far": (2 * HALF,), "c": (SLOTS // GROUP, HIDDEN), "c0": (SLOTS // GROUP,), "m": (SLOTS // GROUP, GROUP, HIDDEN), "m0": (SLOTS // GROUP, GROUP)}
-    return {k: (rng.normal(size=s) * (0.3 if k in "qkvuo" else 0.1)).astype(np.float32) * np.float32(len(s) > 1) for k, s in shapes.items()}
+    flat = np.zeros(SIZE, np.float32)
+    for name, table in views(flat).items():
+        if table.ndim > 1:
+            table[:] = rng.normal(size=table.shape) * (0.1 if name in ("c", "m") else 0.3)
+    views(flat)["m0"][:] = 0
+    return flat
 
 
 _DISTANCE = np.minimum(2 * HALF - 1, np.maximum(0, HALF + np.arange(HALF)[:, None] - np.arange(2 * HALF)[None, :]))
@@ -51,31 +84,19 @@ _CAUSAL = np.where(np.arange(2 * HALF)[None, :] <= HALF + np.arange(HALF)[:, Non
 _FIRST = np.where(np.arange(2 * HALF) < HALF, _FAR, np.float32(0))
 
 
-def _attend(w: dict, x: np.ndarray, first: np.ndarray, before: np.ndarray):
-    keys = np.concatenate([before, x], axis=1)
-    q, k, v = w["q"][x], w["k"][keys], w["v"][keys]
-    s = q @ k.transpose(0, 2, 1)
-    s *= np.float32(DIM**-0.5)
-    s += w["far"][_DISTANCE] + _CAUSAL
-    s[first] += _FIRST
-    np.minimum(s, np.float32(60), out=s)
-    np.exp(s, out=s)
-    total = s.sum(axis=2, keepdims=True)
-    return keys, q, k, v, s, total
-
-
-def prepared(w: dict) -> dict:
+def prepared(flat: np.ndarray) -> dict:
     """Tables for scoring: scaled queries; keys, values and a one side by side; exp of the distances' biases, 0 where masked."""
+    w = views(flat)
     one = np.ones((SLOTS, 1), np.float32)
     bias = np.exp(np.minimum(w["far"][_DISTANCE], 20)) * (_CAUSAL == 0)
-    out = w | {"q": w["q"] * np.float32(DIM**-0.5), "kv": np.concatenate([w["k"], w["v"], one], axis=1), "bias": bias.astype(np.float32)}
+    out = w | {"q": w["q"] * _SCALE, "kv": np.concatenate([w["kv"], one], axis=1), "bias": bias.astype(np.float32)}
 
     def long(x):
         return float(np.sqrt((x.astype(np.float64) ** 2).sum(axis=-1)).max())
 
     # Bounds of all exponents, by the lengths of their factors: only larger ones need clipping.
-    z = long(w["u"]) + long(w["v"]) * float(np.linalg.norm(w["o"])) + float(np.linalg.norm(w["b"]))
-    tops = (long(out["q"]) * long(w["k"]), z * long(w["c"]) + abs(w["c0"]).max(), z * long(w["m"]) + abs(w["m0"]).max())
+    z = long(w["u"]) + long(w["kv"][:, DIM:]) * float(np.linalg.norm(w["o"])) + float(np.linalg.norm(w["b"]))
+    tops = (long(out["q"]) * long(w["kv"][:, :DIM]), z * long(w["c"]) + abs(w["c0"]).max(), z * long(w["m"]) + abs(w["m0"]).max())
     return out | {"clip": [t > 60 for t in tops]}
 
 
@@ -100,7 +121,7 @@ def log_probabilities(w: dict, x: np.ndarray, y: np.ndarray, first: np.ndarray)
     t = y.reshape(-1)
     group = (t // GROUP).astype(np.int16)
     order = np.argsort(group, kind="stable")
-    edges = np.searchsorted(group[order], np.arange(SLOTS // GROUP + 1))
+    edges = np.searchsorted(group[order], np.arange(GROUPS + 1))
     z = z.take(order, axis=0, mode="clip")
     ts = t[order] % GROUP
     c = z @ w["c"].T
@@ -108,7 +129,7 @@ def log_probabilities(w: dict, x: np.ndarray, y: np.ndarray, first: np.ndarray)
     if w["clip"][1]:
         np.minimum(c, np.float32(80), out=c)
     inner = np.empty(len(t), np.float32)
-    for g in range(SLOTS // GROUP):
+    for g in range(GROUPS):
         a, b = edges[g], edges[g + 1]
         if a < b:
             inner[a:b] = c[a:b, g]
@@ -120,72 +141,135 @@ def log_probabilities(w: dict, x: np.ndarray, y: np.ndarray, first: np.ndarray)
             np.exp(m, out=m)
             inner[a:b] -= np.log(m @ ones)
     np.exp(c, out=c)
-    inner -= np.log(c @ np.ones(SLOTS // GROUP, np.float32))
+    inner -= np.log(c @ np.ones(GROUPS, np.float32))
     out = np.empty(len(t))
     out[order] = inner
     return out.reshape(y.shape)
 
 
-def gradients(w: dict, x: np.ndarray, y: np.ndarray, first: np.ndarray, before: np.ndarray, valid: np.ndarray) -> tuple[float, dict]:
-    """Mean loss over valid places and its gradients."""
-    keys, q, k, v, s, total = _attend(w, x, first, before)
-    a = s / total
-    o = a @ v
-    pre = o @ w["o"] + w["u"][x] + w["b"]
-    z = np.maximum(pre, 0).reshape(-1, HIDDEN)
+def _summed(ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The sums of each id's rows."""
+    order = np.argsort(ids.astype(np.int16), kind="stable")
+    ids = ids[order]
+    at = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    out = np.zeros((SLOTS, rows.shape[1]), np.float32)
+    out[ids[at]] = np.add.reduceat(rows.take(order, axis=0), at, axis=0)
+    return out
+
+
+def gradients(flat: np.ndarray, x: np.ndarray, y: np.ndarray, first: np.ndarray, before: np.ndarray, valid: np.ndarray, inputs: bool = True) -> np.ndarray:
+    """Derivatives of the mean loss over valid places, laid out as the weights; those of the input side only if asked for."""
+    w, grad = views(flat), np.zeros(SIZE, np.float32)
+    g, n, ones = views(grad), len(x), np.ones(max(x.size, 2 * HALF), np.float32)
+    keys = np.concatenate([before, x], axis=1)
+    q = w["q"].take(x, axis=0)
+    q *= _SCALE
+    kv = w["kv"].take(keys, axis=0)
+    k, v = kv[:, :, :DIM], kv[:, :, DIM:]
+    a = _weights(q @ k.transpose(0, 2, 1), w["far"], first)
+    o = (a @ v).reshape(-1, DIM)
+    z = o @ w["o"]
+    z += w["u"].take(x.reshape(-1), axis=0)
+    z += w["b"]
+    np.maximum(z, 0, out=z)
     t = y.reshape(-1)
-    group, member, rows = t // GROUP, t % GROUP, np.arange(len(t))
-    scale = (valid.reshape(-1) / max(1, valid.sum())).astype(np.float32)
-
-    def softmax(x):
-        e = np.exp(x - x.max(axis=1, keepdims=True))
-        return e / e.sum(axis=1, keepdims=True)
-
-    pc = softmax(z @ w["c"].T + w["c0"])
-    of = w["m"][group]
-    pm = softmax((of @ z[:, :, None])[:, :, 0] + w["m0"][group])
-    loss = -(scale * (np.log(pc[rows, group] + 1e-20) + np.log(pm[rows, member] + 1e-20))).sum()
-    pc[rows, group] -= 1
-    pm[rows, member] -= 1
-    pc *= scale[:, None]
-    pm *= scale[:, None]
-    g = {"c": pc.T @ z, "c0": pc.sum(axis=0), "m": np.zeros_like(w["m"]), "m0": np.zeros_like(w["m0"])}
-    for i in np.unique(group):
-        at = group == i
-        g["m"][i], g["m0"][i] = pm[at].T @ z[at], pm[at].sum(axis=0)
-    dz = pc @ w["c"] + (pm[:, None, :] @ of)[:, 0, :]
-    dpre = (dz * (z > 0)).reshape(pre.shape)
-    g["b"], g["o"] = dpre.sum(axis=(0, 1)), o.reshape(-1, DIM).T @ dpre.reshape(-1, HIDDEN)
-    do = dpre @ w["o"].T
+    group = (t // GROUP).astype(np.int16)
+    order = np.argsort(group, kind="stable")
+    group, ts, rows = group[order], t[order] % GROUP, np.arange(len(t))
+    edges = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
+    z = z.take(order, axis=0)
+    scale = (valid.reshape(-1)[order] / max(1, valid.sum())).astype(np.float32)
+
+    def toward(e: np.ndarray, want: np.ndarray) -> None:
+        """Turns logits into the loss's derivatives by them."""
+        np.minimum(e, np.float32(40), out=e)
+        np.exp(e, out=e)
+        e *= (scale / (e @ ones[: e.shape[1]]))[:, None]
+        e[rows, want] -= scale
+
+    c = z @ w["c"].T
+    c += w["c0"]
+    toward(c, group)
+    g["c"][:], g["c0"][:] = c.T @ z, ones[: len(c)] @ c
+    m = np.empty((len(t), GROUP), np.float32)
+    parts = [(i, slice(edges[i], edges[i + 1])) for i in range(GROUPS) if edges[i] < edges[i + 1]]
+    for i, at in parts:
+        np.matmul(z[at], w["m"][i].T, out=m[at])
+        m[at] += w["m0"][i]
+    toward(m, ts)
+    for i, at in parts:
+        np.matmul(m[at].T, z[at], out=g["m"][i])
+        g["m0"][i] = ones[: at.stop - at.start] @ m[at]
+    if not inputs:
+        return grad
+    dz = c @ w["c"]
+    for i, at in parts:
+        dz[at] += m[at] @ w["m"][i]
+    dz *= z > 0
+    back = np.empty_like(order)
+    back[order] = rows
+    dz = dz.take(back, axis=0)
+    g["b"][:], g["o"][:] = ones[: len(dz)] @ dz, o.T @ dz
+    do = (dz @ w["o"].T).reshape(n, HALF, DIM)
     da = do @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-    g["far"] = np.bincount(_DISTANCE.reshape(-1), ds.sum(axis=0).reshape(-1), minlength=2 * HALF).astype(np.float32)
-    ds *= np.float32(DIM**-0.5)
-    for name, ids, d in (("u", x, dpre), ("q", x, ds @ k), ("k", keys, ds.transpose(0, 2, 1) @ q), ("v", keys, a.transpose(0, 2, 1) @ do)):
-        g[name] = np.zeros_like(w[name])
-        np.add.at(g[name], ids.reshape(-1), d.reshape(-1, d.shape[-1]))
-    return float(loss), g
-
-
-def train(w: dict, texts: list[np.ndarray], steps: int, seed: int = 0, rate: float = 4e-3) -> dict:
-    """w after so many steps of Adam over random blocks of texts (slots); w itself stays."""
-    w = {k: v.copy() for k, v in w.items()}
+    da *= a
+    da -= a * (da @ ones[: 2 * HALF])[:, :, None]
+    g["far"][:] = np.bincount(_DISTANCE.reshape(-1), ones[:n] @ da.reshape(n, -1), minlength=2 * HALF)
+    of_x = _summed(x.reshape(-1), np.concatenate([dz, (da @ k).reshape(-1, DIM) * _SCALE], axis=1))
+    g["u"][:], g["q"][:] = of_x[:, :HIDDEN], of_x[:, HIDDEN:]
+    g["kv"][:] = _summed(keys.reshape(-1), np.concatenate([da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do], axis=2).reshape(-1, 2 * DIM))
+    return grad
+
+
+def _weights(s: np.ndarray, far: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Attention weights from the scores s: biased by distance, causal, within the text."""
+    np.minimum(s, np.float32(60), out=s)
+    np.exp(s, out=s)
+    s *= (np.exp(np.minimum(far, 20))[_DISTANCE] * (_CAUSAL == 0)).astype(np.float32)
+    s[first, :, :HALF] = 0
+    s /= (s @ np.ones(2 * HALF, np.float32))[:, :, None]
+    return s
+
+
+class Adam:
+    """Steps of Adam on one array, in place."""
+
+    def __init__(self, flat: np.ndarray):
+        self.flat, self.n = flat, 0
+        self.one, self.two = np.zeros_like(flat), np.zeros_like(flat)
+
+    def step(self, grad: np.ndarray, rate: float) -> None:
+        self.n += 1
+        self.one += np.float32(0.1) * (grad - self.one)
+        np.square(grad, out=grad)
+        self.two += np.float32(0.01) * (grad - self.two)
+        size = np.sqrt(self.two)
+        size += np.float32(1e-7)
+        np.divide(self.one, size, out=size)
+        self.flat -= np.float32(rate * np.sqrt(1 - 0.99**self.n) / (1 - 0.9**self.n)) * size
+
+
+def train(flat: np.ndarray, texts: list[np.ndarray], steps: int, seed: int = 0, rate: float = INIT_RATE) -> np.ndarray:
+    """The weights after so many steps of Adam over random blocks of texts (slots); flat itself stays."""
+    flat = flat.copy()
     if not texts:
-        return w
+        return flat
     x, y, first, valid, _ = blocks(texts)
     before = np.concatenate([x[:1], x[:-1]])
-    rng = np.random.default_rng(seed)
-    adam = Adam(w)
+    rng, adam = np.random.default_rng(seed), Adam(flat)
     for n in range(1, steps + 1):
         at = rng.integers(0, len(x), BATCH)
-        adam.step(gradients(w, x[at], y[at], first[at], before[at], valid[at])[1], rate * (1 - 0.9 * n / steps))
-    return w
+        adam.step(gradients(flat, x[at], y[at], first[at], before[at], valid[at]), rate * (1 - 0.95 * n / steps))
+    return flat
 
 
-def train_pass(w: dict, texts: Iterable[np.ndarray], seed: int = 0, rate: float = 5e-4) -> tuple[dict, int]:
-    """w after one pass of Adam over every block of texts (slots), and the tokens learned from, ends included; w itself stays."""
-    w = {k: v.copy() for k, v in w.items()}
-    adam, rng, learned = Adam(w), np.random.default_rng(seed), 0
+def train_pass(flat: np.ndarray, texts: Iterable[np.ndarray], seed: int = 0, rate: float = RATE) -> tuple[np.ndarray, int]:
+    """The weights after one pass of Adam over every block of texts (slots), and the tokens learned from, ends included.
+
+    Every step moves the tables of the output side, every INPUTS-th those of the input side too.
+    """
+    flat = flat.copy()
+    adams, rng, learned = (Adam(flat[:OUTPUT]), Adam(flat[OUTPUT:])), np.random.default_rng(seed), 0
 
     def learn(pool: list[np.ndarray]) -> int:
         x, y, first, valid, _ = blocks(pool)
@@ -193,7 +277,12 @@ def train_pass(w: dict, texts: Iterable[np.ndarray], seed: int = 0, rate: float
         order = rng.permutation(len(x))
         for a in range(0, len(x), BATCH):
             at = order[a : a + BATCH]
-            adam.step(gradients(w, x[at], y[at], first[at], before[at], valid[at])[1], rate / np.sqrt(1 + adam.n / 1000))
+            inputs = adams[1].n % INPUTS == 0
+            grad = gradients(flat, x[at], y[at], first[at], before[at], valid[at], inputs)
+            slower = rate / np.sqrt(1 + adams[1].n / 100)
+            if inputs:
+                adams[0].step(grad[:OUTPUT], slower)
+            adams[1].step(grad[OUTPUT:], slower)
         return int(valid.sum())
 
     pool, size = [], 0
@@ -202,23 +291,7 @@ def train_pass(w: dict, texts: Iterable[np.ndarray], seed: int = 0, rate: float
         size += len(t) // HALF + 1
         if size >= POOL:
             learned, pool, size = learned + learn(pool), [], 0
-    return w, learned + (learn(pool) if pool else 0)
-
-
-class Adam:
-    """Steps of Adam on the arrays of w, in place."""
-
-    def __init__(self, w: dict):
-        self.w, self.n = w, 0
-        self.one, self.two = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
-
-    def step(self, g: dict, rate: float) -> None:
-        self.n += 1
-        for k in self.w:
-            self.one[k] = 0.9 * self.one[k] + 0.1 * g[k]
-            self.two[k] = 0.99 * self.two[k] + 0.01 * g[k] ** 2
-            step = rate * (self.one[k] / (1 - 0.9**self.n)) / (np.sqrt(self.two[k] / (1 - 0.99**self.n)) + 1e-7)
-            self.w[k] = (self.w[k] - step).astype(np.float32)
+    return flat, learned + (learn(pool) if pool else 0)
 
 
 def blocks(texts: list[np.ndarray]):
@@ -237,102 +310,166 @@ def blocks(texts: list[np.ndarray]):
     return x.reshape(-1, HALF), y.reshape(-1, HALF), first, valid.reshape(-1, HALF), begins[:-1]
 
 
-def _flat(w: dict) -> np.ndarray:
-    return np.concatenate([w[k].reshape(-1) for k in sorted(w)])
+def slots_of(counts: np.ndarray) -> np.ndarray:
+    """Slots of subword ids by their counts: 2, 3, ... for the most frequent, 1 for the rest."""
+    order = np.argsort(-counts, kind="stable")[: SLOTS - 2]
+    of = np.ones(len(counts), np.int32)
+    of[order] = np.arange(2, 2 + len(order))
+    return of
 
 
-def _unflat(flat: np.ndarray) -> dict:
-    out, at = {}, 0
-    for k, v in sorted(start_weights().items()):
-        out[k] = flat[at : at + v.size].reshape(v.shape).astype(np.float32)
-        at += v.size
-    return out
+def escapes(counts: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Natural log of each id's share among the ids of slot 1, 0 for ids with slots of their own."""
+    rest = np.where(of == 1, counts + 0.5, 0)
+    return np.log(np.where(of == 1, rest / max(rest.sum(), 1e-300), 1))
 
 
-class Slots:
-    """Slots of subword ids: the most frequent ids of the training documents, the rest by escape."""
+def alike(pairs: np.ndarray) -> np.ndarray:
+    """A place for every slot, so that the GROUP slots of a group have alike neighbours; slot 0 stays. pairs[a, b]: how often b follows a.
 
-    def __init__(self, counts: np.ndarray):
-        order = np.argsort(-counts, kind="stable")[: SLOTS - 2]
-        self.of = np.ones(len(counts), np.int32)
-        self.of[order] = np.arange(2, 2 + len(order))
-        rest = counts + 0.5
-        rest[order] = 0
-        self.tail = np.log(np.maximum(rest, 1e-300) / max(rest.sum(), 1e-300))
+    Slots are halved along the main direction of their neighbours' shares until a half is a group.
+    """
+    often = pairs.sum(axis=0) + pairs.sum(axis=1)
+    shares = np.concatenate([np.sqrt(x / np.maximum(x.sum(axis=1, keepdims=True), 1)) for x in (pairs, pairs.T)], axis=1)
+
+    def halved(some: np.ndarray) -> Iterator[np.ndarray]:
+        if len(some) <= GROUP:
+            yield some
+            return
+        weight = (often[some] + 1)[:, None]
+        x = shares[some] - (shares[some] * weight).sum(axis=0) / weight.sum()
+        x *= np.sqrt(weight)
+        v = np.random.default_rng(0).normal(size=x.shape[1])
+        for _ in range(30):
+            v = x.T @ (x @ v)
+            v /= np.linalg.norm(v) + 1e-12
+        by = np.argsort((x @ v) / np.sqrt(weight[:, 0]), kind="stable")
+        yield from halved(some[by[: len(some) // 2]])
+        yield from halved(some[by[len(some) // 2 :]])
+
+    place = np.empty(SLOTS, np.int32)
+    place[np.concatenate(list(halved(np.arange(SLOTS))))] = np.arange(SLOTS)
+    # The end's slot is 0, so its group comes first and it comes first there.
+    place = (place - place[0] // GROUP * GROUP) % SLOTS
+    at_0 = np.flatnonzero(place == 0)[0]
+    place[at_0], place[0] = place[0], 0
+    return place
+
+
+def _slots(batches, of: np.ndarray) -> Iterator[np.ndarray]:
+    for batch in batches:
+        for ids in batch.column(batch.num_columns - 1):
+            yield of[np.frombuffer(ids.as_buffer(), IDS)]
 
-    def encode(self, ids: np.ndarray) -> tuple[np.ndarray, float]:
-        slots = self.of[ids]
-        escaped = slots == 1
-        return slots, float(self.tail[ids[escaped]].sum()) if escaped.any() else 0.0
 
+def _subword_counts(size: int):
+    def run(batches):
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            some = [np.frombuffer(ids.as_buffer(), IDS) for ids in batch.column(0)]
+            total += np.bincount(np.concatenate([*some, np.zeros(0, IDS)]), minlength=size)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["token", "n"])
 
-def _ids(batches, encoder: Encoder, column: int):
-    for batch in batches:
-        for text in batch.column(column):
-            yield encoder.encode(text.as_py())
+    return run
 
 
-def _subword_counts(path: str):
+def _pair_counts(shared):
     def run(batches):
-        encoder = Encoder(path)
-        total = np.zeros(encoder.tokenizer.get_vocab_size() + 1, np.int64)
-        for ids in _ids(batches, encoder, 0):
-            total[: len(total)] += np.bincount(ids, minlength=len(total)) if len(ids) > 5000 else 0
-            if len(ids) <= 5000:
-                np.add.at(total, ids, 1)
+        total = np.zeros(SLOTS * SLOTS, np.int64)
+        held, size = [], 0
+
+        def add() -> None:
+            flat = np.concatenate([np.zeros(1, np.int32), *held])
+            total[:] += np.bincount(flat[:-1].astype(np.int64) * SLOTS + flat[1:], minlength=len(total))
+
+        for s in _slots(batches, shared.value):
+            held += [s, np.zeros(1, np.int32)]
+            size += len(s) + 1
+            if size > 4_000_000:
+                add()
+                held, size = [], 0
+        add()
+        total[0] -= total[0] > 0
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["token", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
 
     return run
 
 
-def _trainer(path: str, shared, steps: int | None):
-    """Trains for so many steps on texts held together, or by one pass over all of them."""
+def _emitted(shard: int, flat: np.ndarray, weight: float) -> pa.RecordBatch:
+    parts = [p.astype("<f4").tobytes() for p in np.array_split(flat, PARTS)]
+    return pa.RecordBatch.from_arrays([pa.array([shard] * PARTS, pa.int64()), pa.array(np.arange(PARTS, dtype=np.int32)), pa.array(parts, pa.binary()), pa.array([weight] * PARTS)],
+                                      names=["shard", "part", "values", "weight"])
+
+
+def _starter(shared, steps: int):
     def run(batches):
-        encoder = Encoder(path)
-        slots, w = shared.value
-        texts = (slots.encode(ids)[0] for ids in _ids(batches, encoder, 0))
-        seed = TaskContext.get().partitionId()
-        if steps is None:
-            w, weight = train_pass(w, texts, seed)
-        else:
-            held = list(texts)
-            w, weight = train(w, held, steps, seed), sum(len(t) + 1 for t in held)
-        if weight:
-            parts = np.array_split(_flat(w), 64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(64, dtype=np.int32)), pa.array([p.astype("<f4").tobytes() for p in parts], pa.binary()), pa.array([float(weight)] * 64)], names=["part", "values", "weight"])
+        of, flat = shared.value
+        texts = list(_slots(batches, of))
+        if texts:
+            yield _emitted(0, train(flat, texts, steps), 1.0)
 
     return run
 
 
+def _trainer(shared):
+    """Trains on each shard of a partition sorted by shard."""
+    def run(batches):
+        of, start = shared.value
+        rows = ((shard, of[np.frombuffer(ids.as_buffer(), IDS)]) for b in batches for shard, ids in zip(b.column(0).to_pylist(), b.column(1), strict=True))
+        for shard, some in groupby(rows, key=lambda r: r[0]):
+            flat, weight = train_pass(start, (s for _, s in some), shard)
+            yield _emitted(shard, flat, float(weight))
+
+    return run
+
+
+def _total(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Weights times tokens, summed in the order of shards."""
+    pdf = pdf.sort_values("shard")
+    total = sum(np.frombuffer(v, "<f4").astype(np.float64) * n for v, n in zip(pdf["values"], pdf.weight, strict=True))
+    return pd.DataFrame({"shard": [pdf.bucket.iloc[0]], "part": [pdf.part.iloc[0]], "values": [total.tobytes()], "weight": [pdf.weight.sum()]})
+
+
 def _mean(pdf: pd.DataFrame) -> pd.DataFrame:
-    weight = pdf.weight.to_numpy()
-    total = sum(np.frombuffer(v, "<f4").astype(np.float64) * n for v, n in zip(pdf["values"], weight, strict=True))
-    return pd.DataFrame({"part": [pdf.part.iloc[0]], "values": [(total / weight.sum()).astype("<f4").tobytes()]})
+    pdf = pdf.sort_values("shard")
+    total = sum(np.frombuffer(v, np.float64) for v in pdf["values"])
+    return pd.DataFrame({"part": [pdf.part.iloc[0]], "values": [(total / pdf.weight.sum()).astype("<f4").tobytes()]})
 
 
-def fit_model(training: DataFrame, tokenizer: str) -> tuple[Slots, dict]:
-    """training: id, text (lower-cased, not null)."""
-    spark = training.sparkSession
-    order = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")))
-    texts = training.select("text")
-    chosen = training.select("id").orderBy(order, "id").limit(INIT_ROWS).distinct()
-    start = training.join(F.broadcast(chosen), "id").repartition(1).sortWithinPartitions(order, "text").select("text")
-    # At most as many counts as the vocabulary has ids.
-    counted = texts.mapInArrow(_subword_counts(tokenizer), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
-    from tokenizers import Tokenizer
+def _averaged(learned: DataFrame, shards: int, otherwise: np.ndarray) -> np.ndarray:
+    """The shards' weights averaged by tokens: sums of isqrt(shards) shards first, then of these."""
+    bucket = (F.col("shard") % max(1, isqrt(shards))).alias("bucket")
+    sums = learned.select("*", bucket).groupBy("bucket", "part").applyInPandas(_total, "shard long, part int, values binary, weight double")
+    found = sums.groupBy("part").applyInPandas(_mean, "part int, values binary").collect()
+    return np.concatenate([np.frombuffer(r["values"], "<f4") for r in sorted(found, key=lambda r: r.part)]).copy() if found else otherwise
+
 
-    counts = np.zeros(Tokenizer.from_file(tokenizer).get_vocab_size() + 1)
+def fit_model(training: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slots of ids, log shares of escaped ids, weights. training: id, ids (binary) of every training document; size: ids there are."""
+    spark = training.sparkSession
+    # At most as many counts as there are ids, and as many pairs as SLOTS squared.
+    counted = training.select("ids").mapInArrow(_subword_counts(size), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(size)
     counts[[r.token for r in counted]] = [r.n for r in counted]
-    slots, w = Slots(counts), start_weights()
-    schema = "part int, values binary, weight double"
-    for rows, steps in ((start, INIT_STEPS), (texts, None)):
-        shared = spark.sparkContext.broadcast((slots, w))
-        learned = rows.mapInArrow(_trainer(tokenizer, shared, steps), schema)
-        mean = learned.groupBy("part").applyInPandas(_mean, "part int, values binary").collect()
-        if mean:
-            w = _unflat(np.concatenate([np.frombuffer(r["values"], "<f4") for r in sorted(mean, key=lambda r: r.part)]))
-    return slots, w
+    of, flat = slots_of(counts), start_weights()
+    shared = spark.sparkContext.broadcast(of)
+    paired = training.select("ids").mapInArrow(_pair_counts(shared), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    pairs = np.zeros(SLOTS * SLOTS)
+    pairs[paired.column("pair").to_numpy()] = paired.column("n").to_numpy()
+    rare = of == 1
+    of = alike(pairs.reshape(SLOTS, SLOTS))[of]
+    order = F.xxhash64("id", "ids")
+    start = training.orderBy(order, "ids").limit(INIT_ROWS).select("ids")
+    shared = spark.sparkContext.broadcast((of, flat))
+    schema = "shard long, part int, values binary, weight double"
+    flat = _averaged(start.mapInArrow(_starter(shared, INIT_STEPS), schema), 1, flat)
+    shards = max(1, round(counts.sum() / SHARD))
+    shared = spark.sparkContext.broadcast((of, flat))
+    dealt = training.select(F.pmod(order, F.lit(shards)).alias("shard"), order.alias("at"), "ids").repartition(shards, "shard").sortWithinPartitions("shard", "at", "ids")
+    flat = _averaged(cut(dealt.select("shard", "ids").mapInArrow(_trainer(shared), schema)), shards, flat)
+    return of, escapes(counts, np.where(rare, 1, 0)), flat
 
 
 def _merge(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -362,14 +499,14 @@ def _word_counts(batches):
         yield out()
 
 
-def _scorer(path: str, shared, divisor: float):
+def _encoder(path: str, shared, divisor: float):
+    """Subword ids and base scores by frequent words; hashes of the other words."""
     def run(batches):
-        slots, w, known, counts = shared.value
-        w = prepared(w)
+        known, counts = shared.value
         encoder, hasher = Encoder(path), Hasher()
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column(2)
             for lo, hi, data, offsets in slices(texts):
                 _, _, doc, h = hasher.words(data, offsets)
                 n = hi - lo
@@ -381,24 +518,37 @@ def _scorer(path: str, shared, divisor: float):
                 words = np.bincount(doc, minlength=n)
                 rare, rare_of = h[~often].view(np.int64), doc[~often]
                 edges = np.searchsorted(rare_of, np.arange(n + 1)).astype(np.int32)
-                scores = np.zeros(n)
-                coded, tails, size, a = [], [], 0, 0
-                for i in range(n):
-                    s, tail = slots.encode(encoder.encode(texts[lo + i].as_py() or ""))
-                    coded.append(s)
-                    tails.append(tail)
-                    size += len(s) + HALF
-                    if size >= SCORED or i == n - 1:
-                        scores[a : i + 1] = np.array(tails) + _score(w, coded)
-                        coded, tails, size, a = [], [], 0, i + 1
+                ids = [encoder.encode(texts[lo + i].as_py() or "").astype(IDS).tobytes() for i in range(n)]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.arange(row, row + n)), batch.column(0).slice(lo, n), pa.array(words.astype(np.int64) + 1), pa.array(found.astype(np.int64)), pa.array(base),
-                    pa.array(scores / np.log(10)), pa.ListArray.from_arrays(pa.array(edges), pa.array(rare))], names=["row", "id", "n_tokens", "found", "base", "score", "rare"])
+                    pa.array(np.arange(row, row + n)), batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(words.astype(np.int64) + 1), pa.array(found.astype(np.int64)),
+                    pa.array(base), pa.ListArray.from_arrays(pa.array(edges), pa.array(rare)), pa.array(ids, pa.binary())], names=["row", "id", "train", "n_tokens", "found", "base", "rare", "ids"])
                 row += n
 
     return run
 
 
+def _scorer(shared):
+    """Rows with the model's score in place of their ids."""
+    def run(batches):
+        of, tail, flat = shared.value
+        w = prepared(flat)
+        for batch in batches:
+            last = batch.num_columns - 1
+            scores, a, size = np.zeros(batch.num_rows), 0, 0
+            coded, tails = [], []
+            for i, ids in enumerate(batch.column(last)):
+                ids = np.frombuffer(ids.as_buffer(), IDS)
+                coded.append(of[ids])
+                tails.append(tail[ids].sum())
+                size += len(ids) + HALF
+                if size >= SCORED or i == batch.num_rows - 1:
+                    scores[a : i + 1] = np.array(tails) + _score(w, coded)
+                    coded, tails, size, a = [], [], 0, i + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(scores / np.log(10))], names=[*batch.schema.names[:last], "score"])
+
+    return run
+
+
 def _score(w: dict, coded: list[np.ndarray]) -> np.ndarray:
     x, y, first, valid, begins = blocks(coded)
     out = np.empty(x.shape)
@@ -415,32 +565,41 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
 
     Null text counts as empty: its only token is the end. Without training documents all base probabilities are 1
     and the model is its random start. Repeated rows score alike; an empty table gives an empty result; other
-    columns are ignored. Words are told apart by 64-bit hashes.
+    columns are ignored. Words are told apart by 64-bit hashes. The same rows in other files or partitions score
+    alike, up to rounding.
     """
     spark, path = docs.sparkSession, tokenizer or default_tokenizer()
-    rows = docs.select(F.col(id_col).alias("id"), lower_ascii(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
-    training = rows.where(fold("id", FOLDS) != HELD_OUT)
+    size = _vocabulary(path)
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("train", fold("id", FOLDS) != HELD_OUT)
     # The hashes fold A-Z themselves.
-    raw = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(fold("id", FOLDS) != HELD_OUT)
+    raw = named.where("train")
     vocabulary = cut(raw.select("text").mapInArrow(_word_counts, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
-    ends = docs.select(F.col(id_col).alias("id")).where(fold("id", FOLDS) != HELD_OUT).count()
+    ends = raw.select("id").count()
     sums = vocabulary.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, distinct = (sums.n or 0) + ends, sums.v + (ends > 0)
     divisor = total + 0.5 * (distinct + 1)
     often = vocabulary.where(F.col("c") * FREQUENT >= total).toArrow()
     h = often.column("h").to_numpy().view(np.uint64) if often.num_rows else np.zeros(0, np.uint64)
     order = np.argsort(h)
-    slots, w = fit_model(training, path)
-    shared = spark.sparkContext.broadcast((slots, w, h[order], (often.column("c").to_numpy() if often.num_rows else np.zeros(0, np.int64))[order]))
-    schema = f"row long, id {dict(rows.dtypes)['id']}, n_tokens long, found long, base double, score double, rare array<long>"
-    scored = cut(rows.mapInArrow(_scorer(path, shared, divisor), schema))
+    shared = spark.sparkContext.broadcast((h[order], (often.column("c").to_numpy() if often.num_rows else np.zeros(0, np.int64))[order]))
+    schema = f"row long, id {dict(named.dtypes)['id']}, train boolean, n_tokens long, found long, base double, rare array<long>, ids binary"
+    rows = named.select("id", "train", lower_ascii(F.coalesce("text", F.lit(""))).alias("text"))
+    encoded = cut(rows.mapInArrow(_encoder(path, shared, divisor), schema))
+    model = spark.sparkContext.broadcast(fit_model(encoded.where("train").select("id", "ids"), size))
+    scored = encoded.select("row", "id", "n_tokens", "found", "base", "ids").mapInArrow(_scorer(model), f"row long, id {dict(named.dtypes)['id']}, n_tokens long, found long, base double, score double")
     probability = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / divisor)
     rest = vocabulary.where(F.col("c") * FREQUENT < total)
-    rare = scored.select("row", F.explode("rare").alias("h")).join(rest.hint("merge"), "h", "left")
+    rare = encoded.select("row", F.explode("rare").alias("h")).join(rest.hint("merge"), "h", "left")
     rare = cut(rare.groupBy("row").agg(F.sum(probability).alias("more"), F.count("c").alias("also")))
     end = F.lit(float(np.log10((ends + 0.5) / divisor)))
-    out = scored.drop("rare").join(rare.hint("merge"), "row", "left")
+    out = scored.join(rare.hint("merge"), "row", "left")
     return out.select(
         F.col("id").alias(id_col), (fold("id", FOLDS) == HELD_OUT).alias("held_out"), "n_tokens",
         (F.col("found") + F.coalesce("also", F.lit(0)) + int(ends > 0)).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0)) + end).alias("base_score"), "score")
+
+
+def _vocabulary(path: str) -> int:
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab().values()) + 1
