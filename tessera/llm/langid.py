@@ -1,8 +1,13 @@
 """Language identification by cross-parsing entropy.
 
 Each language has a suffix automaton of a sample of its text. A text is parsed against it into the longest
-phrases that occur in the sample; phrases times the bits that name one (the logarithm of the sample's length)
-is the text's cost in that language, and the language of least cost wins.
+phrases that occur in the sample, each from where the last one ends. Phrases times the bits that name one (the
+logarithm of the sample's length, but at least that of the alphabet, so that a tiny sample names nothing
+cheaply) are the text's cost in that language, and the language of least cost wins.
+
+Automata are stored as displaced rows: a state is the place where its row begins in one shared array, an entry
+lies at state + letter and names the state that owns it. Their size follows the sample, whatever the alphabet:
+a sample of 40,000 characters of 5,000 letters takes about 2 MB. They are built once, on the driver.
 """
 
 from __future__ import annotations
@@ -16,10 +21,12 @@ from pyspark.sql import functions as F
 
 from .quality import fold
 
-#: Characters of text a language's automaton is built from, the most rows taken for it, and the longest of them.
-SAMPLE_CHARS, SAMPLE_ROWS, ROW_CHARS = 40_000, 200, 20_000
-#: Long texts are parsed in segments of this many characters, side by side; each adds a phrase at most.
+#: A language's sample: pieces of this many characters, as many as the sample's characters allow, from all its texts.
+SAMPLE_CHARS, PIECE = 40_000, 500
+#: Long texts are parsed in segments of this many characters side by side, then corrected where they meet.
 SEGMENT = 256
+#: Rounds of correction; texts that still change are parsed from end to end.
+ROUNDS = 4
 #: Characters worked on at a time.
 CHUNK = 1 << 20
 FOLDS, HELD_OUT = 4, 2
@@ -56,78 +63,169 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return moves
 
 
+def displaced(moves: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The automaton's rows in one array: entries (owner << 32 | next state), next state by letter from the start, and a state without entries.
+
+    Letters that the sample lacks lead from the start to that last state.
+    """
+    size = 2 * sum(map(len, moves)) + 4 * width + len(moves) + 64
+    used, owned = np.zeros(size, bool), np.zeros(size, bool)
+    place = np.zeros(len(moves), np.int64)
+    low = 0
+    several = sorted((s for s in range(1, len(moves)) if len(moves[s]) > 1), key=lambda s: -len(moves[s]))
+    for s in several:
+        letters = np.fromiter(moves[s], np.int64)
+        at = low
+        while True:
+            bases = np.arange(at, at + 128)
+            if bases[-1] + width >= size:
+                used, owned = (np.concatenate([x, np.zeros(size, bool)]) for x in (used, owned))
+                size *= 2
+            fits = np.flatnonzero(~owned[bases] & ~used[bases[:, None] + letters].any(axis=1))
+            if len(fits):
+                break
+            at += 128
+        place[s] = base = bases[fits[0]]
+        owned[base] = used[base + letters] = True
+        # Rows are placed in order of size; where most bases are gone, the search goes on behind them.
+        while owned[low : low + 64].mean() > 0.7:
+            low += 64
+    alone = [s for s in range(1, len(moves)) if len(moves[s]) == 1]
+    room = size + len(moves) + width
+    used, owned = (np.concatenate([x, np.zeros(room, bool)]) for x in (used, owned))
+    free = iter(np.flatnonzero(~used[width:]) + width)
+    kept: list[int] = []
+    for s in alone:
+        (letter,) = moves[s]
+        for k, x in enumerate(kept):
+            if not owned[x - letter]:
+                entry = kept.pop(k)
+                break
+        else:
+            entry = next(free)
+            while owned[entry - letter]:
+                if len(kept) < 64:
+                    kept.append(entry)
+                entry = next(free)
+        place[s] = entry - letter
+        owned[entry - letter] = used[entry] = True
+    spare = iter(np.flatnonzero(~owned))
+    for s in range(1, len(moves)):
+        if not moves[s]:
+            place[s] = base = next(spare)
+            owned[base] = True
+    between = int(next(spare))
+    top = int(max(place.max(), between)) + width + 1
+    entries = np.full(top, -1, np.int64)
+    for s in range(1, len(moves)):
+        for c, to in moves[s].items():
+            entries[place[s] + c] = place[s] << 32 | place[to]
+    start = np.full(width, between, np.int64)
+    for c, to in moves[0].items():
+        start[c] = place[to]
+    return entries, start, between
+
+
+def build(samples: dict[str, str]) -> dict:
+    """Plain arrays of a Parser. Class 0 is anything but letters, 1 a letter that no sample has."""
+    letters = sorted({c for s in samples.values() for c in s.lower() if c.isalpha()})
+    classes = np.zeros(0x110000, np.int16 if len(letters) < 32_000 else np.int32)
+    classes[[k for k in range(0x110000) if chr(k).isalpha()]] = 1
+    for k, c in enumerate(letters):
+        classes[ord(c)] = k + 2
+    for k, c in enumerate(letters):
+        if len(c.upper()) == 1 and classes[ord(c.upper())] == 1:
+            classes[ord(c.upper())] = k + 2
+    model = {"langs": sorted(samples), "classes": classes, "automata": [], "bits": []}
+    coder = Parser(model)
+    for lang in model["langs"]:
+        codes = coder.codes(samples[lang])
+        model["automata"].append(displaced(suffix_automaton(codes.tolist()), len(letters) + 2))
+        model["bits"].append(float(np.log2(max(len(codes), len(letters) + 2))))
+    return model
+
+
 class Parser:
-    """Parses texts against the samples of all languages. Class 0 is anything but letters, 1 an unseen letter."""
-
-    def __init__(self, samples: dict[str, str]):
-        self.langs = sorted(samples)
-        letters = sorted({c for s in samples.values() for c in s.lower() if c.isalpha()})
-        self.width = len(letters) + 2
-        self.classes = np.zeros(0x110000, np.int16)
-        self.letters = letters
-        for k, c in enumerate(letters):
-            self.classes[ord(c)] = k + 2
-        for k, c in enumerate(letters):
-            if len(c.upper()) == 1 and not self.classes[ord(c.upper())]:
-                self.classes[ord(c.upper())] = k + 2
-        self.tables, self.bits = [], []
-        for lang in self.langs:
-            codes = self.codes(samples[lang])
-            moves = suffix_automaton(codes.tolist())
-            # An entry is the next state's row, times 2, plus 1 where a new phrase begins.
-            # One more state stands between phrases: texts begin there and letters that the sample lacks lead there.
-            between = len(moves)
-            start = np.full(self.width, between * self.width * 2 + 1, np.int64)
-            for c, to in moves[0].items():
-                start[c] = to * self.width * 2 + 1
-            table = np.tile(start, (between + 1, 1))
-            for s, out in enumerate(moves):
-                for c, to in out.items():
-                    table[s, c] = to * self.width * 2
-            self.tables.append(table.reshape(-1).astype(np.int64 if table.max() >= 2**31 else np.int32))
-            self.bits.append(np.log2(max(2, len(codes))))
+    """Parses texts against the samples of all languages."""
+
+    def __init__(self, model: dict):
+        self.langs, self.classes, self.automata, self.bits = (model[k] for k in ("langs", "classes", "automata", "bits"))
 
     def codes(self, text: str) -> np.ndarray:
         """Classes, runs of class 0 shortened to one."""
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         out = self.classes[points]
         odd = out == 0
-        if odd.any():
-            # Letters that no sample has, outside ASCII.
-            at = np.flatnonzero(odd & (points > 127))
-            for k, c in ((k, chr(points[k])) for k in at):
-                if c.isalpha():
-                    out[k] = 1
-            again = odd[1:] & odd[:-1] & (out[1:] == 0) & (out[:-1] == 0)
-            out = out[np.concatenate([[True], ~again])]
-        return out
+        again = odd[1:] & odd[:-1]
+        return out[np.concatenate([[True], ~again])] if again.any() else out
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each text in each language."""
         counts = np.array([-(-len(t) // SEGMENT) for t in texts])
         owner = np.repeat(np.arange(len(texts)), counts)
         sizes = np.full(len(owner), SEGMENT)
-        ends = np.cumsum(counts) - 1
         filled = counts > 0
-        sizes[ends[filled]] = [len(t) - (c - 1) * SEGMENT for t, c in zip(texts, counts, strict=True) if c]
-        flat = np.concatenate([*texts, np.zeros(SEGMENT, np.int16)])
+        sizes[(np.cumsum(counts) - 1)[filled]] = [len(t) - (c - 1) * SEGMENT for t, c in zip(texts, counts, strict=True) if c]
+        flat = np.concatenate([*texts, np.zeros(SEGMENT, np.int16)]).astype(np.int32)
         begins = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else sizes
+        follows = np.concatenate([[False], owner[1:] == owner[:-1]])  # segments that go on from the one before
         order = np.argsort(-sizes, kind="stable")
-        begins, sizes, owner = begins[order], sizes[order], owner[order]
-        alive = np.searchsorted(-sizes, -np.arange(SEGMENT), side="left")  # segments longer than k
+        alive = np.searchsorted(-sizes[order], -np.arange(SEGMENT), side="left")  # segments longer than k
         out = np.zeros((len(texts), len(self.langs)))
-        for j, table in enumerate(self.tables):
-            state, misses = np.full(len(owner), len(table) - self.width, table.dtype), np.zeros(len(owner), np.int32)
+        for j, automaton in enumerate(self.automata):
+            entries, start, between = automaton
+            state, begun = np.full(len(owner), between), np.zeros((SEGMENT, len(owner)), bool)
             for k in range(SEGMENT):
                 n = alive[k]
                 if not n:
                     break
-                v = table.take(state[:n] + flat[begins[:n] + k])
-                misses[:n] += v & 1
-                state[:n] = v >> 1
-            out[:, j] = np.bincount(owner, misses, minlength=len(texts))
+                state[:n], begun[k, :n] = _step(entries, start, state[:n], flat[begins[order[:n]] + k])
+            ends, new = np.empty(len(owner), np.int64), np.empty((SEGMENT, len(owner)), bool)
+            ends[order], new[:, order] = state, begun
+            found = new.sum(axis=0)
+            if follows.any():
+                found = self._corrected(automaton, flat, begins, sizes, follows, owner, texts, new, ends, found)
+            out[:, j] = np.bincount(owner, found, minlength=len(texts))
         return out
 
+    def _corrected(self, automaton, flat, begins, sizes, follows, owner, texts, new, ends, found):
+        """Phrases that begin in each segment when the parse goes on from the segment before.
+
+        A parse that goes on soon begins a phrase where the segment's own parse did; from there both agree.
+        Where it doesn't before the segment's end, the next segment goes on from another state, and so on.
+        """
+        entries, start, _ = automaton
+        left = np.cumsum(new[::-1], axis=0, dtype=np.int32)[::-1]  # phrases that begin at k or later
+        found, after = found.copy(), ends.copy()
+        came = np.full(len(owner), -1, np.int64)  # the state a segment was last entered with
+        for _ in range(ROUNDS):
+            at = np.flatnonzero(follows)
+            at = at[came[at] != after[at - 1]]
+            if not len(at):
+                return found
+            came[at] = state = after[at - 1]
+            count = np.zeros(len(at), np.int64)
+            for k in range(SEGMENT):
+                over = sizes[at] <= k
+                if over.any():
+                    found[at[over]], after[at[over]] = count[over], state[over]
+                    at, state, count = at[~over], state[~over], count[~over]
+                if not len(at):
+                    break
+                state, begins_here = _step(entries, start, state, flat[begins[at] + k])
+                met = begins_here & new[k, at]
+                if met.any():
+                    found[at[met]], after[at[met]] = count[met] + left[k, at[met]], ends[at[met]]
+                    at, state, count, begins_here = at[~met], state[~met], count[~met], begins_here[~met]
+                count += begins_here
+            found[at], after[at] = count, state
+        again = np.flatnonzero(follows)
+        for i in np.unique(owner[again[came[again] != after[again - 1]]]):
+            mine = np.flatnonzero(owner == i)
+            found[mine] = 0
+            found[mine[0]] = whole_parse(automaton, texts[i])
+        return found
+
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
         coded = [self.codes(t) for t in texts]
         cost = self.phrases(coded) * np.array(self.bits) * np.log(2)
@@ -141,18 +239,42 @@ class Parser:
         return out
 
 
-def samples(docs: DataFrame, chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """Text of each language, from whole rows outside the held-out fold in the order of a hash of their ids."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT)
-                        & (F.length("text") <= ROW_CHARS))
-    order = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
+def _step(entries: np.ndarray, start: np.ndarray, state: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The states after one more letter each, and whether it begins a phrase."""
+    v = entries.take(state + codes)
+    begins = (v >> 32) != state
+    return np.where(begins, start.take(codes), v & 0xFFFFFFFF), begins
+
+
+def whole_parse(automaton: tuple, codes: np.ndarray) -> int:
+    """Phrases of one text, letter by letter."""
+    entries, start, state = automaton
+    n, take, first = 0, entries.item, start.tolist()
+    for c in codes.tolist():
+        v = take(state + c)
+        if v >> 32 == state:
+            state = v & 0xFFFFFFFF
+        else:
+            n, state = n + 1, first[c]
+    return n
+
+
+def samples(docs: DataFrame, chars: int = SAMPLE_CHARS, piece: int = PIECE) -> dict[str, str]:
+    """Text of each language: of all pieces of its texts outside the held-out fold, the first by a hash of id and place.
+
+    A text of any length has ceil(length / piece) pieces, so each character is as likely to be taken as any other.
+    """
+    usable = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & F.col("doc_id").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT))
+    places = usable.select("lang", "doc_id", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / piece).cast("int"))).alias("k"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string"), "k"), "doc_id", "k")
     # Ranks above the bound go before the exchange, so a hot language sends few rows.
-    chosen = usable.select("lang", "doc_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SAMPLE_ROWS)
-    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), ["doc_id", "lang"]).collect()
+    most = -(-chars // piece)
+    chosen = places.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).groupBy("lang", "doc_id", "k").agg(F.min("rank").alias("rank"))
+    cut_out = F.substring(F.col("text"), F.col("k") * piece + 1, F.lit(piece))
+    taken = usable.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("lang", "rank").agg(F.max(cut_out).alias("text"))
     out: dict[str, str] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r["rank"], r.text or "")):
-        if len(out.get(r.lang, "")) < chars:
-            out[r.lang] = f"{out.get(r.lang, '')} {r.text or ''}"
+    for r in sorted(taken.collect(), key=lambda r: (r.lang, r["rank"])):
+        out[r.lang] = f"{out.get(r.lang, '')} {r.text}"
     return out
 
 
@@ -178,10 +300,11 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """One row per row of docs: id, held_out, lang_pred, score (0 to 1).
 
     Null texts and those without a letter are 'und' with score 0, as is every text where no row has a language.
-    Equal costs go to the language that sorts first. Repeated rows come out alike; other columns are ignored; an
-    empty table gives an empty result.
+    A text is parsed whole, whatever its length. Equal costs go to the language that sorts first. Repeated rows
+    come out alike; other columns are ignored; an empty table gives an empty result. The sample (chars for each
+    language) is collected: the driver holds chars times the number of languages.
     """
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    shared = docs.sparkSession.sparkContext.broadcast(samples(named, chars))
+    shared = docs.sparkSession.sparkContext.broadcast(build(samples(named, chars)))
     out = named.select("doc_id", "text").mapInArrow(_predictor(shared), f"id {dict(named.dtypes)['doc_id']}, lang_pred string, score double")
     return out.select(F.col("id").alias(id_col), (fold("id", FOLDS) == HELD_OUT).alias("held_out"), "lang_pred", "score")
