@@ -1,8 +1,12 @@
 """Line deduplication over content-defined chunks (native: DataFrame functions only).
 
-A rolling hash over the hashes of the last lines chooses chunk ends, so a boundary depends on the lines
-around it and not on their place: an inserted line shifts no boundary further on. Multi-line chunks that
-occur more than once anywhere are removed but for their first occurrence, after comparing their bytes.
+A rolling hash over the hashes of the last two lines chooses chunk ends, so a boundary depends on the lines
+around it and not on their place: an inserted line shifts no boundary further on. A text is chunked DIVISOR
+times side by side: in chunking r, chunks end where the rolling hash is r modulo DIVISOR. Every place is thus an
+end in one of them, and a repeated passage of a few lines is more likely to hold a whole chunk. Multi-line
+chunks that occur more than once anywhere are removed but for their first occurrence, after comparing their
+bytes; a line goes where any of its chunks goes. Each removal leaves equal lines at an earlier place, so no line
+is lost altogether.
 """
 
 from __future__ import annotations
@@ -10,61 +14,80 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, salted
 
-#: A chunk ends after a line where (h[i] + 31 h[i-1]) mod DIVISOR = 0; h: the first 32 bits of a line's MD5.
+#: Chunk ends of chunking r: after a line where (h[i] + 31 h[i-1]) mod DIVISOR = r; h: the first 32 bits of a line's MD5.
 DIVISOR = 3
 MULTIPLIER = 31
 #: Chunks of fewer lines are never removed.
 MIN_LINES = 2
 
 
-def line_chunks(text: Column, divisor: int = DIVISOR) -> Column:
-    """Array of arrays of lines; an empty text is one chunk with one empty line."""
-    lines = F.split(text, "\n", -1)
+def line_chunks(lines: Column, divisor: int = DIVISOR) -> Column:
+    """Array of (chunking, first line, lines, text) of the chunks of all chunkings; the last chunk of each ends with the text."""
     hashes = F.transform(lines, lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long"))
     both = F.struct(lines.alias("l"), hashes.alias("h"))
-    ends = lambda b: F.filter(
-        F.sequence(F.lit(0), F.size(b["l"]) - 1),
-        lambda i: (i == F.size(b["l"]) - 1) | ((i > 0) & ((F.get(b["h"], i) + MULTIPLIER * F.get(b["h"], i - 1)) % divisor == 0)))
-    return F.transform(F.array(both), lambda b: F.transform(F.array(ends(b)), lambda e: F.transform(
-        e, lambda end, k: F.slice(b["l"], F.coalesce(F.get(e, k - 1), F.lit(-1)) + 2, end - F.coalesce(F.get(e, k - 1), F.lit(-1)))))[0])[0]
+
+    def chunks(b: Column) -> Column:
+        n = F.size(b["l"])
+        residues = F.transform(b["h"], lambda h, i: F.when(i > 0, (h + MULTIPLIER * F.get(b["h"], i - 1)) % divisor))
+        return F.flatten(F.transform(F.array(residues), lambda r: F.flatten(F.array(*[one(b, r, n, c) for c in range(divisor)]))))
+
+    def ends(r: Column, n: Column, c: int) -> Column:
+        return F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == n - 1) | F.coalesce(F.get(r, i) == c, F.lit(False)))
+
+    def one(b: Column, r: Column, n: Column, c: int) -> Column:
+        return F.transform(F.array(ends(r, n, c)), lambda e: of(b, e, c))[0]
+
+    def of(b: Column, e: Column, c: int) -> Column:
+        first = lambda k: F.coalesce(F.get(e, k - 1), F.lit(-1)) + 1
+        return F.transform(e, lambda end, k: F.struct(F.lit(c).alias("r"), first(k).alias("first"), (end - first(k) + 1).alias("n"), F.array_join(F.slice(b["l"], first(k) + 1, end - first(k) + 1), "\n").alias("chunk")))
+
+    return F.transform(F.array(both), chunks)[0]
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR,
                 min_lines: int = MIN_LINES) -> DataFrame:
     """One row per row of docs: id, text without repeated chunks, n_lines, n_chunks, removed_chunks, removed_lines.
 
-    The first occurrence by (id, chunk number) stays, nulls first. Null text counts as empty and comes back
-    empty. Rows that repeat one id and one text count as one occurrence and come out alike. A text all of
-    whose chunks repeat earlier ones becomes empty. An empty table gives an empty result; other columns are
-    ignored.
+    Chunks are counted over all chunkings. The first occurrence by (id, first line) stays, nulls first. Null
+    text counts as empty and comes back empty. Rows that repeat one id and one text count as one occurrence and
+    come out alike. A text all of whose lines repeat earlier chunks becomes empty. An empty table gives an empty
+    result; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    rows = rows.withColumn("digest", F.md5("t"))
-    chunked = rows.withColumn("chunks", line_chunks(F.col("t"), divisor))
-    occ = chunked.select("id", "digest", F.posexplode("chunks").alias("k", "c")).where(F.size("c") >= min_lines)
-    occ = occ.select("id", "digest", "k", F.concat_ws("\n", "c").alias("chunk")).withColumn("h", F.md5("chunk"))
+    rows = rows.withColumn("digest", F.md5("t")).withColumn("lines", F.split("t", "\n", -1))
+    some = rows.where(F.size("lines") >= min_lines)
+    occ = some.select("id", "digest", F.explode(line_chunks(F.col("lines"), divisor)).alias("c")).where(F.col("c.n") >= min_lines)
+    occ = occ.select("id", "digest", "c.*").withColumn("h", F.md5("chunk"))
     # Only hashes travel until one is seen in two places.
-    places = occ.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    repeated = cut(places.where("n > 1").select("h"))
-    seen = cut(occ.join(repeated.hint("merge"), "h"))
-    first = F.min(F.struct("id", "digest", "k")).alias("first")
+    places = occ.groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    repeated = cut(places)
+    # A chunk of the same text and place in two chunkings is one occurrence.
+    seen = cut(salted(occ, repeated, "h", "times", F.xxhash64("id", "digest")).drop("times"))
+    first = F.min(F.struct("id", "digest", "first")).alias("least")
     # Grouping by the chunk itself is the byte comparison.
-    groups = cut(seen.groupBy("h", "chunk").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "chunk", "first"))
-    gone = seen.hint("merge").join(groups, ["h", "chunk"]).where(
-        ~(F.struct("id", "digest", "k").eqNullSafe(F.col("first"))))
-    gone = cut(gone.groupBy("id", "digest").agg(F.collect_set("k").alias("ks")))
-    joined = chunked.drop("t").alias("c").join(gone.hint("merge").alias("g"), F.expr("c.id <=> g.id and c.digest = g.digest"), "left")
-    ks = F.coalesce(F.col("ks"), F.array().cast("array<int>"))
-    joined = joined.select("c.id", "chunks", ks.alias("ks"))
-    left = F.filter("chunks", lambda c, k: ~F.array_contains(F.col("ks"), k))
-    total = lambda chunks: F.coalesce(F.aggregate(chunks, F.lit(0), lambda a, c: a + F.size(c)), F.lit(0))
+    groups = seen.groupBy("h", "chunk").agg(first, F.count(F.lit(1)).alias("times")).where("times > 1")
+    groups = cut(groups.withColumn("key", F.sha2("chunk", 256)).select("key", "h", "chunk", "least", "times"))
+    keyed = seen.withColumn("key", F.sha2("chunk", 256)).withColumnsRenamed({"h": "h2", "chunk": "chunk2"})
+    gone = salted(keyed, groups, "key", "times", F.xxhash64("id", "digest")).where("h = h2 and chunk = chunk2").where(
+        ~F.struct("id", "digest", "first").eqNullSafe(F.col("least")))
+    gone = cut(gone.groupBy("id", "digest").agg(F.collect_set(F.struct("r", "first", "n")).alias("spans")))
+    joined = rows.select("id", "digest", "lines").alias("r").join(gone.hint("merge").alias("g"), F.expr("r.id <=> g.id and r.digest = g.digest"), "left")
+    none = F.array().cast("array<struct<r:int,first:int,n:int>>")
+    joined = joined.select("r.id", "lines", F.coalesce("spans", none).alias("spans"))
+    removed = F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["first"] + s["n"] - 1)))
+    joined = joined.withColumn("left", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), removed))
     return joined.select(
         F.col("id").alias(id_col),
-        F.array_join(F.flatten(left), "\n").alias(text_col),
-        total(F.col("chunks")).cast("long").alias("n_lines"),
-        F.size("chunks").cast("long").alias("n_chunks"),
-        F.size("ks").cast("long").alias("removed_chunks"),
-        (total(F.col("chunks")) - total(left)).cast("long").alias("removed_lines"),
+        F.array_join(F.transform("left", lambda i: F.get("lines", i)), "\n").alias(text_col),
+        F.size("lines").cast("long").alias("n_lines"),
+        _count(F.col("lines"), divisor).alias("n_chunks"),
+        F.size("spans").cast("long").alias("removed_chunks"),
+        (F.size("lines") - F.size("left")).cast("long").alias("removed_lines"),
     )
+
+
+def _count(lines: Column, divisor: int) -> Column:
+    """Chunks of all chunkings: one for each, and one more for each end before the last line."""
+    return (F.greatest(F.size(lines) - 2, F.lit(0)) + divisor).cast("long")

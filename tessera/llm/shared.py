@@ -49,6 +49,25 @@ def release(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def packed(df: DataFrame) -> Column:
+    """All columns of df as one, `row`, so that no name of theirs can clash; select("row.*") brings them back."""
+    return F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("row")
+
+
+def salted(rows: DataFrame, groups: DataFrame, key: str, n: str, spread: Column, salts: int = 64, hot: int = 4000) -> DataFrame:
+    """rows joined with groups (one row per key, n: rows that bear it), the rows of hot keys over `salts` tasks by a hash of `spread`.
+
+    A key is hot from total / hot rows on, so at most `hot` keys are; they are broadcast.
+    """
+    total = groups.agg(F.sum(n)).first()[0] or 0
+    often = groups.where((F.col(n) > salts) & (F.col(n) * hot >= total)).select(key, F.lit(salts).alias("_salts"))
+    salt = lambda x: F.coalesce("_salts", F.lit(1)) if x is None else F.coalesce(F.pmod(F.xxhash64(x), F.col("_salts")), F.lit(0)).cast("int")
+    left = rows.join(F.broadcast(often), key, "left").withColumn("_salt", salt(spread)).drop("_salts")
+    right = groups.join(F.broadcast(often), key, "left")
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), salt(None) - 1))).drop("_salts")
+    return left.join(right.hint("merge"), [key, "_salt"]).drop("_salt")
+
+
 def sweep(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of jobs that are over, which otherwise stay until the driver collects its garbage."""
     gc.collect()

@@ -13,8 +13,8 @@ MIX = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
 ), keyed AS (
-  SELECT *, lpad(length(bin(size))::VARCHAR, 2, '0') || substr(bin(size), 1, 3) AS class,
-    floor((('0x' || left(md5('mix:bin:' || coalesce(doc_id::VARCHAR, '')), 8))::BIGINT / 4294967296.0) * 256)::BIGINT AS bin FROM d
+  SELECT *, lpad(length(bin(size))::VARCHAR, 2, '0') || substr(bin(size), 1, 5) AS class,
+    floor((('0x' || left(md5('mix:bin:' || coalesce(doc_id::VARCHAR, '')), 8))::BIGINT / 4294967296.0) * 64)::BIGINT AS bin FROM d
 ), per AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 weighed AS (
   SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, 3 * source_size AS cap FROM per
@@ -32,17 +32,10 @@ weighed AS (
   SELECT r.doc_id, r.source, r.size, t.source_size, t.target, r.rank, t.start,
     CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS ratio
   FROM ranked r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source
-), turned AS (
-  SELECT c.*, j, (start + j / 16.0::DOUBLE) % 1.0::DOUBLE AS o FROM crossed c, range(16) t(j)
 ), counted AS (
-  SELECT *, (floor(rank * ratio + o) - floor((rank - 1) * ratio + o))::BIGINT AS copies FROM turned
-), words AS (
-  SELECT source, j, abs(sum(copies * size) - any_value(target)) AS off FROM counted GROUP BY source, j
-), best AS (
-  SELECT source, j FROM words QUALIFY row_number() OVER (PARTITION BY source ORDER BY off, j) = 1
+  SELECT *, (floor(rank * ratio + start) - floor((rank - 1) * ratio + start))::BIGINT AS copies FROM crossed
 )
-SELECT doc_id, c.source, size, source_size, target, copies, copies * size AS taken
-FROM counted c JOIN best b ON c.source IS NOT DISTINCT FROM b.source AND c.j = b.j
+SELECT doc_id, source, size, source_size, target, copies, copies * size AS taken FROM counted
 """
 
 LINES = r"""
@@ -51,15 +44,21 @@ WITH l AS (
   FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)
 ), cuts AS (
-  SELECT *, coalesce((h + 31 * lag(h) OVER w) % 3 = 0, false) AS ends FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+  SELECT l.*, c, coalesce((h + 31 * lag(h) OVER w) % 3 = c, false) AS ends FROM l, range(3) t(c) WINDOW w AS (PARTITION BY doc_id, c ORDER BY i)
 ), numbered AS (
-  SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM cuts
+  SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id, c ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM cuts
 ), chunks AS (
-  SELECT doc_id, k, count(*) AS lines, string_agg(line, chr(10) ORDER BY i) AS chunk FROM numbered GROUP BY doc_id, k
+  SELECT doc_id, c, k, min(i) AS first, count(*) AS lines, string_agg(line, chr(10) ORDER BY i) AS chunk FROM numbered GROUP BY doc_id, c, k
 ), marked AS (
-  SELECT *, lines >= 2 AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, k) > 1 AS gone FROM chunks
+  SELECT *, lines >= 2 AND (doc_id, first) <> (min((doc_id, first)) OVER (PARTITION BY chunk)) AS gone FROM chunks
+), counted AS (
+  SELECT doc_id, count(*) AS n_chunks, count(*) FILTER (gone) AS removed_chunks FROM marked GROUP BY doc_id
+), dropped AS (
+  SELECT DISTINCT n.doc_id, n.i FROM numbered n JOIN marked m ON n.doc_id = m.doc_id AND n.c = m.c AND n.k = m.k WHERE m.gone
+), kept AS (
+  SELECT l.*, d.i IS NOT NULL AS gone FROM l LEFT JOIN dropped d ON l.doc_id = d.doc_id AND l.i = d.i
+), texts AS (
+  SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text, count(*) AS n_lines, count(*) FILTER (gone) AS removed_lines FROM kept GROUP BY doc_id
 )
-SELECT doc_id, coalesce(string_agg(chunk, chr(10) ORDER BY k) FILTER (NOT gone), '') AS text, sum(lines)::BIGINT AS n_lines,
-  count(*) AS n_chunks, count(*) FILTER (gone) AS removed_chunks, coalesce(sum(lines) FILTER (gone), 0)::BIGINT AS removed_lines
-FROM marked GROUP BY doc_id
+SELECT doc_id, text, n_lines, n_chunks, removed_chunks, removed_lines FROM texts JOIN counted USING (doc_id)
 """
