@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut
+from .shared import cut, packed
 from .text import Hasher, constants, mix64, slices
 
 HASHES, DISTANCE, CHUNKS, WORDS = 64, 23, 16, 5
@@ -237,9 +237,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY, distance: int = DISTANCE) -> DataFrame:
-    """The rows of docs, with all their columns, but for those whose component has a smaller id.
+    """The rows of docs, with all their columns, whatever their names, but for those whose component has a smaller id.
 
-    A smaller similarity needs a larger distance, or more of its pairs are missed.
+    A smaller similarity needs a larger distance, or more of its pairs are missed. Rows that repeat a staying id
+    all stay, as do rows without words; nulls, ties and empty tables as in near_duplicates().
     """
-    kept = cut(near_duplicates(docs, id_col, text_col, similarity, distance=distance).where("kept").select(F.col(id_col).alias("_kid")).distinct())
-    return docs.join(kept.hint("merge"), docs[id_col].eqNullSafe(kept["_kid"]), "left_semi")
+    kept = cut(near_duplicates(docs, id_col, text_col, similarity, distance=distance).where("kept").select(F.col(id_col).alias("id")).distinct())
+    rows = docs.select(packed(docs), F.col(id_col).alias("id"))
+    return rows.join(kept.hint("merge"), rows["id"].eqNullSafe(kept["id"]), "left_semi").select("row.*")
