@@ -10,22 +10,23 @@ from tessera.sources.tables import table
 
 #: Columns in the order they are shown, which isn't alphabetical (fixed values).
 COLUMNS = ("view", "click", "signup", "purchase", "error")
-_RANK = "list_position(['view', 'click', 'signup', 'purchase', 'error'], event_type)"
 
 
-BINS = 1024
+#: Ranges that a group's keys are cut into, at quantiles.
+BINS = 64
 
 
 def placed(rows: DataFrame, group: str, key: str, tie: str) -> DataFrame:
-    """`rows` with position, long from 0 without gaps in each group by (key, tie).
+    """`rows` with position, long from 0 without gaps in each group by (key, tie); null keys come first, null groups are one.
 
-    A group isn't sorted in one task: a numeric key is cut into equal ranges, each range is numbered by
-    itself and starts at the count of those before. What is prefix-summed is BINS rows a group.
+    A group isn't sorted in one task: a numeric key is cut at approximate quantiles of the group, so clustered
+    keys spread as well; each range is numbered by itself and starts at the count of those before. What is
+    prefix-summed is BINS rows a group.
     """
     number = F.col(key).cast("double")
-    ends = rows.agg(F.min(number).alias("_low"), F.max(number).alias("_high"))
-    width = F.col("_high") - F.col("_low") + 1
-    cut = rows.join(F.broadcast(ends)).withColumn("_bin", F.floor((number - F.col("_low")) * BINS / width)).drop("_low", "_high")
+    bounds = rows.groupBy(F.col(group).alias("_q")).agg(F.percentile_approx(number, [i / BINS for i in range(1, BINS)], F.lit(20 * BINS)).alias("_bounds"))
+    cut = rows.join(bounds, F.col(group).eqNullSafe(F.col("_q")))
+    cut = cut.withColumn("_bin", F.when(number.isNull(), -1).otherwise(F.size(F.filter("_bounds", lambda b: b < number)))).drop("_q", "_bounds")
     earlier = Window.partitionBy(group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     starts = cut.groupBy(group, "_bin").agg(F.count(F.lit(1)).alias("_n"))
     starts = starts.select(F.col(group).alias("_g"), F.col("_bin").alias("_b"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
@@ -61,10 +62,15 @@ _CARDS = """WITH f AS (SELECT user_id, event_type, min(event_id) AS event_id FRO
 cards AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS position FROM f)"""
 
 
-@query(f"{_CARDS} SELECT event_type AS status, {_RANK} AS rank, count(*) AS cards, max(position) AS last FROM cards GROUP BY ALL")
+@query(f"""{_CARDS}, s AS (SELECT unnest(['view', 'click', 'signup', 'purchase', 'error', 'archived']) AS status, unnest([1, 2, 3, 4, 5, 6])::BIGINT AS rank)
+SELECT s.status, s.rank, count(c.event_id) AS cards, max(position) AS last FROM s LEFT JOIN cards c ON c.event_type = s.status AND c.event_type <> 'signup' GROUP BY ALL""")
 def board_columns(spark, sf_dir):
-    rank = F.array_position(F.array(*[F.lit(c) for c in COLUMNS]), F.col("event_type"))
-    return cards(table(spark, sf_dir, "events")).groupBy(F.col("event_type").alias("status"), rank.alias("rank")).agg(F.count(F.lit(1)).alias("cards"), F.max("position").alias("last"))
+    """Every column of the board with its cards, those without any too; cards of an unknown status (here: signup, held back) don't count."""
+    shown = [*COLUMNS, "archived"]
+    ranks = F.explode(F.arrays_zip(F.array(*[F.lit(c) for c in shown]).alias("status"), F.array(*[F.lit(i + 1) for i in range(len(shown))]).alias("rank")))
+    columns = spark.range(1).select(ranks.alias("s")).select("s.status", F.col("s.rank").cast("long").alias("rank"))
+    counts = cards(table(spark, sf_dir, "events")).where("event_type <> 'signup'").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("position").alias("last"))
+    return columns.join(counts, F.col("status") == F.col("event_type"), "left").select("status", "rank", F.coalesce("n", F.lit(0)).alias("cards"), "last")
 
 
 @query(f"{_CARDS} SELECT event_id, event_type AS status, row_number() OVER (PARTITION BY event_type ORDER BY position, event_id) - 1 AS position FROM cards WHERE event_id % 3 <> 0")
@@ -110,12 +116,13 @@ def card_detail(spark, sf_dir):
     return joined.select("o_orderkey", "o_orderstatus", "c_name", "n_name")
 
 
-@query("SELECT o_orderkey, o_custkey, count(*) OVER (PARTITION BY o_custkey) > 1 AS shared FROM orders")
+@query("SELECT o_orderkey, nullif(o_custkey, 7) AS o_custkey, count(*) OVER (PARTITION BY nullif(o_custkey, 7)) > 1 AS shared FROM orders")
 def shared_base(spark, sf_dir):
     """Orders whose customer has others: counts are aggregated first and joined back, so a hot customer splits."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.nullif("o_custkey", F.lit(7)).alias("o_custkey"))
     counts = orders.groupBy("o_custkey").agg((F.count(F.lit(1)) > 1).alias("shared"))
-    return orders.join(counts, "o_custkey").select("o_orderkey", "o_custkey", "shared")
+    counts = counts.withColumnRenamed("o_custkey", "_k")
+    return orders.join(counts, F.col("o_custkey").eqNullSafe(F.col("_k"))).select("o_orderkey", "o_custkey", "shared")
 
 
 @query("SELECT d.doc_id, left(text, 80) AS snippet, quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
@@ -130,3 +137,33 @@ def lineage_chain(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
     chain = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return chain.join(customers, F.col("n_nationkey") == F.col("c_nationkey"), "left").select("n_name", "r_name", F.coalesce("n", F.lit(0)).alias("customers"))
+
+
+def planned(cards: DataFrame, moves: DataFrame, status: str, position: str, id_col: str) -> DataFrame:
+    """moves (active, over_card or over_column) with from, at, to_column, index of where they lead, and noop.
+
+    Over a card of another column the card goes to its place there, over a column to its end; within its own
+    column it takes the place of the card it is over, or the last one. What leads nowhere else is no move.
+    """
+    where = cards.select(F.col(id_col).alias("_id"), F.col(status).alias("_s"), F.col(position).alias("_p"))
+    sizes = cards.groupBy(status).agg(F.count(F.lit(1)).alias("_n")).select(F.col(status).alias("_c"), "_n")
+    a, o = where.toDF("_a", "from", "at"), where.toDF("_o", "_os", "_op")
+    both = moves.join(a, F.col("active") == F.col("_a"), "left").join(o, F.col("over_card") == F.col("_o"), "left")
+    both = both.withColumn("to_column", F.coalesce("over_column", "_os", "from")).join(sizes, F.col("to_column") == F.col("_c"), "left")
+    own, n = F.col("from") == F.col("to_column"), F.coalesce("_n", F.lit(0))
+    index = F.when(F.col("over_column").isNotNull(), n - F.when(own, 1).otherwise(0)).otherwise(F.coalesce("_op", "at"))
+    noop = F.col("from").isNull() | F.coalesce(F.col("active") == F.col("over_card"), F.lit(False)) | (own & (index == F.col("at")))
+    return both.select(*moves.columns, "from", "at", "to_column", index.alias("index"), F.coalesce(noop, F.lit(True)).alias("noop"))
+
+
+@query(f"""{_CARDS}, n AS (SELECT event_type AS c, count(*) AS n FROM cards GROUP BY event_type),
+m AS (SELECT event_id AS active, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id + event_id % 2 * 40 END AS over_card, CASE WHEN event_id % 3 = 0 THEN 'purchase' END AS over_column, event_type, position FROM cards),
+p AS (SELECT m.*, coalesce(over_column, o.event_type, m.event_type) AS target, o.position AS op FROM m LEFT JOIN cards o ON o.event_id = m.over_card)
+SELECT active, target AS to_column, CASE WHEN over_column IS NOT NULL THEN n - (event_type = target)::INT ELSE coalesce(op, position) END AS index,
+active = over_card IS TRUE OR coalesce(active = over_card, false) OR (event_type = target AND CASE WHEN over_column IS NOT NULL THEN n - 1 ELSE coalesce(op, position) END = position) AS noop FROM p JOIN n ON n.c = target""".replace("active = over_card IS TRUE OR ", ""))
+def plan_moves(spark, sf_dir):
+    """Where cards dropped on others or on a column would go."""
+    board = cards(table(spark, sf_dir, "events")).select("event_id", "event_type", "position")
+    i = F.col("event_id")
+    moves = board.select(i.alias("active"), F.when(i % 3 != 0, i + i % 2 * 40).alias("over_card"), F.when(i % 3 == 0, "purchase").alias("over_column"))
+    return planned(board, moves, "event_type", "position", "event_id").select("active", "to_column", "index", "noop")

@@ -111,17 +111,17 @@ def phrase_cleanup(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", phrases.plain_words(F.col("text")).alias("text"))
 
 
-@query("""WITH p AS (SELECT l_suppkey AS key, lower(p_type) AS k, min((l_orderkey, l_linenumber)) AS place, max(p_type) AS s FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 1 GROUP BY ALL),
-h AS (SELECT DISTINCT l_suppkey AS key, lower(p_type) AS k FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 2),
-w AS (SELECT DISTINCT l_suppkey AS key, lower(p_type) AS k FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber = 3)
+@query("""WITH p AS (SELECT l_suppkey AS key, lower(p_type) AS k, min((l_orderkey, l_linenumber)) AS place, max(p_type) AS s FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber % 3 = 1 GROUP BY ALL),
+h AS (SELECT DISTINCT l_suppkey AS key, lower(p_type) AS k FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber % 3 = 2),
+w AS (SELECT DISTINCT l_suppkey AS key, lower(p_type) AS k FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber % 3 = 0)
 SELECT p.key, CASE WHEN h.k IS NOT NULL THEN 'existing' WHEN w.k IS NOT NULL THEN 'jd_added' WHEN contains(lower(s_name) || ' standard economy', p.k) THEN 'supported_by_resume' ELSE 'unsupported' END AS verdict, count(*) AS n
 FROM p JOIN supplier ON p.key = s_suppkey LEFT JOIN h ON p.key = h.key AND p.k = h.k LEFT JOIN w ON p.key = w.key AND p.k = w.k GROUP BY ALL""")
 def skill_targets(spark, sf_dir):
-    """What a supplier plans (first lines of orders), holds (second) and is asked for (third)."""
+    """What a supplier plans (first, fourth, ... lines of orders), holds (second, fifth, ...) and is asked for (the others)."""
     sold = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").join(table(spark, sf_dir, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
-    sold = sold.select(F.col("l_suppkey").alias("key"), F.struct("l_orderkey", "l_linenumber").alias("place"), F.col("p_type").alias("skill"), F.col("l_linenumber").alias("n"))
+    sold = sold.select(F.col("l_suppkey").alias("key"), F.struct("l_orderkey", "l_linenumber").alias("place"), F.col("p_type").alias("skill"), (F.col("l_linenumber") % 3).alias("n"))
     texts = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.concat("s_name", F.lit(" standard economy")).alias("text"))
-    out = scorers.verified_skills(sold.where("n = 1"), sold.where("n = 2").select("key", "skill"), sold.where("n = 3").select("key", "skill"), texts)
+    out = scorers.verified_skills(sold.where("n = 1"), sold.where("n = 2").select("key", "skill"), sold.where("n = 0").select("key", "skill"), texts)
     return out.groupBy("key", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 

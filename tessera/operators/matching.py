@@ -15,9 +15,21 @@ _KEY = f"length(t) >= 3 AND t NOT IN ({_STOP}) AND NOT regexp_matches(t, '^[0-9]
 _KEYS = f"list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9-]+')), lambda t: {_KEY})"
 
 
-def source_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """source, term: distinct, so a frequent word costs one row a source after the map side."""
-    return table(spark, sf_dir, "documents").select("source", F.explode(keywords(F.col("text"))).alias("term")).distinct()
+def source_terms(spark: SparkSession, sf_dir: str, asked: DataFrame | None = None) -> DataFrame:
+    """source, term: distinct, so a frequent word costs one row a source after the map side; of the terms asked for, if any."""
+    terms = table(spark, sf_dir, "documents").select("source", F.explode(keywords(F.col("text"))).alias("term"))
+    return (terms if asked is None else terms.join(asked.select("term").distinct(), "term", "left_semi").select("source", "term")).distinct()
+
+
+def all_pairs(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
+    """found (source, item_id, counts) with the pairs that have nothing in common, at 0; the items are the queries that each source is asked."""
+    sources = table(spark, sf_dir, "documents").select("source").distinct()
+    every = sources.join(F.broadcast(table(spark, sf_dir, "benchmark").select("item_id").distinct()))
+    # A null source is one like any other.
+    counts = [c for c in found.columns if c not in ("source", "item_id")]
+    right = found.withColumnsRenamed({"source": "_s", "item_id": "_i"})
+    both = every.join(right, F.col("source").eqNullSafe(F.col("_s")) & (F.col("item_id") == F.col("_i")), "left")
+    return both.select("source", "item_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
 
 
 def item_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,26 +39,30 @@ def item_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MATCHED = f"""
 WITH d AS (SELECT DISTINCT source, unnest({_KEYS}) AS term FROM documents),
 b AS (SELECT item_id, unnest({_KEYS}) AS term FROM benchmark),
-n AS (SELECT item_id, count(*) AS total FROM b GROUP BY item_id),
-m AS (SELECT source, item_id, count(*) AS matched FROM d JOIN b USING (term) GROUP BY source, item_id)
+n AS (SELECT x.item_id, count(term) AS total FROM benchmark x LEFT JOIN b USING (item_id) GROUP BY x.item_id),
+f AS (SELECT source, item_id, count(*) AS matched FROM d JOIN b USING (term) GROUP BY source, item_id),
+m AS (SELECT s.source, x.item_id, coalesce(matched, 0) AS matched FROM (SELECT DISTINCT source FROM documents) s CROSS JOIN (SELECT DISTINCT item_id FROM benchmark) x
+LEFT JOIN f ON f.source IS NOT DISTINCT FROM s.source AND f.item_id = x.item_id)
 """
 
 
-@query(f"{_MATCHED} SELECT source, item_id, matched, total, floor(matched * 100.0::DOUBLE / total + 0.5::DOUBLE)::BIGINT AS pct FROM m JOIN n USING (item_id)")
+@query(f"{_MATCHED} SELECT source, item_id, matched, total, CASE WHEN total > 0 THEN floor(matched * 100.0::DOUBLE / total + 0.5::DOUBLE)::BIGINT ELSE 0 END AS pct FROM m JOIN n USING (item_id)")
 def keyword_match_stats(spark, sf_dir):
     """How many of an item's keywords a source's documents have, and their whole percentage, halves up.
 
-    Pairs without a common keyword, at 0, aren't listed.
+    Every pair is listed, also those without a common keyword and items without any, at 0.
     """
     both = _matched(spark, sf_dir)
-    return both.select("source", "item_id", "matched", "total", F.floor(F.col("matched") * 100.0 / F.col("total") + 0.5).alias("pct"))
+    pct = F.when(F.col("total") > 0, F.floor(F.col("matched") * 100.0 / F.col("total") + 0.5)).otherwise(F.lit(0))
+    return both.select("source", "item_id", "matched", "total", pct.cast("long").alias("pct"))
 
 
 def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source, item_id, matched, total."""
     terms = item_terms(spark, sf_dir)
     totals = terms.groupBy("item_id").agg(F.count(F.lit(1)).alias("total"))
-    return source_terms(spark, sf_dir).join(terms, "term").groupBy("source", "item_id").agg(F.count(F.lit(1)).alias("matched")).join(totals, "item_id")
+    found = source_terms(spark, sf_dir, terms).join(terms, "term").groupBy("source", "item_id").agg(F.count(F.lit(1)).alias("matched"))
+    return all_pairs(spark, sf_dir, found).join(totals, "item_id", "left").withColumn("total", F.coalesce("total", F.lit(0)))
 
 
 @query(f"""WITH u AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9-]+')) AS t FROM benchmark),
@@ -87,20 +103,23 @@ def whole_term_hits(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", *[T.has_term(F.col("text"), t).alias(f"t{i}") for i, t in enumerate(TERMS)])
 
 
-_GAPS = f"""{_MATCHED}, h AS (SELECT item_id, count(*) AS held FROM b SEMI JOIN (SELECT DISTINCT term FROM d) x USING (term) GROUP BY item_id)"""
+_GAPS = f"""{_MATCHED}, h AS (SELECT x.item_id, count(y.term) AS held FROM benchmark x LEFT JOIN (SELECT item_id, term FROM b SEMI JOIN (SELECT DISTINCT term FROM d) z USING (term)) y USING (item_id) GROUP BY x.item_id)"""
 
 
 @query(f"""{_GAPS} SELECT source, item_id, total - matched AS missing, held - matched AS injectable, total - held AS non_injectable,
-matched * 100.0::DOUBLE / total AS current_pct, held * 100.0::DOUBLE / total AS potential_pct FROM m JOIN n USING (item_id) JOIN h USING (item_id)""")
+CASE WHEN total > 0 THEN matched * 100.0::DOUBLE / total ELSE 100.0 END AS current_pct, CASE WHEN total > 0 THEN held * 100.0::DOUBLE / total ELSE 100.0 END AS potential_pct FROM m JOIN n USING (item_id) JOIN h USING (item_id)""")
 def keyword_gap(spark, sf_dir):
-    """Keywords of an item that a source lacks: those that the whole corpus could supply, and those it lacks too."""
+    """Keywords of an item that a source lacks: those that the whole corpus could supply, and those it lacks too.
+
+    An item without keywords lacks none: 100 per cent.
+    """
     terms = item_terms(spark, sf_dir)
-    known = source_terms(spark, sf_dir).select("term").distinct()
+    known = source_terms(spark, sf_dir, terms).select("term").distinct()
     held = terms.join(known, "term", "left_semi").groupBy("item_id").agg(F.count(F.lit(1)).alias("held"))
-    m, n, h = F.col("matched"), F.col("total"), F.col("held")
-    return _matched(spark, sf_dir).join(held, "item_id").select(
+    m, n, h = F.col("matched"), F.col("total"), F.coalesce("held", F.lit(0))
+    return _matched(spark, sf_dir).join(held, "item_id", "left").select(
         "source", "item_id", (n - m).alias("missing"), (h - m).alias("injectable"), (n - h).alias("non_injectable"),
-        (m * 100.0 / n).alias("current_pct"), (h * 100.0 / n).alias("potential_pct"))
+        F.when(n > 0, m * 100.0 / n).otherwise(100.0).alias("current_pct"), F.when(n > 0, h * 100.0 / n).otherwise(100.0).alias("potential_pct"))
 
 
 #: Headings that tell of a section (fixed values).
@@ -113,11 +132,11 @@ SECTIONS = {
 WEIGHTS = {"keyword": 0.55, "skills": 0.25, "sections": 0.20}
 LONG = 8  # keywords of so many letters stand for an item's skills
 _HAS = [f"bool_or(regexp_matches(lower(coalesce(text, '')), '{'|'.join(p)}'))::INT" for p in SECTIONS.values()]
-_COMPOSITE = f"""{_MATCHED}, s AS (SELECT source, 25.0::DOUBLE * ({" + ".join(_HAS)}) AS sections FROM documents GROUP BY source),
+_COMPOSITE = f"""{_GAPS}, s AS (SELECT source, 25.0::DOUBLE * ({" + ".join(_HAS)}) AS sections FROM documents GROUP BY source),
 kb AS (SELECT item_id, count(*) AS skills FROM b WHERE length(term) >= {LONG} GROUP BY item_id),
 km AS (SELECT source, item_id, count(*) AS hits FROM d JOIN b USING (term) WHERE length(term) >= {LONG} GROUP BY source, item_id),
-c AS (SELECT source, item_id, matched * 100.0::DOUBLE / total AS keyword, coalesce(hits * 100.0::DOUBLE / skills, 0.0::DOUBLE) AS skills, sections
-FROM m JOIN n USING (item_id) JOIN s USING (source) LEFT JOIN kb USING (item_id) LEFT JOIN km USING (source, item_id))"""
+c AS (SELECT m.source, m.item_id, CASE WHEN total > 0 THEN matched * 100.0::DOUBLE / total ELSE 0.0 END AS keyword, total - matched AS lacking, held - matched AS injectable, coalesce(hits * 100.0::DOUBLE / skills, 0.0::DOUBLE) AS skills, sections
+FROM m JOIN n USING (item_id) JOIN h USING (item_id) JOIN s ON s.source IS NOT DISTINCT FROM m.source LEFT JOIN kb USING (item_id) LEFT JOIN km ON km.source IS NOT DISTINCT FROM m.source AND km.item_id = m.item_id)"""
 
 
 def weighted_score(keyword: Column, skills: Column, sections: Column) -> Column:
@@ -139,16 +158,21 @@ def advice(keyword: Column, skills: Column, sections: Column, missing: Column, i
 
 
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """source, item_id, matched, total, keyword, skills, sections; one pass over the matches."""
+    """source, item_id, matched, total, injectable, keyword, skills, sections of every pair; one pass over the matches."""
     long = F.length("term") >= LONG
     terms = item_terms(spark, sf_dir)
     totals = terms.groupBy("item_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(long).alias("n_skills"))
-    hits = source_terms(spark, sf_dir).join(terms, "term").groupBy("source", "item_id").agg(F.count(F.lit(1)).alias("matched"), F.count_if(long).alias("hits"))
+    held = source_terms(spark, sf_dir, terms)
+    hits = held.join(terms, "term").groupBy("source", "item_id").agg(F.count(F.lit(1)).alias("matched"), F.count_if(long).alias("hits"))
+    anywhere = terms.join(held.select("term").distinct(), "term", "left_semi").groupBy("item_id").agg(F.count(F.lit(1)).alias("held"))
     text = F.lower(F.coalesce("text", F.lit("")))
     flags = [F.bool_or(text.rlike("|".join(p))).cast("int") for p in SECTIONS.values()]
-    headed = table(spark, sf_dir, "documents").groupBy("source").agg((25.0 * sum(flags[1:], flags[0])).alias("sections"))
+    headed = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("_source")).agg((25.0 * sum(flags[1:], flags[0])).alias("sections"))
     skills = F.when(F.col("n_skills") > 0, F.col("hits") * 100.0 / F.col("n_skills")).otherwise(F.lit(0.0))
-    return hits.join(totals, "item_id").join(headed, "source").select("source", "item_id", "matched", "total", (F.col("matched") * 100.0 / F.col("total")).alias("keyword"), skills.alias("skills"), "sections")
+    keyword = F.when(F.col("total") > 0, F.col("matched") * 100.0 / F.col("total")).otherwise(F.lit(0.0))
+    pairs = all_pairs(spark, sf_dir, hits).join(totals, "item_id", "left").join(anywhere, "item_id", "left").join(headed, F.col("source").eqNullSafe(F.col("_source")))
+    total = F.coalesce("total", F.lit(0))
+    return pairs.select("source", "item_id", "matched", total.alias("total"), (F.coalesce("held", F.lit(0)) - F.col("matched")).alias("injectable"), keyword.alias("keyword"), skills.alias("skills"), "sections")
 
 
 @query(f"{_COMPOSITE} SELECT source, item_id, keyword, skills, sections, keyword * 0.55::DOUBLE + skills * 0.25::DOUBLE + sections * 0.2::DOUBLE AS score FROM c")
@@ -158,12 +182,12 @@ def composite_score(spark, sf_dir):
 
 
 @query(f"""{_COMPOSITE}, r AS (SELECT unnest(CASE WHEN len(list_filter(l, lambda x: x IS NOT NULL)) = 0 THEN ['aligned'] ELSE list_filter(l, lambda x: x IS NOT NULL) END) AS rule FROM
-(SELECT [CASE WHEN keyword < 60 AND keyword < 100 THEN 'add_missing' END, CASE WHEN skills < 60 THEN 'expand_skills' END,
+(SELECT [CASE WHEN keyword < 60 AND lacking > 0 THEN 'add_missing' END, CASE WHEN injectable > 0 THEN 'use_master' END, CASE WHEN skills < 60 THEN 'expand_skills' END,
 CASE WHEN sections < 75 THEN 'add_sections' END, CASE WHEN keyword >= 80 AND skills >= 80 THEN 'quantify' END] AS l FROM c))
 SELECT rule, count(*) AS pairs FROM r GROUP BY ALL""")
 def recommendations(spark, sf_dir):
-    """How often each piece of advice is given; no master text is at hand, so nothing is injectable."""
-    rules = advice(F.col("keyword"), F.col("skills"), F.col("sections"), F.col("total") - F.col("matched"), F.lit(0))
+    """How often each piece of advice is given; the whole corpus is the master text."""
+    rules = advice(F.col("keyword"), F.col("skills"), F.col("sections"), F.col("total") - F.col("matched"), F.col("injectable"))
     return _parts(spark, sf_dir).select(F.explode(rules).alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("pairs"))
 
 

@@ -39,11 +39,13 @@ def ordered_union_first_casing(spark, sf_dir):
     return first.select("conv_id", "term", F.col("f.w").alias("casing"))
 
 
-@query("""SELECT a.l_orderkey, a.l_linenumber, a.l_partkey AS part, b.l_partkey AS next_part FROM lineitem a LEFT JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1""")
+@query("""SELECT coalesce(a.l_orderkey, b.l_orderkey) AS l_orderkey, coalesce(a.l_linenumber, b.l_linenumber - 1) AS l_linenumber, a.l_partkey AS part, b.l_partkey AS next_part
+FROM lineitem a FULL JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1""")
 def positional_outer(spark, sf_dir):
+    """Lines beside the line of the place after theirs, on either side without a partner too."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     after = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("next_part"))
-    return lines.withColumnRenamed("l_partkey", "part").join(after, ["l_orderkey", "l_linenumber"], "left")
+    return lines.withColumnRenamed("l_partkey", "part").join(after, ["l_orderkey", "l_linenumber"], "full")
 
 
 @query("""SELECT o_orderkey, count(l_linenumber) AS lines, coalesce(sum(l_quantity), 0.0::DOUBLE) AS quantity FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL""")

@@ -1 +1,7 @@
-"""Part of tessera."""
+"""Part of tessera: streams. Functions travel to Python workers by value, so executors need no copy of the package."""
+
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])

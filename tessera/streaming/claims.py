@@ -1,13 +1,81 @@
-"""Leases over a stream: the first event of a user and type claims it until the watermark passes its lease."""
+"""Leases over a stream: an event claims its key unless another event holds it; a lease ends a fixed time after it was granted."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from tessera.plans.catalog import query
+
+LEASE_SECONDS = 3600
+OUT = "user_id long, event_type string, event_id long, ts timestamp, outcome string"
+
+
+def _granter(seconds: int):
+    lease = pd.Timedelta(seconds=seconds)
+
+    def work(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:  # the watermark passed the lease: the key is free
+            state.remove()
+            return
+        until = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+        for part in parts:
+            part = part.sort_values(["ts", "event_id"])
+            outcomes = []
+            for ts in part.ts:
+                free = until is None or ts >= until
+                until = ts + lease if free else until
+                outcomes.append("granted" if free else "busy")
+            yield pd.DataFrame({"user_id": key[0], "event_type": key[1], "event_id": part.event_id, "ts": part.ts, "outcome": outcomes})
+        state.update((int(until.value // 1000),))
+        end = int(until.value // 1_000_000)
+        if end > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(end)
+
+    return work
+
+
+def claims_stream(events: DataFrame, lease: int = LEASE_SECONDS, late: str = "10 minutes") -> DataFrame:
+    """user_id, event_type, event_id, ts, outcome (granted or busy) for a stream of events; append mode.
+
+    A user's events of a type compete for one lease of `lease` seconds, counted from the event it was granted to:
+    whoever comes before its end is turned away. State is one time per key and goes when the watermark passes it.
+    Events later than the watermark are dropped; within a micro-batch a key's events are taken in order of time.
+    Times are whole microseconds in UTC; null keys are a key like any other.
+    """
+    timed = events.select("user_id", "event_type", "event_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
+    return timed.groupBy("user_id", "event_type").applyInPandasWithState(_granter(lease), OUT, "until long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        import tempfile
+
+        at = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
+        spark.conf.set("spark.checkpoint.dir", at)
+    return f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def claims_stream(events: DataFrame, lease: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """window, user_id, event_type, claims, first for a stream of events; state older than the watermark is dropped."""
-    timed = events.withWatermark("ts", late)
-    out = timed.groupBy(F.window("ts", lease), "user_id", "event_type").agg(F.count(F.lit(1)).alias("claims"), F.min("event_id").alias("first"))
-    return out.select(F.col("window.start").alias("start"), "user_id", "event_type", "claims", "first")
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, event_type, event_id, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
+g AS (SELECT user_id, event_type, event_id, ts, n, ts + INTERVAL {LEASE_SECONDS} SECOND AS until, 'granted' AS outcome FROM e WHERE n = 1
+UNION ALL SELECT e.user_id, e.event_type, e.event_id, e.ts, e.n, CASE WHEN e.ts >= g.until THEN e.ts + INTERVAL {LEASE_SECONDS} SECOND ELSE g.until END, CASE WHEN e.ts >= g.until THEN 'granted' ELSE 'busy' END
+FROM g JOIN e ON e.user_id = g.user_id AND e.event_type = g.event_type AND e.n = g.n + 1)
+SELECT user_id, event_type, event_id, outcome FROM g""")
+def leases(spark, sf_dir):
+    """All events through the stream, as far as there are any; what it wrote is read back."""
+    path, folder = f"{sf_dir}/events.parquet", _folder(spark)
+    # A stream reads folders: the table's own, or the one its file lies in.
+    source = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "*.parquet")
+    events = source.parquet(f"{sf_dir}/events.parquet*")
+    out = claims_stream(events).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    out.awaitTermination()
+    return spark.read.schema(OUT).parquet(f"{folder}/out").drop("ts")
