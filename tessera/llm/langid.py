@@ -27,8 +27,10 @@ SAMPLE_CHARS, PIECE = 40_000, 500
 SEGMENT = 256
 #: Rounds of correction; texts that still change are parsed from end to end.
 ROUNDS = 4
-#: Characters worked on at a time.
+#: Characters worked on at a time; a text counts as a segment at least.
 CHUNK = 1 << 20
+#: Cells of full rows, 4 bytes each, that a worker holds at most.
+DENSE = 1 << 25
 FOLDS, HELD_OUT = 4, 2
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -84,12 +86,10 @@ def displaced(moves: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.n
             fits = np.flatnonzero(~owned[bases] & ~used[bases[:, None] + letters].any(axis=1))
             if len(fits):
                 break
-            at += 128
+            # Where no row of this size fits, the search goes on behind; states of one letter fill the gaps later.
+            at = low = at + 128
         place[s] = base = bases[fits[0]]
         owned[base] = used[base + letters] = True
-        # Rows are placed in order of size; where most bases are gone, the search goes on behind them.
-        while owned[low : low + 64].mean() > 0.7:
-            low += 64
     alone = [s for s in range(1, len(moves)) if len(moves[s]) == 1]
     room = size + len(moves) + width
     used, owned = (np.concatenate([x, np.zeros(room, bool)]) for x in (used, owned))
@@ -146,10 +146,16 @@ def build(samples: dict[str, str]) -> dict:
 
 
 class Parser:
-    """Parses texts against the samples of all languages."""
+    """Parses texts against the samples of all languages.
+
+    Where all languages' states times letters are DENSE at most, rows are laid out in full, which is faster; the parse
+    is the same.
+    """
 
     def __init__(self, model: dict):
         self.langs, self.classes, self.automata, self.bits = (model[k] for k in ("langs", "classes", "automata", "bits"))
+        cells = sum((np.count_nonzero(np.unique(a[0][a[0] >= 0] >> 32)) + 2) * len(a[1]) for a in self.automata)
+        self.steps = [(_full(*a) if cells <= DENSE else _sparse(*a)) for a in self.automata]
 
     def codes(self, text: str) -> np.ndarray:
         """Classes, runs of class 0 shortened to one."""
@@ -163,67 +169,71 @@ class Parser:
         """Phrases of each text in each language."""
         counts = np.array([-(-len(t) // SEGMENT) for t in texts])
         owner = np.repeat(np.arange(len(texts)), counts)
-        sizes = np.full(len(owner), SEGMENT)
+        n = len(owner)
+        sizes = np.full(n, SEGMENT)
         filled = counts > 0
         sizes[(np.cumsum(counts) - 1)[filled]] = [len(t) - (c - 1) * SEGMENT for t, c in zip(texts, counts, strict=True) if c]
-        flat = np.concatenate([*texts, np.zeros(SEGMENT, np.int16)]).astype(np.int32)
-        begins = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else sizes
-        follows = np.concatenate([[False], owner[1:] == owner[:-1]])  # segments that go on from the one before
+        flat = np.concatenate([*texts, np.zeros(SEGMENT, np.int16)])
+        begins = np.cumsum(sizes) - sizes
+        # Segments lie side by side, the longest first.
         order = np.argsort(-sizes, kind="stable")
-        alive = np.searchsorted(-sizes[order], -np.arange(SEGMENT), side="left")  # segments longer than k
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        before = np.where(order > 0, place[order - 1], 0)  # where the segment before one's own lies
+        follows = np.flatnonzero((order > 0) & (owner[order] == owner[order - 1])) if n else order
+        owner, sizes = owner[order], sizes[order]
+        codes = flat[begins[order] + np.arange(SEGMENT)[:, None]].astype(np.int32)
+        alive = np.searchsorted(-sizes, -np.arange(SEGMENT), side="left").tolist()  # segments longer than k
         out = np.zeros((len(texts), len(self.langs)))
-        for j, automaton in enumerate(self.automata):
-            entries, start, between = automaton
-            state, begun = np.full(len(owner), between), np.zeros((SEGMENT, len(owner)), bool)
-            for k in range(SEGMENT):
-                n = alive[k]
-                if not n:
+        for j, (step, start) in enumerate(self.steps):
+            state, new = np.full(n, start, np.int32), np.zeros((SEGMENT, n), bool)
+            for k, m in enumerate(alive):
+                if not m:
                     break
-                state[:n], begun[k, :n] = _step(entries, start, state[:n], flat[begins[order[:n]] + k])
-            ends, new = np.empty(len(owner), np.int64), np.empty((SEGMENT, len(owner)), bool)
-            ends[order], new[:, order] = state, begun
+                state[:m], new[k, :m] = step(state[:m], codes[k, :m])
             found = new.sum(axis=0)
-            if follows.any():
-                found = self._corrected(automaton, flat, begins, sizes, follows, owner, texts, new, ends, found)
+            if len(follows):
+                found = self._corrected(j, codes, sizes, follows, before, owner, texts, new, state, found)
             out[:, j] = np.bincount(owner, found, minlength=len(texts))
         return out
 
-    def _corrected(self, automaton, flat, begins, sizes, follows, owner, texts, new, ends, found):
+    def _corrected(self, j, codes, sizes, follows, before, owner, texts, new, ends, found):
         """Phrases that begin in each segment when the parse goes on from the segment before.
 
         A parse that goes on soon begins a phrase where the segment's own parse did; from there both agree.
         Where it doesn't before the segment's end, the next segment goes on from another state, and so on.
         """
-        entries, start, _ = automaton
+        step, _ = self.steps[j]
         left = np.cumsum(new[::-1], axis=0, dtype=np.int32)[::-1]  # phrases that begin at k or later
         found, after = found.copy(), ends.copy()
-        came = np.full(len(owner), -1, np.int64)  # the state a segment was last entered with
+        came = np.full(len(ends), -1, np.int64)  # the state a segment was last entered with
         for _ in range(ROUNDS):
-            at = np.flatnonzero(follows)
-            at = at[came[at] != after[at - 1]]
+            at = follows[came[follows] != after[before[follows]]]
             if not len(at):
                 return found
-            came[at] = state = after[at - 1]
-            count = np.zeros(len(at), np.int64)
+            came[at] = state = after[before[at]]
+            count, size = np.zeros(len(at), np.int64), sizes[at]
             for k in range(SEGMENT):
-                over = sizes[at] <= k
-                if over.any():
+                if size[-1] <= k:  # the shortest come last
+                    over = size <= k
                     found[at[over]], after[at[over]] = count[over], state[over]
-                    at, state, count = at[~over], state[~over], count[~over]
-                if not len(at):
-                    break
-                state, begins_here = _step(entries, start, state, flat[begins[at] + k])
-                met = begins_here & new[k, at]
+                    at, state, count, size = at[~over], state[~over], count[~over], size[~over]
+                    if not len(at):
+                        break
+                state, begins = step(state, codes[k, at])
+                met = begins & new[k, at]
                 if met.any():
                     found[at[met]], after[at[met]] = count[met] + left[k, at[met]], ends[at[met]]
-                    at, state, count, begins_here = at[~met], state[~met], count[~met], begins_here[~met]
-                count += begins_here
+                    more = ~met
+                    at, state, count, size, begins = at[more], state[more], count[more], size[more], begins[more]
+                    if not len(at):
+                        break
+                count += begins
             found[at], after[at] = count, state
-        again = np.flatnonzero(follows)
-        for i in np.unique(owner[again[came[again] != after[again - 1]]]):
+        for i in np.unique(owner[follows[came[follows] != after[before[follows]]]]):
             mine = np.flatnonzero(owner == i)
             found[mine] = 0
-            found[mine[0]] = whole_parse(automaton, texts[i])
+            found[mine[0]] = whole_parse(self.automata[j], texts[i])
         return found
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
@@ -239,11 +249,34 @@ class Parser:
         return out
 
 
-def _step(entries: np.ndarray, start: np.ndarray, state: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The states after one more letter each, and whether it begins a phrase."""
-    v = entries.take(state + codes)
-    begins = (v >> 32) != state
-    return np.where(begins, start.take(codes), v & 0xFFFFFFFF), begins
+def _sparse(entries: np.ndarray, start: np.ndarray, between: int):
+    """A step (the states after one more letter each, and whether it begins a phrase) on displaced rows, and its first state."""
+    start = start.astype(np.int32)
+
+    def step(state: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        v = entries.take(state + codes)
+        begins = (v >> 32) != state
+        return np.where(begins, start.take(codes), v.astype(np.int32)), begins
+
+    return step, between
+
+
+def _full(entries: np.ndarray, start: np.ndarray, between: int):
+    """The same on full rows: an entry is the next state's row, times 2, plus 1 where a phrase begins."""
+    width, held = len(start), np.flatnonzero(entries >= 0)
+    owner, then = entries[held] >> 32, entries[held] & 0xFFFFFFFF
+    names = np.unique(np.concatenate([owner, then, start, [between]]))
+    row = np.zeros(names[-1] + 1, np.int64)
+    row[names] = np.arange(len(names)) * width
+    table = np.tile(row[start] * 2 + 1, len(names))
+    table[row[owner] + held - owner] = row[then] * 2
+    table = table.astype(np.int32)
+
+    def step(state: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        v = table.take(state + codes)
+        return v >> 1, (v & 1).view(np.int32).astype(bool)
+
+    return step, int(row[between])
 
 
 def whole_parse(automaton: tuple, codes: np.ndarray) -> int:
@@ -288,7 +321,7 @@ def _predictor(shared):
                 some, size = [], 0
                 while lo + len(some) < batch.num_rows and (not some or size < CHUNK):
                     some.append(texts[lo + len(some)].as_py() or "")
-                    size += len(some[-1])
+                    size += max(SEGMENT, len(some[-1]))
                 said = parser.predict(some) if parser.langs else [("und", 0.0)] * len(some)
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, len(some)), pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())], names=["id", "lang_pred", "score"])
                 lo += len(some)
