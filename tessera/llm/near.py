@@ -12,7 +12,8 @@ has can't be in an intersection, and each bit in which two sets' bitmaps differ
 them has; both bound a pair's similarity from above before its sets are fetched. In a bucket
 all members are compared with its smallest member; where a bucket then still holds several components, the
 pairs that lie across components and pass that bound are compared as well, each in the first bucket that it
-shares, so no link between components is lost. Links are confirmed on the full sets.
+shares, so no link between components is lost; a large bucket is compared in blocks, in as many tasks. Links are
+confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from .text import Hasher, constants, mix64, slices
 HASHES, DISTANCE, CHUNKS, WORDS = 64, 23, 16, 5
 #: Longs of a set's bitmap.
 BITMAP = 16
+#: Members of a bucket that one task compares with all the others.
+BLOCK = 128
 #: Links have 100 * intersection >= SIMILARITY * union.
 SIMILARITY = 85
 
@@ -216,16 +219,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = cut(components(links))
     # Buckets whose members don't form one component yet.
     named = cut(members.where("a <> b").select("key", "which", "b", "nb", "ownb").join(found.select(F.col("id").alias("b"), "component"), "b", "left").withColumn("c", F.coalesce("component", "b")).drop("component"))
-    several = cut(named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key"))
+    several = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
+    # Comparing a bucket's members takes the square of their number: each task gets BLOCK of them against all.
+    several = cut(several.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
     rest = cut(named.join(several.hint("merge"), "key").join(reps.withColumnRenamed("rep", "b"), "b"))
-    left = rest.select("key", "which", F.col("b").alias("a"), F.col("nb").alias("na"), F.col("ownb").alias("owna"), F.col("c").alias("ca"), F.col("sign").alias("ga"), F.col("bits").alias("ma"))
-    right = rest.select(F.col("key").alias("key2"), "b", "nb", "ownb", F.col("c").alias("cb"), F.col("sign").alias("gb"), F.col("bits").alias("mb"))
+    left = rest.select("key", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), "which", F.col("b").alias("a"), F.col("nb").alias("na"), F.col("ownb").alias("owna"), F.col("c").alias("ca"), F.col("sign").alias("ga"), F.col("bits").alias("ma"))
+    right = rest.select(F.col("key").alias("key2"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block2"), "b", "nb", "ownb", F.col("c").alias("cb"), F.col("sign").alias("gb"), F.col("bits").alias("mb"))
     masks = F.array([F.lit(m) for m in key_masks(layout(HASHES, distance, chunks))])
     apart = difference(F.col("ga"), F.col("gb"))
     near = F.bit_count(apart) <= distance
     # A pair comes out of the first of the keys that it shares.
     earlier = F.exists(F.array(apart), lambda x: F.exists(F.slice(masks, F.lit(1), F.col("which")), lambda m: x.bitwiseAND(m) == 0))
-    across = left.hint("merge").join(right, (F.col("key") == F.col("key2")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
+    across = left.hint("merge").join(right, (F.col("key") == F.col("key2")) & (F.col("block") == F.col("block2")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
                                      & possible("a", "b") & alike() & near & ~earlier)
     more = cut(confirmed(cut(across.select("a", "b").distinct())))
     if not more.isEmpty():

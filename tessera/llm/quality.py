@@ -152,14 +152,14 @@ def _trainer(batches):
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = FOLDS, held_out: int = 0) -> dict:
     """The model from rows of docs with labels(doc_id, quality) outside the held-out fold.
 
-    Rows whose quality isn't 0 or 1, or whose id is null, teach nothing; of an id's rows one does. Without any
-    row every score is 0.5.
+    Rows whose quality isn't 0 or 1, or whose id is null, teach nothing; of an id's rows the one with the least
+    text does, so reruns agree. Without any row every score is 0.5.
     """
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", folds) != held_out))
     order = F.md5(F.col("doc_id").cast("string"))
     chosen = usable.groupBy("doc_id").agg(F.max("quality").cast("long").alias("y")).orderBy(order, "doc_id").limit(sample)
     # The sample's bound makes it fit to broadcast and to be one task's input.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     rows = rows.repartition(1).sortWithinPartitions(order, "doc_id").select("text", "y")
     found = rows.mapInArrow(_trainer, "head string, packed binary").collect()
     if not found:
@@ -194,7 +194,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs, with all their columns, whose text isn't rejected (score >= 0.3)."""
+    """The rows of docs, with all their columns, whatever their names, whose text isn't rejected (score >= 0.3).
+
+    Null and empty texts get the score of margin = bias; repeated rows and ties of scores stay or go together; an
+    empty table gives an empty result.
+    """
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     model = docs.sparkSession.sparkContext.broadcast(train(named, labels, sample))
     schema, place, score = docs.schema, docs.columns.index(text_col), _scorer(model)

@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,10 @@ LOWER = UPPER.lower()
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Folders of tables that cut() wrote and nobody deleted yet.
+_MADE: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; a folder of this machine only where the setting is absent (local tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -37,6 +43,7 @@ def cut(df: DataFrame, drop: list[DataFrame] | None = None) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
+    _MADE.append(path)
     for old in drop or []:
         release(old)
     return out
@@ -44,9 +51,29 @@ def cut(df: DataFrame, drop: list[DataFrame] | None = None) -> DataFrame:
 
 def release(df: DataFrame) -> None:
     """Deletes the files of a result of cut()."""
-    jvm = df.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df.cut_path)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df.cut_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if path in _MADE:
+        _MADE.remove(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes what cut() wrote inside the block, at its end, but for results put into the list it gives.
+
+    An operator's result reads tables of cut(), so it has to be used up, or be cut and kept, inside.
+    """
+    before, keep = set(_MADE), []
+    try:
+        yield keep
+    finally:
+        kept = {df.cut_path for df in keep}
+        for path in [p for p in _MADE if p not in before and p not in kept]:
+            _delete(spark, path)
 
 
 def packed(df: DataFrame) -> Column:
