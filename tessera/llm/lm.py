@@ -48,8 +48,6 @@ PARTS = 64
 FREQUENT = 4_000_000
 #: Tokens scored at a time.
 SCORED = 1 << 13
-#: How ids are stored.
-IDS = "<u4"
 _FAR = np.float32(-1e9)
 _SCALE = np.float32(DIM**-0.5)
 SHAPES = {"q": (SLOTS, DIM), "kv": (SLOTS, 2 * DIM), "u": (SLOTS, HIDDEN), "o": (DIM, HIDDEN), "b": (HIDDEN,), "far": (2 * HALF,),
@@ -356,18 +354,26 @@ def alike(pairs: np.ndarray) -> np.ndarray:
     return place
 
 
+def stored(size: int) -> str:
+    """How ids below size are stored."""
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
 def _slots(batches, of: np.ndarray) -> Iterator[np.ndarray]:
+    dtype = stored(len(of))
     for batch in batches:
         for ids in batch.column(batch.num_columns - 1):
-            yield of[np.frombuffer(ids.as_buffer(), IDS)]
+            yield of[np.frombuffer(ids.as_buffer(), dtype)]
 
 
 def _subword_counts(size: int):
+    dtype = stored(size)
+
     def run(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
-            some = [np.frombuffer(ids.as_buffer(), IDS) for ids in batch.column(0)]
-            total += np.bincount(np.concatenate([*some, np.zeros(0, IDS)]), minlength=size)
+            some = [np.frombuffer(ids.as_buffer(), dtype) for ids in batch.column(0)]
+            total += np.bincount(np.concatenate([*some, np.zeros(0, dtype)]), minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["token", "n"])
 
@@ -417,7 +423,8 @@ def _trainer(shared):
     """Trains on each shard of a partition sorted by shard."""
     def run(batches):
         of, start = shared.value
-        rows = ((shard, of[np.frombuffer(ids.as_buffer(), IDS)]) for b in batches for shard, ids in zip(b.column(0).to_pylist(), b.column(1), strict=True))
+        dtype = stored(len(of))
+        rows = ((shard, of[np.frombuffer(ids.as_buffer(), dtype)]) for b in batches for shard, ids in zip(b.column(0).to_pylist(), b.column(1), strict=True))
         for shard, some in groupby(rows, key=lambda r: r[0]):
             flat, weight = train_pass(start, (s for _, s in some), shard)
             yield _emitted(shard, flat, float(weight))
@@ -467,7 +474,7 @@ def fit_model(training: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, n
     flat = _averaged(start.mapInArrow(_starter(shared, INIT_STEPS), schema), 1, flat)
     shards = max(1, round(counts.sum() / SHARD))
     shared = spark.sparkContext.broadcast((of, flat))
-    dealt = training.select(F.pmod(order, F.lit(shards)).alias("shard"), order.alias("at"), "ids").repartition(shards, "shard").sortWithinPartitions("shard", "at", "ids")
+    dealt = training.select(F.pmod(order, F.lit(shards)).alias("shard"), order.alias("at"), "ids").repartitionByRange(shards, "shard").sortWithinPartitions("shard", "at", "ids")
     flat = _averaged(cut(dealt.select("shard", "ids").mapInArrow(_trainer(shared), schema)), shards, flat)
     return of, escapes(counts, np.where(rare, 1, 0)), flat
 
@@ -499,7 +506,7 @@ def _word_counts(batches):
         yield out()
 
 
-def _encoder(path: str, shared, divisor: float):
+def _encoder(path: str, shared, divisor: float, dtype: str):
     """Subword ids and base scores by frequent words; hashes of the other words."""
     def run(batches):
         known, counts = shared.value
@@ -518,7 +525,7 @@ def _encoder(path: str, shared, divisor: float):
                 words = np.bincount(doc, minlength=n)
                 rare, rare_of = h[~often].view(np.int64), doc[~often]
                 edges = np.searchsorted(rare_of, np.arange(n + 1)).astype(np.int32)
-                ids = [encoder.encode(texts[lo + i].as_py() or "").astype(IDS).tobytes() for i in range(n)]
+                ids = [encoder.encode(texts[lo + i].as_py() or "").astype(dtype).tobytes() for i in range(n)]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.arange(row, row + n)), batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(words.astype(np.int64) + 1), pa.array(found.astype(np.int64)),
                     pa.array(base), pa.ListArray.from_arrays(pa.array(edges), pa.array(rare)), pa.array(ids, pa.binary())], names=["row", "id", "train", "n_tokens", "found", "base", "rare", "ids"])
@@ -531,13 +538,14 @@ def _scorer(shared):
     """Rows with the model's score in place of their ids."""
     def run(batches):
         of, tail, flat = shared.value
+        dtype = stored(len(of))
         w = prepared(flat)
         for batch in batches:
             last = batch.num_columns - 1
             scores, a, size = np.zeros(batch.num_rows), 0, 0
             coded, tails = [], []
             for i, ids in enumerate(batch.column(last)):
-                ids = np.frombuffer(ids.as_buffer(), IDS)
+                ids = np.frombuffer(ids.as_buffer(), dtype)
                 coded.append(of[ids])
                 tails.append(tail[ids].sum())
                 size += len(ids) + HALF
@@ -584,7 +592,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     shared = spark.sparkContext.broadcast((h[order], (often.column("c").to_numpy() if often.num_rows else np.zeros(0, np.int64))[order]))
     schema = f"row long, id {dict(named.dtypes)['id']}, train boolean, n_tokens long, found long, base double, rare array<long>, ids binary"
     rows = named.select("id", "train", lower_ascii(F.coalesce("text", F.lit(""))).alias("text"))
-    encoded = cut(rows.mapInArrow(_encoder(path, shared, divisor), schema))
+    encoded = cut(rows.mapInArrow(_encoder(path, shared, divisor, stored(size)), schema))
     model = spark.sparkContext.broadcast(fit_model(encoded.where("train").select("id", "ids"), size))
     scored = encoded.select("row", "id", "n_tokens", "found", "base", "ids").mapInArrow(_scorer(model), f"row long, id {dict(named.dtypes)['id']}, n_tokens long, found long, base double, score double")
     probability = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / divisor)
