@@ -534,9 +534,9 @@ def test_lm_is_the_same_in_any_layout_and_beats_the_base(spark, monkeypatch):
 
 def test_lm_learns_from_all_training_documents(spark, monkeypatch):
     path, order = packing.default_tokenizer(), lambda i: hashlib.md5(str(i).encode()).hexdigest()
-    encoder = packing.Encoder(path)
+    encoder, size = packing.Encoder(path), lm._vocabulary(path)
     texts = {i: "zyxomma quorvat " * 40 if int(order(i)[:4], 16) % 16 else "plain words" for i in range(3000)}
-    coded = [(i, encoder.encode(t).astype(lm.IDS).tobytes()) for i, t in texts.items()]
+    coded = [(i, encoder.encode(t).astype(lm.stored(size)).tobytes()) for i, t in texts.items()]
     docs = spark.createDataFrame(coded, "id long, ids binary").coalesce(1)
     monkeypatch.setattr(lm, "INIT_STEPS", 1)
     seen = []
@@ -547,6 +547,6 @@ def test_lm_learns_from_all_training_documents(spark, monkeypatch):
         return averaged(learned, shards, otherwise)
 
     monkeypatch.setattr(lm, "_averaged", watched)
-    of, _, _ = lm.fit_model(docs, lm._vocabulary(path))
+    of, _, _ = lm.fit_model(docs, size)
     assert (of[encoder.encode("zyxomma quorvat ")] != of[-1]).all()
-    assert seen[-1] == sum(len(ids) // 4 + 1 for _, ids in coded)
+    assert seen[-1] == sum(len(ids) // 2 + 1 for _, ids in coded)
