@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import exact, mix, near, packing, quality
-from tessera.llm.shared import cut, read
+from tessera.llm.shared import cut, read, release, scratch
 
 #: Near copies share 80 of 100 word shingles; 28 of 64 minima miss a pair of that similarity about 4 times in 10^6.
 SIMILARITY, DISTANCE = 80, 28
@@ -53,7 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """The pieces of the last stage; what the stages before it wrote on the way is deleted as soon as it is used up."""
+    docs = before = None
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        with scratch(spark) as keep:
+            docs = cut(stage(spark, read(spark, sf_dir, "documents") if docs is None else docs, sf_dir))
+            keep.append(docs)
+        if before is not None:
+            release(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -24,18 +24,14 @@ PHRASES = {
 }
 #: Longer phrases first, so that one within another doesn't take it apart.
 ORDER = sorted(PHRASES, key=lambda p: (-len(p), p))
-ANY = "|".join(re.escape(p) for p in ORDER)
 
 
 def plain_words(text: Column, job: Column | None = None) -> Column:
     """The text with phrases replaced wherever they stand, without regard to case; those in the job's text stay.
 
-    Texts without any phrase are looked at once.
+    Phrases come in ORDER, each after the ones before it; only those that the text then holds are searched for.
     """
-    out = text
-    for phrase in ORDER:
-        pattern = F.lit("(?i)" + re.escape(phrase))
-        if job is not None:  # a pattern that never matches: `out` is used once, so the expression stays linear
-            pattern = F.when(F.contains(F.lower(job), F.lit(phrase)), F.lit("(?!)")).otherwise(pattern)
-        out = F.regexp_replace(out, pattern, F.lit(PHRASES[phrase]))
-    return F.when(text.rlike(f"(?i){ANY}"), out).otherwise(text)
+    steps = F.array(*[F.struct(F.lit(p).alias("phrase"), F.lit("(?i)" + re.escape(p)).alias("pattern"), F.lit(PHRASES[p]).alias("by")) for p in ORDER])
+    if job is not None:
+        steps = F.filter(steps, lambda s: ~F.coalesce(F.contains(F.lower(job), s["phrase"]), F.lit(False)))
+    return F.aggregate(steps, text, lambda out, s: F.when(F.contains(F.lower(out), s["phrase"]), F.regexp_replace(out, s["pattern"], s["by"])).otherwise(out))

@@ -125,9 +125,10 @@ def skill_targets(spark, sf_dir):
     return out.groupBy("key", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'education' ELSE '' END AS lost, CASE WHEN c_custkey % 2 = 0 THEN 'Elsewhere' ELSE '' END AS made_up, c_custkey % 5 <> 0 AS same_identity, TRUE AS is_meaningful FROM customer""")
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'workExperience,education' WHEN c_custkey % 3 = 0 THEN 'education' ELSE '' END AS lost, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 7 <> 0 THEN 'Elsewhere' ELSE '' END AS made_up,
+c_custkey % 5 <> 0 AND c_custkey % 7 <> 0 AS same_identity, c_custkey % 7 <> 0 AS is_meaningful FROM customer""")
 def tailoring_scores(spark, sf_dir):
-    """Records of which some lose a section, gain an employer or change their name."""
+    """Records of which some lose a section, gain an employer, change their name or say nothing any more."""
     c, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
 
     def record(name, education, *companies):
@@ -138,5 +139,6 @@ def tailoring_scores(spark, sf_dir):
     old = record(F.col("c_name"), school, F.col("c_mktsegment"))
     new = record(F.when(key % 5 == 0, F.lower("c_name")).otherwise(F.col("c_name")), F.when(key % 3 == 0, F.slice(school, 1, 0)).otherwise(school),
                  F.lower("c_mktsegment"), F.when(key % 2 == 0, F.lit("Elsewhere")).otherwise(F.lit(" ")))
-    out = scorers.score_pairs(c.select("c_custkey", old.alias("original"), new.alias("tailored")))
+    blank = F.lit('{"summary": " ", "sectionMeta": [{"displayName": "x"}]}')
+    out = scorers.score_pairs(c.select("c_custkey", old.alias("original"), F.when(key % 7 == 0, blank).otherwise(new).alias("tailored")))
     return out.select("c_custkey", F.array_join("lost", ",").alias("lost"), F.array_join("made_up", ",").alias("made_up"), "same_identity", "is_meaningful")

@@ -90,15 +90,15 @@ def alignment(tailored: DataFrame, master: DataFrame) -> DataFrame:
     return lacking.join(old.where("known <> ''"), "key", "left").groupBy("key", "value").agg(F.when(near, "info").otherwise("critical").alias("severity"))
 
 
-@query("""WITH s AS (SELECT DISTINCT l_suppkey, lower(p_type) AS v, year(l_shipdate) > 1995 AS late FROM lineitem JOIN part ON l_partkey = p_partkey),
+@query("""WITH s AS (SELECT DISTINCT l_suppkey, lower(p_name || ' ' || p_brand) AS v, year(l_shipdate) > 1997 AS late FROM lineitem JOIN part ON l_partkey = p_partkey),
 x AS (SELECT n.l_suppkey, n.v, (SELECT bool_or(contains(o.v, n.v) OR contains(n.v, o.v)) FROM s o WHERE NOT o.late AND o.l_suppkey = n.l_suppkey) AS near
 FROM s n WHERE n.late AND NOT EXISTS (SELECT 1 FROM s o WHERE NOT o.late AND o.l_suppkey = n.l_suppkey AND o.v = n.v))
 SELECT l_suppkey, count(*) AS violations, count(*) FILTER (near IS NOT TRUE) AS critical, greatest(0.0::DOUBLE, 1.0::DOUBLE - 0.1::DOUBLE * count(*)) AS confidence FROM x GROUP BY ALL""")
 def alignment_violations(spark, sf_dir):
-    """Part types that a supplier sells after 1995 without having sold them before."""
-    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", (F.year("l_shipdate") > 1995).alias("late"))
-    sold = lines.join(table(spark, sf_dir, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
-    sold = sold.select(F.col("l_suppkey").alias("key"), F.col("p_type").alias("value"), "late").distinct()
+    """Goods of a brand that a supplier sells after 1997 without having sold them before."""
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey", (F.year("l_shipdate") > 1997).alias("late"))
+    sold = lines.join(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    sold = sold.select(F.col("l_suppkey").alias("key"), F.concat_ws(" ", "p_name", "p_brand").alias("value"), "late").distinct()
     found = alignment(sold.where("late").drop("late"), sold.where("NOT late").drop("late"))
     return found.groupBy(F.col("key").alias("l_suppkey")).agg(
         F.count(F.lit(1)).alias("violations"), F.count_if(F.col("severity") == "critical").alias("critical"), F.greatest(F.lit(0.0), 1.0 - 0.1 * F.count(F.lit(1))).alias("confidence"))

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import aligned_styles
 from tessera.operators import preserve
 from tessera.operators.patches import _mapped, _parsed
 from tessera.operators.resumes import _LINES, order_records
@@ -22,7 +23,8 @@ def _as_json(entries) -> F.Column:
 @query(f"""WITH {_LINES} SELECT id, count(*) AS entries, string_agg(company, ',' ORDER BY company) AS companies, string_agg(years, ',' ORDER BY years) AS years, 2 * count(*) AS rows, '' AS left, true AS again FROM r GROUP BY id""")
 def finalize_records(spark, sf_dir):
     """Changed orders with everything their source asks for; doing it again changes nothing and breaks nothing."""
-    rows = order_records(spark, sf_dir).select("id", _as_json(F.col("old")).alias("source"), _as_json(F.reverse("new")).alias("candidate"))
+    old = F.transform("old", lambda e: e.withField("descriptionStyles", aligned_styles(e["description"], e["descriptionStyles"])))
+    rows = order_records(spark, sf_dir).select("id", _as_json(old).alias("source"), _as_json(F.reverse("new")).alias("candidate"))
     once = preserve.finalize(rows, review=False).select("id", "source", F.col("final").alias("candidate"), "left")
     twice = preserve.finalize(once.drop("left").withColumn("was", F.col("candidate")), review=False)
     entries = F.from_json(F.get_json_object("final", "$.workExperience"), "array<struct<company:string,years:string,description:array<string>>>")

@@ -1,17 +1,25 @@
-"""Files as tables: text by name, JSON lines, and documents with what their bytes say they are."""
+"""Files as tables: text by name, JSON lines, settings, and documents with what their bytes say they are."""
 
 from __future__ import annotations
 
+import json
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.containers import container_verdict
+
 MAX_UPLOAD = 4 * 1024 * 1024
-#: Extension, media type and the first bytes of the container in hex (fixed values).
+#: Extensions and media types (fixed values).
 TYPES = (
-    ("pdf", "application/pdf", "255044462D"),
-    ("docx", "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "504B0304"),
-    ("doc", "application/msword", "D0CF11E0A1B11AE1"),
+    ("pdf", "application/pdf"),
+    ("docx", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"),
+    ("doc", "application/msword"),
 )
+#: Seconds that settings are held for.
+SETTINGS_SECONDS = 300
+_SETTINGS: dict[str, tuple[float, dict]] = {}
 
 
 def _stem(path) -> F.Column:
@@ -19,9 +27,26 @@ def _stem(path) -> F.Column:
 
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
-    """key, text: whole files by their names without extension; a file is one row, an empty one none."""
-    files = spark.read.text(path, wholetext=True)
-    return files.select(_stem(F.col("_metadata.file_path")).alias("key"), F.col("value").alias("text"))
+    """key, text: whole files by their names without extension; a file is one row, an empty one an empty text."""
+    files = spark.read.format("binaryFile").load(path).where("length > 0").select("path", F.col("content").cast("string").alias("text"))
+    empty = spark.read.format("binaryFile").load(path).where("length = 0").select("path", F.lit("").alias("text"))
+    return files.unionByName(empty).select(_stem(F.col("path")).alias("key"), "text")
+
+
+def settings(spark: SparkSession, path: str, now: float | None = None) -> dict:
+    """A JSON file's object, held for SETTINGS_SECONDS; empty where there is no file or no object in it."""
+    now = time.monotonic() if now is None else now
+    held = _SETTINGS.get(path)
+    if held and now - held[0] < SETTINGS_SECONDS:
+        return dict(held[1])
+    try:
+        found = json.loads("\n".join(r.value for r in spark.read.text(path).collect()))
+    except Exception as e:  # no file, or no JSON in it
+        if not isinstance(e, ValueError) and "PATH_NOT_FOUND" not in str(e):
+            raise
+        found = {}
+    _SETTINGS[path] = now, found if isinstance(found, dict) else {}
+    return dict(_SETTINGS[path][1])
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -35,16 +60,17 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
-    """path, extension, size, media_type, verdict: accepted, too_large, unsupported or mislabelled.
+    """path, extension, size, media_type, verdict: accepted, empty, too_large, unsupported, encrypted or invalid.
 
-    A file's container has to begin as its extension says. Contents aren't converted to text.
-    Spark lists no empty files, so an empty upload has no row and is never accepted.
+    A file's container has to be what its extension says and to hold together. Only files of a known kind within
+    MAX_UPLOAD are read; of all others their names and sizes are looked at. Contents aren't converted to text.
     """
-    files = spark.read.format("binaryFile").load(path)
     extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    known = F.create_map(*[F.lit(x) for ext, _, head in TYPES for x in (ext, head)])
-    media = F.create_map(*[F.lit(x) for ext, kind, _ in TYPES for x in (ext, kind)])
-    head = F.hex(F.substring("content", 1, 8))
-    verdict = (F.when(known[extension].isNull(), "unsupported").when(F.col("length") > MAX_UPLOAD, "too_large")
-               .when(F.startswith(head, known[extension]), "accepted").otherwise("mislabelled"))
-    return files.select("path", extension.alias("extension"), F.col("length").alias("size"), media[extension].alias("media_type"), verdict.alias("verdict"))
+    media = F.create_map(*[F.lit(x) for row in TYPES for x in row])
+    known = media[extension].isNotNull()
+    fits = known & F.col("length").between(1, MAX_UPLOAD)
+    files = spark.read.format("binaryFile").load(path)
+    # The filter on length reaches the scan, which then leaves larger files alone.
+    read = files.where(F.col("length").between(1, MAX_UPLOAD)).where(fits).select("path", "length", container_verdict(extension, "content").alias("verdict"))
+    unread = files.select("path", "length").where(~fits).withColumn("verdict", F.when(~known, "unsupported").when(F.col("length") == 0, "empty").otherwise("too_large"))
+    return read.unionByName(unread).select("path", extension.alias("extension"), F.col("length").alias("size"), media[extension].alias("media_type"), "verdict")

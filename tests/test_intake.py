@@ -1,6 +1,9 @@
+import io
+import zipfile
+
 import pytest
 
-from tessera.functions import phrases
+from tessera.functions import containers, phrases
 from tessera.operators import scorers
 from tessera.sources import files
 
@@ -9,7 +12,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "t").mkdir()
     (tmp_path / "t" / "a.b.txt").write_text("x\ny\n")
     (tmp_path / "t" / "c.txt").write_text("")
-    assert [tuple(r) for r in files.texts(spark, str(tmp_path / "t")).orderBy("key").collect()] == [("a.b", "x\ny\n")]
+    assert [tuple(r) for r in files.texts(spark, str(tmp_path / "t")).orderBy("key").collect()] == [("a.b", "x\ny\n"), ("c", "")]
     frame = spark.createDataFrame([(1, None), (2, "é\n")], "k int, v string")
     files.write_json_lines(frame, str(tmp_path / "j"))
     assert sorted(map(tuple, files.json_lines(spark, str(tmp_path / "j"), "k int, v string").collect())) == [(1, None, None), (2, "é\n", None)]
@@ -17,11 +20,52 @@ def test_files(spark, tmp_path):
     assert [r._corrupt for r in files.json_lines(spark, str(tmp_path / "bad.json"), "k int").collect()] == [None, '{"k": ']
 
 
+def zipped(parts, encrypted=False):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, data in parts.items():
+            z.writestr(name, data)
+    data = bytearray(out.getvalue())
+    if encrypted:
+        data[data.index(b"PK\1\2") + 8] |= 1
+    return bytes(data)
+
+
+def compound(version=3, shift=9, sectors=4, tables=1, first=0, fat=(1,), order=b"\xfe\xff"):
+    head = bytearray(512)
+    head[:8], head[26:28], head[28:30], head[30:32], head[32:34] = containers.SIGNATURE, version.to_bytes(2, "little"), order, shift.to_bytes(2, "little"), (6).to_bytes(2, "little")
+    head[44:48], head[48:52] = tables.to_bytes(4, "little"), first.to_bytes(4, "little")
+    for i in range(109):
+        head[76 + 4 * i : 80 + 4 * i] = (fat[i] if i < len(fat) else 0xFFFFFFFF).to_bytes(4, "little")
+    return bytes(head) + bytes((1 << shift) * sectors - 512)
+
+
+WORD = {"[Content_Types].xml": "x", "word/document.xml": "y"}
+
+
 def test_documents(spark, tmp_path):
-    for name, data in {"a.PDF": b"%PDF-1.7", "b.docx": b"PK\3\4x", "c.doc": b"PK\3\4", "d.pdf": b"", "e.txt": b"x", "f.pdf": b"%PDF-" + b"0" * files.MAX_UPLOAD}.items():
+    found = {"a.PDF": b"%PDF-1.7", "b.docx": zipped(WORD), "b2.docx": b"PK\3\4x", "b3.docx": zipped({"word/document.xml": "y"}), "b4.docx": zipped(WORD, encrypted=True), "b5.docx": zipped(WORD | {"big": b"0" * (containers.MOST_BYTES + 1)}),
+             "c.doc": b"PK\3\4", "c2.doc": compound(), "d.pdf": b"", "e.txt": b"x", "f.pdf": b"%PDF-" + b"0" * files.MAX_UPLOAD, "g.pdf": b"PK"}
+    for name, data in found.items():
         (tmp_path / name).write_bytes(data)
     got = {r.path.rsplit("/", 1)[1]: r.verdict for r in files.documents(spark, str(tmp_path)).collect()}
-    assert got == {"a.PDF": "accepted", "b.docx": "accepted", "c.doc": "mislabelled", "e.txt": "unsupported", "f.pdf": "too_large"}
+    assert got == {"a.PDF": "accepted", "b.docx": "accepted", "b2.docx": "invalid", "b3.docx": "invalid", "b4.docx": "encrypted", "b5.docx": "too_large", "c.doc": "invalid", "c2.doc": "accepted", "d.pdf": "empty",
+                   "e.txt": "unsupported", "f.pdf": "too_large", "g.pdf": "invalid"}
+
+
+@pytest.mark.parametrize("changes,ok", [({}, True), ({"version": 4}, False), ({"version": 4, "shift": 12}, True), ({"sectors": 2}, False), ({"tables": 0}, False), ({"tables": 9}, False), ({"first": 3}, False), ({"fat": ()}, False),
+                                        ({"fat": (7,)}, False), ({"order": b"\xff\xfe"}, False)])
+def test_compound_files(changes, ok):
+    assert (containers.compound(compound(**changes)) == "accepted") is ok and containers.compound(compound()[:300]) == "invalid"
+
+
+def test_settings(spark, tmp_path):
+    path = tmp_path / "c.json"
+    assert files.settings(spark, str(path), 0) == {}
+    path.write_text('{"a": 1}')
+    assert files.settings(spark, str(path), 10) == {} and files.settings(spark, str(path), 400) == {"a": 1}
+    path.write_text("{broken")
+    assert files.settings(spark, str(path), 500) == {"a": 1} and files.settings(spark, str(path), 800) == {}
 
 
 @pytest.mark.parametrize("text,job,want", [
