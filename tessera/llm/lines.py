@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, salted
+from .shared import cut, salted, sweep
 
 #: Chunk ends of chunking r: after a line where (h[i] + 31 h[i-1]) mod DIVISOR = r; h: the first 32 bits of a line's MD5.
 DIVISOR = 3
@@ -59,12 +59,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.withColumn("digest", F.md5("t")).withColumn("lines", F.split("t", "\n", -1))
     some = rows.where(F.size("lines") >= min_lines)
     occ = some.select("id", "digest", F.explode(line_chunks(F.col("lines"), divisor)).alias("c")).where(F.col("c.n") >= min_lines)
-    occ = occ.select("id", "digest", "c.*").withColumn("h", F.md5("chunk"))
-    # Only hashes travel until one is seen in two places.
+    occ = occ.select("id", "digest", "c.r", "c.first", "c.n", F.md5("c.chunk").alias("h"))
+    # Only hashes travel until one is seen in two places; then each text comes to its candidates once.
     places = occ.groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     repeated = cut(places)
-    # A chunk of the same text and place in two chunkings is one occurrence.
-    seen = cut(salted(occ, repeated, "h", "times", F.xxhash64("id", "digest")).drop("times"))
+    again = salted(occ, repeated, "h", "times", F.xxhash64("id", "digest"))
+    again = again.groupBy("id", "digest").agg(F.collect_set(F.struct("r", "first", "n", "h")).alias("cs"))
+    met = rows.select("id", "digest", "lines").alias("r").join(again.hint("merge").alias("g"), F.expr("r.id <=> g.id and r.digest = g.digest"))
+    met = met.select("r.id", "r.digest", "lines", F.explode("cs").alias("c"))
+    seen = cut(met.select("id", "digest", "c.r", "c.first", "c.n", "c.h", F.array_join(F.slice("lines", F.col("c.first") + 1, F.col("c.n")), "\n").alias("chunk")))
+    sweep(docs.sparkSession)
     first = F.min(F.struct("id", "digest", "first")).alias("least")
     # Grouping by the chunk itself is the byte comparison.
     groups = seen.groupBy("h", "chunk").agg(first, F.count(F.lit(1)).alias("times")).where("times > 1")
