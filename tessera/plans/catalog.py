@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from tessera.operators import board, documents, leases, matching, monitor, records, requests, resumes, rewriting, state, store  # noqa: F401
+    from tessera.operators import board, documents, leases, matching, monitor, passes, records, requests, resumes, rewriting, state, store  # noqa: F401
     from tessera.streaming import claims  # noqa: F401
 
     return QUERIES, SQL
