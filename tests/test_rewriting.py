@@ -218,3 +218,24 @@ def test_finish_needs_the_owner(spark):
     after, outcomes = leases.finished(rows, ends, F.current_timestamp())
     assert {r.id: r.outcome for r in outcomes.collect()} == {1: "stale", 2: "committed", 3: "stale", 4: "missing"}
     assert {r.id: (r.status, r.token, r.data) for r in after.collect()} == {1: ("processing", "t", "d"), 2: ("failed", None, None), 3: ("ready", "t", "d")}
+
+
+def test_passes(spark):
+    from tessera.operators import passes
+
+    texts = spark.createDataFrame([(1, "I use Python在 work, C++ and e-mail"), (2, "pythonic 机器学习 use"), (3, None), (4, "")], "key int, text string")
+    terms = spark.createDataFrame([("Python",), ("c++",), ("学习",), ("e-mail",), (" ",), ("use",), ("work, C++",)], "term string")
+    got = {(r.key, r.term) for r in passes.term_hits(texts, terms).collect()}
+    assert got == {(1, "Python"), (1, "c++"), (1, "e-mail"), (1, "use"), (1, "work, C++"), (2, "学习"), (2, "use")}
+    rows = spark.createDataFrame([(1, "a"), (2, None)], "id int, t string")
+    out = passes.refined(rows, "t", [("up", F.upper), ("none", lambda t: F.lit(None)), ("same", lambda t: t)])
+    assert {r.id: (r.t, r.passes) for r in out.collect()} == {1: ("A", ["up"]), 2: (None, [])} and out.columns == ["id", "t", "passes"]
+    done = []
+    assert passes.measured("a", lambda: 3, done) == 3
+    with pytest.raises(ZeroDivisionError):
+        passes.measured("b", lambda: 1 / 0, done)
+    assert [(r["stage"], r["ok"], r["error"]) for r in done] == [("a", True, None), ("b", False, "ZeroDivisionError")]
+    board = spark.createDataFrame([(i, "x", i) for i in range(4)] + [(9, "y", 0)], "event_id long, event_type string, position long")
+    asked = spark.createDataFrame([(3, 0), (1, 1), (3, 2), (77, 3)], "id long, place long")
+    moved = sorted((r.event_type, r.position, r.event_id) for r in passes.moved_in_order(board, asked, "y").collect())
+    assert moved == [("x", 0, 0), ("x", 1, 2), ("y", 0, 9), ("y", 1, 1), ("y", 2, 3)]
