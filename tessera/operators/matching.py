@@ -266,3 +266,39 @@ def split_bullets(spark, sf_dir):
     """Non-blank lines without bullets, with their places."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("k", "line"))
     return rows.select("doc_id", (F.col("k") + 1).cast("long").alias("place"), "line")
+
+
+@query(f"""{_COMPOSITE}, p AS (SELECT m.source, m.item_id, b.term, d.term IS NOT NULL AS has, x.term IS NOT NULL AS anywhere FROM m JOIN b USING (item_id) LEFT JOIN d ON d.source IS NOT DISTINCT FROM m.source AND d.term = b.term
+LEFT JOIN (SELECT DISTINCT term FROM d) x ON x.term = b.term), r AS (SELECT *, row_number() OVER (PARTITION BY source, item_id, anywhere ORDER BY term) AS k FROM p WHERE NOT has),
+l AS (SELECT source, item_id, string_agg(term, ',' ORDER BY term) FILTER (NOT anywhere AND k <= 10) AS missing, string_agg(term, ',' ORDER BY term) FILTER (anywhere AND k <= 10) AS injectable FROM r GROUP BY ALL)
+SELECT c.source, c.item_id, round_even(least(greatest(keyword, 0), 100) * 0.55::DOUBLE + skills * 0.25::DOUBLE + sections * 0.2::DOUBLE, 1) AS overall, coalesce(missing, '') AS missing, coalesce(l.injectable, '') AS injectable
+FROM c LEFT JOIN l ON l.source IS NOT DISTINCT FROM c.source AND l.item_id = c.item_id""")
+def match_report(spark, sf_dir):
+    """The whole score to one place, and up to ten keywords each that no source has and that another source has, by alphabet."""
+    parts = _parts(spark, sf_dir)
+    score = F.bround(weighted_score(F.col("keyword"), F.col("skills"), F.col("sections")), 1)
+    terms = item_terms(spark, sf_dir)
+    held = source_terms(spark, sf_dir, terms).withColumn("has", F.lit(True))
+    anywhere = held.select("term").distinct().withColumn("anywhere", F.lit(True))
+    named = held.withColumnsRenamed({"source": "_s", "term": "_t"})
+    lacking = parts.select("source", "item_id").join(terms, "item_id").join(named, F.col("source").eqNullSafe(F.col("_s")) & (F.col("term") == F.col("_t")), "left").where("has is null").join(anywhere, "term", "left")
+    some = lambda c: F.array_join(F.slice(F.array_sort(F.collect_list(F.when(c, F.col("term")))), 1, 10), ",")
+    lists = lacking.groupBy(F.col("source").alias("_source"), F.col("item_id").alias("_item")).agg(some(F.col("anywhere").isNull()).alias("missing"), some(F.col("anywhere").isNotNull()).alias("injectable"))
+    both = parts.drop("injectable").join(lists, F.col("source").eqNullSafe(F.col("_source")) & (F.col("item_id") == F.col("_item")), "left")
+    return both.select("source", "item_id", score.alias("overall"), F.coalesce("missing", F.lit("")).alias("missing"), F.coalesce("injectable", F.lit("")).alias("injectable"))
+
+
+def with_cache(rows: DataFrame, text: str, cache: DataFrame, compute: Column, name: str) -> DataFrame:
+    """rows with `name` and cached: taken from cache (hash, value) where a text's hash is there, computed elsewhere."""
+    known = cache.select(F.col("hash").alias("_hash"), F.col("value").alias("_value"))
+    both = rows.join(known, F.sha2(F.coalesce(text, F.lit("")), 256) == F.col("_hash"), "left")
+    return both.withColumns({name: F.when(F.col("_hash").isNotNull(), F.col("_value")).otherwise(compute), "cached": F.col("_hash").isNotNull()}).drop("_hash", "_value")
+
+
+@query(f"""WITH h AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(len({_KEYS}), -1) AS n FROM documents), c AS (SELECT DISTINCT t FROM h WHERE doc_id % 2 = 0)
+SELECT doc_id, c.t IS NOT NULL AS cached, CASE WHEN c.t IS NOT NULL THEN 0 ELSE n END AS n FROM h LEFT JOIN c USING (t)""")
+def keyword_cache(spark, sf_dir):
+    """Keywords of documents, not worked out again for texts that even ids hold in the cache (which says 0 here)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cache = docs.where("doc_id % 2 = 0").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash")).distinct().withColumn("value", F.lit(0))
+    return with_cache(docs, "text", cache, F.coalesce(F.size(keywords(F.col("text"))), F.lit(-1)), "n").select("doc_id", "cached", F.col("n").cast("long").alias("n"))
