@@ -11,6 +11,8 @@ is lost altogether.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,19 +49,19 @@ def line_chunks(lines: Column, divisor: int = DIVISOR) -> Column:
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR,
-                min_lines: int = MIN_LINES) -> DataFrame:
+                min_lines: int = MIN_LINES, digest: Callable[[Column], Column] = F.md5) -> DataFrame:
     """One row per row of docs: id, text without repeated chunks, n_lines, n_chunks, removed_chunks, removed_lines.
 
     Chunks are counted over all chunkings. The first occurrence by (id, first line) stays, nulls first. Null
     text counts as empty and comes back empty. Rows that repeat one id and one text count as one occurrence and
     come out alike. A text all of whose lines repeat earlier chunks becomes empty. An empty table gives an empty
-    result; other columns are ignored.
+    result; other columns are ignored. Any digest of chunks gives the same result.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     rows = rows.withColumn("digest", F.md5("t")).withColumn("lines", F.split("t", "\n", -1))
     some = rows.where(F.size("lines") >= min_lines)
     occ = some.select("id", "digest", F.explode(line_chunks(F.col("lines"), divisor)).alias("c")).where(F.col("c.n") >= min_lines)
-    occ = occ.select("id", "digest", "c.r", "c.first", "c.n", F.md5("c.chunk").alias("h"))
+    occ = occ.select("id", "digest", "c.r", "c.first", "c.n", digest(F.col("c.chunk")).alias("h"))
     # Only hashes travel until one is seen in two places; then each text comes to its candidates once.
     places = occ.groupBy("h").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     repeated = cut(places)
@@ -69,13 +71,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = met.select("r.id", "r.digest", "lines", F.explode("cs").alias("c"))
     seen = cut(met.select("id", "digest", "c.r", "c.first", "c.n", "c.h", F.array_join(F.slice("lines", F.col("c.first") + 1, F.col("c.n")), "\n").alias("chunk")))
     sweep(docs.sparkSession)
-    first = F.min(F.struct("id", "digest", "first")).alias("least")
-    # Grouping by the chunk itself is the byte comparison.
-    groups = seen.groupBy("h", "chunk").agg(first, F.count(F.lit(1)).alias("times")).where("times > 1")
-    groups = cut(groups.withColumn("key", F.sha2("chunk", 256)).select("key", "h", "chunk", "least", "times"))
-    keyed = seen.withColumn("key", F.sha2("chunk", 256)).withColumnsRenamed({"h": "h2", "chunk": "chunk2"})
-    gone = salted(keyed, groups, "key", "times", F.xxhash64("id", "digest")).where("h = h2 and chunk = chunk2").where(
-        ~F.struct("id", "digest", "first").eqNullSafe(F.col("least")))
+    here = F.struct("id", "digest", "first")
+    # Grouping by the chunk itself is the byte comparison: a hash of one content settles the rest without the text.
+    contents = seen.groupBy("h", "chunk").agg(F.min(here).alias("least"), F.count(F.lit(1)).alias("times"))
+    by_hash = cut(contents.groupBy("h").agg(F.min("least").alias("least"), F.sum("times").alias("times"), F.count(F.lit(1)).alias("contents")))
+    sure = salted(seen.drop("chunk"), by_hash.where("contents = 1 and times > 1"), "h", "times", F.xxhash64("id", "digest"))
+    gone = sure.where(~here.eqNullSafe(F.col("least"))).select("id", "digest", "r", "first", "n")
+    if not by_hash.where("contents > 1").isEmpty():
+        clashing = seen.join(by_hash.where("contents > 1").select("h"), "h", "left_semi")
+        apart = clashing.join(clashing.groupBy("h", "chunk").agg(F.min(here).alias("least")), ["h", "chunk"])
+        gone = gone.unionByName(apart.where(~here.eqNullSafe(F.col("least"))).select("id", "digest", "r", "first", "n"))
     gone = cut(gone.groupBy("id", "digest").agg(F.collect_set(F.struct("r", "first", "n")).alias("spans")))
     joined = rows.select("id", "digest", "lines").alias("r").join(gone.hint("merge").alias("g"), F.expr("r.id <=> g.id and r.digest = g.digest"), "left")
     none = F.array().cast("array<struct<r:int,first:int,n:int>>")
