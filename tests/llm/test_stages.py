@@ -107,6 +107,13 @@ def test_passages_are_found_by_length(spark):
     assert found[12] >= 0.95 and found[8] >= 0.9 and found[5] >= 0.55 and covered[12] >= 0.6
 
 
+def test_chunk_digests_with_two_contents(spark):
+    rng = random.Random(9)
+    docs = spark.createDataFrame([(i, "\n".join(rng.choice("abc") for _ in range(rng.randint(0, 12)))) for i in range(80)], "doc_id long, text string")
+    plain = sorted(map(tuple, lines.dedup_lines(docs).collect()))
+    assert plain == sorted(map(tuple, lines.dedup_lines(docs, digest=lambda c: F.length(c).cast("string")).collect())) and any(r[-1] for r in plain)
+
+
 def test_quality_solver_and_ratios():
     rng = np.random.default_rng(4)
     y = (rng.random(40) < 0.4).astype(np.int64)
