@@ -25,6 +25,12 @@ WORD = "[^\x20\x09-\x0d]+"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+@pytest.fixture(autouse=True)
+def short_start(monkeypatch):
+    """A short start of the language model, where its quality isn't looked at."""
+    monkeypatch.setattr(lm, "INIT_STEPS", 30)
+
+
 @pytest.fixture(scope="module")
 def odd(spark):
     """Nulls everywhere, empty, wordless and long texts, ties, repeated rows, clashing columns."""
