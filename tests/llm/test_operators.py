@@ -456,7 +456,7 @@ def test_pipeline(spark):
         keep[key] = max(keep.get(key, -1), r.doc_id)
     assert sorted(r.doc_id for r in b.collect()) == sorted(keep.values())
     a, b = by["near_dedup"]
-    assert sorted(r.doc_id for r in b.collect()) == sorted(r.doc_id for r in near.near_duplicates(a).where("kept").collect())
+    assert sorted(r.doc_id for r in b.collect()) == sorted(r.doc_id for r in near.near_duplicates(a, similarity=corpus_pipeline.SIMILARITY, distance=corpus_pipeline.DISTANCE).where("kept").collect())
     a, b = by["mix"]
     assert b.count() == mix.mix_counts(a).agg(F.sum("copies")).first()[0]
     a, b = by["pack"]
