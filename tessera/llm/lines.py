@@ -67,8 +67,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated = cut(places)
     again = salted(occ, repeated, "h", "times", F.xxhash64("id", "digest"))
     again = again.groupBy("id", "digest").agg(F.collect_set(F.struct("r", "first", "n", "h")).alias("cs"))
-    met = rows.select("id", "digest", "lines").alias("r").join(again.hint("merge").alias("g"), F.expr("r.id <=> g.id and r.digest = g.digest"))
-    met = met.select("r.id", "r.digest", "lines", F.explode("cs").alias("c"))
+    # A text is smaller than its lines while it travels.
+    met = rows.select("id", "digest", "t").alias("r").join(again.hint("merge").alias("g"), F.expr("r.id <=> g.id and r.digest = g.digest"))
+    met = met.select("r.id", "r.digest", F.split("t", "\n", -1).alias("lines"), F.explode("cs").alias("c"))
     seen = cut(met.select("id", "digest", "c.r", "c.first", "c.n", "c.h", F.array_join(F.slice("lines", F.col("c.first") + 1, F.col("c.n")), "\n").alias("chunk")))
     sweep(docs.sparkSession)
     here = F.struct("id", "digest", "first")
@@ -82,9 +83,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         apart = clashing.join(clashing.groupBy("h", "chunk").agg(F.min(here).alias("least")), ["h", "chunk"])
         gone = gone.unionByName(apart.where(~here.eqNullSafe(F.col("least"))).select("id", "digest", "r", "first", "n"))
     gone = cut(gone.groupBy("id", "digest").agg(F.collect_set(F.struct("r", "first", "n")).alias("spans")))
-    joined = rows.select("id", "digest", "lines").alias("r").join(gone.hint("merge").alias("g"), F.expr("r.id <=> g.id and r.digest = g.digest"), "left")
+    sweep(docs.sparkSession)
+    joined = rows.select("id", "digest", "t").alias("r").join(gone.hint("merge").alias("g"), F.expr("r.id <=> g.id and r.digest = g.digest"), "left")
     none = F.array().cast("array<struct<r:int,first:int,n:int>>")
-    joined = joined.select("r.id", "lines", F.coalesce("spans", none).alias("spans"))
+    joined = joined.select("r.id", F.split("t", "\n", -1).alias("lines"), F.coalesce("spans", none).alias("spans"))
     removed = F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["first"] + s["n"] - 1)))
     joined = joined.withColumn("left", F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), removed))
     return joined.select(
