@@ -201,7 +201,9 @@ def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     model = docs.sparkSession.sparkContext.broadcast(train(named, labels, sample))
-    schema, place, score = docs.schema, docs.columns.index(text_col), _scorer(model)
+    place, score = docs.columns.index(text_col), _scorer(model)
+    # Columns go by their place, so any name will do.
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
 
     def run(batches):
         for batch in batches:
@@ -209,4 +211,4 @@ def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             scores = next(score(iter([texts]))).column(1).to_numpy()
             yield batch.filter(pa.array(scores >= THRESHOLD))
 
-    return docs.mapInArrow(run, schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
