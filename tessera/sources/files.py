@@ -26,11 +26,22 @@ def _stem(path) -> F.Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
 
 
+def _empty(spark: SparkSession, path: str) -> DataFrame:
+    """path of the empty files that a path or pattern names, or that lie in the folders it names; Spark's readers list none.
+
+    The driver lists names, as it does for any read.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f for s in fs.globStatus(at) or [] for f in (fs.listStatus(s.getPath()) if s.isDirectory() else [s])]
+    names = [f.getPath().toString() for f in found if f.isFile() and f.getLen() == 0 and f.getPath().getName()[:1] not in "._"]
+    return spark.createDataFrame([(n,) for n in names], "path string")
+
+
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """key, text: whole files by their names without extension; a file is one row, an empty one an empty text."""
-    files = spark.read.format("binaryFile").load(path).where("length > 0").select("path", F.col("content").cast("string").alias("text"))
-    empty = spark.read.format("binaryFile").load(path).where("length = 0").select("path", F.lit("").alias("text"))
-    return files.unionByName(empty).select(_stem(F.col("path")).alias("key"), "text")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return files.unionByName(_empty(spark, path).withColumn("text", F.lit(""))).select(_stem(F.col("path")).alias("key"), "text")
 
 
 def settings(spark: SparkSession, path: str, now: float | None = None) -> dict:
@@ -70,7 +81,8 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     known = media[extension].isNotNull()
     fits = known & F.col("length").between(1, MAX_UPLOAD)
     files = spark.read.format("binaryFile").load(path)
+    empty = _empty(spark, path).select("path", F.lit(0).cast("long").alias("length"), F.when(~known, "unsupported").otherwise("empty").alias("verdict"))
     # The filter on length reaches the scan, which then leaves larger files alone.
     read = files.where(F.col("length").between(1, MAX_UPLOAD)).where(fits).select("path", "length", container_verdict(extension, "content").alias("verdict"))
-    unread = files.select("path", "length").where(~fits).withColumn("verdict", F.when(~known, "unsupported").when(F.col("length") == 0, "empty").otherwise("too_large"))
-    return read.unionByName(unread).select("path", extension.alias("extension"), F.col("length").alias("size"), media[extension].alias("media_type"), "verdict")
+    unread = files.select("path", "length").where(~fits).withColumn("verdict", F.when(~known, "unsupported").otherwise("too_large"))
+    return read.unionByName(unread).unionByName(empty).select("path", extension.alias("extension"), F.col("length").alias("size"), media[extension].alias("media_type"), "verdict")
