@@ -25,10 +25,9 @@ def finalize_records(spark, sf_dir):
     """Changed orders with everything their source asks for; doing it again changes nothing and breaks nothing."""
     old = F.transform("old", lambda e: e.withField("descriptionStyles", aligned_styles(e["description"], e["descriptionStyles"])))
     rows = order_records(spark, sf_dir).select("id", _as_json(old).alias("source"), _as_json(F.reverse("new")).alias("candidate"))
-    once = preserve.finalize(rows, review=False).select("id", "source", F.col("final").alias("candidate"), "left")
-    twice = preserve.finalize(once.drop("left").withColumn("was", F.col("candidate")), review=False)
+    done = preserve.finalize(rows, review=False, made=("final", "left", "again"))
     entries = F.from_json(F.get_json_object("final", "$.workExperience"), "array<struct<company:string,years:string,description:array<string>>>")
-    out = twice.select("id", entries.alias("e"), F.array_join("left", ",").alias("left"), (F.col("final") == F.col("was")).alias("again"))
+    out = done.select("id", entries.alias("e"), F.array_join("left", ",").alias("left"), "again")
     joined = lambda f: F.array_join(F.array_sort(F.transform("e", lambda x: x[f])), ",")
     return out.select("id", F.size("e").cast("long").alias("entries"), joined("company").alias("companies"), joined("years").alias("years"),
                       F.aggregate("e", F.lit(0), lambda n, x: n + F.size(x["description"])).cast("long").alias("rows"), "left", "again")
@@ -41,7 +40,7 @@ def contract_faults(spark, sf_dir):
     bare = lambda c: F.transform(c, lambda e: e.dropFields("descriptionStyles"))
     rows = order_records(spark, sf_dir).where(F.size(F.array_distinct(F.transform("old", lambda e: e["id"]))) == F.size("old"))
     rows = rows.where(~F.exists("old", lambda e: e["id"] == 0))
-    out = preserve.finalize(rows.select("id", _as_json(bare("old")).alias("source"), _as_json(bare("new")).alias("candidate")))
+    out = preserve.finalize(rows.select("id", _as_json(bare("old")).alias("source"), _as_json(bare("new")).alias("candidate")), made=("faults",))
     return out.select("id", F.array_join("faults", ",").alias("faults"))
 
 
