@@ -18,7 +18,9 @@ hash.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
+from functools import cache
 from itertools import groupby
 from math import isqrt
 
@@ -51,20 +53,46 @@ SCORED = 1 << 13
 _FAR = np.float32(-1e9)
 _SCALE = np.float32(DIM**-0.5)
 SHAPES = {"q": (SLOTS, DIM), "kv": (SLOTS, 2 * DIM), "u": (SLOTS, HIDDEN), "o": (DIM, HIDDEN), "b": (HIDDEN,), "far": (2 * HALF,),
-          "c": (GROUPS, HIDDEN), "c0": (GROUPS,), "m": (GROUPS, GROUP, HIDDEN), "m0": (GROUPS, GROUP)}
+          "c": (GROUPS, HIDDEN + 1), "m": (GROUPS, GROUP, HIDDEN + 1)}
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 #: Where the tables of the output side begin.
-OUTPUT = SIZE - sum(int(np.prod(SHAPES[k])) for k in ("c", "c0", "m", "m0"))
+OUTPUT = SIZE - sum(int(np.prod(SHAPES[k])) for k in ("c", "m"))
+_ENDS = np.cumsum([int(np.prod(s)) for s in SHAPES.values()]).tolist()
+
+
+def tables(flat: np.ndarray) -> dict[str, np.ndarray]:
+    """The model's tables, as parts of one array; c and m with their biases as last column."""
+    return {name: flat[a:b].reshape(shape) for (name, shape), a, b in zip(SHAPES.items(), [0, *_ENDS], _ENDS, strict=False)}
 
 
 def views(flat: np.ndarray) -> dict[str, np.ndarray]:
-    """The model's tables, as parts of one array."""
-    out, at = {}, 0
-    for name, shape in SHAPES.items():
-        n = int(np.prod(shape))
-        out[name] = flat[at : at + n].reshape(shape)
-        at += n
-    return out
+    """The model's tables and biases, each by itself."""
+    out = tables(flat)
+    c, m = out.pop("c"), out.pop("m")
+    return out | {"c": c[:, :HIDDEN], "c0": c[:, HIDDEN], "m": m[:, :, :HIDDEN], "m0": m[:, :, HIDDEN]}
+
+
+def keep_memory() -> None:
+    """Lets the C library reuse the memory of freed arrays of up to 32 MB, 64 MB at most; to get it from the system anew costs as much as many of the sums."""
+    try:
+        change = ctypes.CDLL(None).mallopt
+    except (OSError, AttributeError, TypeError):  # another C library
+        return
+    change(-3, 1 << 25)
+    change(-1, 1 << 26)
+
+
+def _hidden_inputs(w: dict) -> tuple[np.ndarray, np.ndarray]:
+    """u and o such that take(u) + (values @ o) is the hidden layer before its cut at 0, with a one as last column."""
+    u, o = np.ones((SLOTS, HIDDEN + 1), np.float32), np.zeros((DIM, HIDDEN + 1), np.float32)
+    np.add(w["u"], w["b"], out=u[:, :HIDDEN])
+    o[:, :HIDDEN] = w["o"]
+    return u, o
+
+
+def _held_below(x: np.ndarray, top: int) -> None:
+    if x.size and not x.max() <= top:
+        np.minimum(x, np.float32(top), out=x)
 
 
 def start_weights(seed: int = 5) -> np.ndarray:
@@ -83,63 +111,47 @@ _FIRST = np.where(np.arange(2 * HALF) < HALF, _FAR, np.float32(0))
 
 
 def prepared(flat: np.ndarray) -> dict:
-    """Tables for scoring: scaled queries; keys, values and a one side by side; exp of the distances' biases, 0 where masked."""
-    w = views(flat)
+    """Tables for scoring: p, the attention of any two slots; v, values and a one side by side; exp of the distances' biases, 0 where masked."""
+    w = tables(flat)
     one = np.ones((SLOTS, 1), np.float32)
+    p = (w["q"] * _SCALE) @ w["kv"][:, :DIM].T
+    _held_below(p, 60)
     bias = np.exp(np.minimum(w["far"][_DISTANCE], 20)) * (_CAUSAL == 0)
-    out = w | {"q": w["q"] * _SCALE, "kv": np.concatenate([w["kv"], one], axis=1), "bias": bias.astype(np.float32)}
-
-    def long(x):
-        return float(np.sqrt((x.astype(np.float64) ** 2).sum(axis=-1)).max())
-
-    # Bounds of all exponents, by the lengths of their factors: only larger ones need clipping.
-    z = long(w["u"]) + long(w["kv"][:, DIM:]) * float(np.linalg.norm(w["o"])) + float(np.linalg.norm(w["b"]))
-    tops = (long(out["q"]) * long(w["kv"][:, :DIM]), z * long(w["c"]) + abs(w["c0"]).max(), z * long(w["m"]) + abs(w["m0"]).max())
-    return out | {"clip": [t > 60 for t in tops]}
+    u, o = _hidden_inputs(w)
+    return w | {"p": np.exp(p).reshape(-1), "v": np.concatenate([w["kv"][:, DIM:], one], axis=1), "bias": bias.astype(np.float32), "u": u, "o": o}
 
 
 def log_probabilities(w: dict, x: np.ndarray, y: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Natural log P(y) of each place, from prepared weights. x, y: (blocks, HALF); first: whether a block begins its text."""
     n, ones = len(x), np.ones(GROUP, np.float32)
-    kv = np.empty((n, 2 * HALF, 2 * DIM + 1), np.float32)
-    np.take(w["kv"], x, axis=0, out=kv[:, HALF:], mode="clip")
-    kv[1:, :HALF] = kv[:-1, HALF:]
-    kv[:1, :HALF] = kv[:1, HALF:]
-    s = w["q"].take(x, axis=0, mode="clip") @ kv[:, :, :DIM].transpose(0, 2, 1)
-    if w["clip"][0]:
-        np.minimum(s, np.float32(60), out=s)
-    np.exp(s, out=s)
+    keys = np.empty((n, 2 * HALF), np.int64)
+    keys[:, HALF:] = x
+    keys[1:, :HALF], keys[:1, :HALF] = x[:-1], x[:1]
+    s = w["p"].take((keys[:, HALF:] * SLOTS)[:, :, None] + keys[:, None, :], mode="clip")
     s *= w["bias"]
     s[first, :, :HALF] = 0
-    o = (s @ kv[:, :, DIM:]).reshape(-1, DIM + 1)
-    z = (o[:, :DIM] / o[:, DIM:]) @ w["o"]
-    z += w["u"].take(x.reshape(-1), axis=0, mode="clip")
-    z += w["b"]
-    np.maximum(z, 0, out=z)
+    o = (s @ w["v"].take(keys, axis=0, mode="clip")).reshape(-1, DIM + 1)
     t = y.reshape(-1)
     group = (t // GROUP).astype(np.int16)
     order = np.argsort(group, kind="stable")
-    edges = np.searchsorted(group[order], np.arange(GROUPS + 1))
-    z = z.take(order, axis=0, mode="clip")
-    ts = t[order] % GROUP
+    edges = np.searchsorted(group[order], np.arange(GROUPS + 1)).tolist()
+    o = o.take(order, axis=0, mode="clip")
+    z = (o[:, :DIM] / o[:, DIM:]) @ w["o"]
+    z += w["u"].take(x.reshape(-1)[order], axis=0, mode="clip")
+    np.maximum(z, np.zeros_like(z), out=z)
     c = z @ w["c"].T
-    c += w["c0"]
-    if w["clip"][1]:
-        np.minimum(c, np.float32(80), out=c)
-    inner = np.empty(len(t), np.float32)
+    m = np.empty((len(t), GROUP), np.float32)
     for g in range(GROUPS):
         a, b = edges[g], edges[g + 1]
         if a < b:
-            inner[a:b] = c[a:b, g]
-            m = z[a:b] @ w["m"][g].T
-            m += w["m0"][g]
-            if w["clip"][2]:
-                np.minimum(m, np.float32(80), out=m)
-            inner[a:b] += m[np.arange(b - a), ts[a:b]]
-            np.exp(m, out=m)
-            inner[a:b] -= np.log(m @ ones)
-    np.exp(c, out=c)
-    inner -= np.log(c @ np.ones(GROUPS, np.float32))
+            np.matmul(z[a:b], w["m"][g].T, out=m[a:b])
+    _held_below(c, 80)
+    _held_below(m, 80)
+    rows = np.arange(len(t)) * GROUP
+    inner = c.reshape(-1).take(rows // GROUP * GROUPS + group[order], mode="clip") + m.reshape(-1).take(rows + t[order] % GROUP, mode="clip")
+    for e in (c, m):
+        np.exp(e, out=e)
+        inner -= np.log(e @ ones[: e.shape[1]])
     out = np.empty(len(t))
     out[order] = inner
     return out.reshape(y.shape)
@@ -155,55 +167,59 @@ def _summed(ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def gradients(flat: np.ndarray, x: np.ndarray, y: np.ndarray, first: np.ndarray, before: np.ndarray, valid: np.ndarray, inputs: bool = True) -> np.ndarray:
-    """Derivatives of the mean loss over valid places, laid out as the weights; those of the input side only if asked for."""
-    w, grad = views(flat), np.zeros(SIZE, np.float32)
-    g, n, ones = views(grad), len(x), np.ones(max(x.size, 2 * HALF), np.float32)
+def gradients(flat: np.ndarray, x: np.ndarray, y: np.ndarray, first: np.ndarray, before: np.ndarray, valid: np.ndarray, inputs: bool = True, out: np.ndarray | None = None) -> np.ndarray:
+    """Derivatives of the mean loss over valid places, laid out as the weights; those of the input side only if asked for.
+
+    out: an array to use for the result, whose input side stays as it is if not asked for.
+    """
+    w, grad = tables(flat), np.zeros(SIZE, np.float32) if out is None else out
+    g, n, ones = tables(grad), len(x), np.ones(max(GROUPS, GROUP, 2 * HALF), np.float32)
     keys = np.concatenate([before, x], axis=1)
-    q = w["q"].take(x, axis=0)
+    q = w["q"].take(x, axis=0, mode="clip")
     q *= _SCALE
-    kv = w["kv"].take(keys, axis=0)
+    kv = w["kv"].take(keys, axis=0, mode="clip")
     k, v = kv[:, :, :DIM], kv[:, :, DIM:]
     a = _weights(q @ k.transpose(0, 2, 1), w["far"], first)
-    o = (a @ v).reshape(-1, DIM)
-    z = o @ w["o"]
-    z += w["u"].take(x.reshape(-1), axis=0)
-    z += w["b"]
-    np.maximum(z, 0, out=z)
+    o, total = a @ v, (a @ ones[: 2 * HALF])[:, :, None]
+    o /= total
+    o = o.reshape(-1, DIM)
     t = y.reshape(-1)
     group = (t // GROUP).astype(np.int16)
     order = np.argsort(group, kind="stable")
     group, ts, rows = group[order], t[order] % GROUP, np.arange(len(t))
     edges = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
-    z = z.take(order, axis=0)
+    hidden_u, hidden_o = _hidden_inputs(w)
+    z = o.take(order, axis=0, mode="clip") @ hidden_o
+    z += hidden_u.take(x.reshape(-1)[order], axis=0, mode="clip")
+    np.maximum(z, np.zeros_like(z), out=z)
     scale = (valid.reshape(-1)[order] / max(1, valid.sum())).astype(np.float32)
 
     def toward(e: np.ndarray, want: np.ndarray) -> None:
         """Turns logits into the loss's derivatives by them."""
-        np.minimum(e, np.float32(40), out=e)
+        _held_below(e, 40)
         np.exp(e, out=e)
         e *= (scale / (e @ ones[: e.shape[1]]))[:, None]
-        e[rows, want] -= scale
+        e.reshape(-1)[rows * e.shape[1] + want] -= scale
 
     c = z @ w["c"].T
-    c += w["c0"]
     toward(c, group)
-    g["c"][:], g["c0"][:] = c.T @ z, ones[: len(c)] @ c
+    np.matmul(c.T, z, out=g["c"])
     m = np.empty((len(t), GROUP), np.float32)
     parts = [(i, slice(edges[i], edges[i + 1])) for i in range(GROUPS) if edges[i] < edges[i + 1]]
     for i, at in parts:
         np.matmul(z[at], w["m"][i].T, out=m[at])
-        m[at] += w["m0"][i]
     toward(m, ts)
+    g["m"][:] = 0
     for i, at in parts:
         np.matmul(m[at].T, z[at], out=g["m"][i])
-        g["m0"][i] = ones[: at.stop - at.start] @ m[at]
     if not inputs:
         return grad
-    dz = c @ w["c"]
+    a /= total
+    wc, wm, ones = w["c"][:, :HIDDEN], w["m"][:, :, :HIDDEN], np.ones(max(len(t), 2 * HALF), np.float32)
+    dz = c @ wc
     for i, at in parts:
-        dz[at] += m[at] @ w["m"][i]
-    dz *= z > 0
+        dz[at] += m[at] @ wm[i]
+    dz *= z[:, :HIDDEN] > 0
     back = np.empty_like(order)
     back[order] = rows
     dz = dz.take(back, axis=0)
@@ -220,12 +236,11 @@ def gradients(flat: np.ndarray, x: np.ndarray, y: np.ndarray, first: np.ndarray,
 
 
 def _weights(s: np.ndarray, far: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Attention weights from the scores s: biased by distance, causal, within the text."""
-    np.minimum(s, np.float32(60), out=s)
+    """Attention weights from the scores s, yet to be divided by their sums: biased by distance, causal, within the text."""
+    _held_below(s, 60)
     np.exp(s, out=s)
     s *= (np.exp(np.minimum(far, 20))[_DISTANCE] * (_CAUSAL == 0)).astype(np.float32)
     s[first, :, :HALF] = 0
-    s /= (s @ np.ones(2 * HALF, np.float32))[:, :, None]
     return s
 
 
@@ -238,13 +253,17 @@ class Adam:
 
     def step(self, grad: np.ndarray, rate: float) -> None:
         self.n += 1
-        self.one += np.float32(0.1) * (grad - self.one)
+        self.one *= np.float32(0.9)
+        self.one += np.float32(0.1) * grad
         np.square(grad, out=grad)
-        self.two += np.float32(0.01) * (grad - self.two)
+        grad *= np.float32(0.01)
+        self.two *= np.float32(0.99)
+        self.two += grad
         size = np.sqrt(self.two)
         size += np.float32(1e-7)
         np.divide(self.one, size, out=size)
-        self.flat -= np.float32(rate * np.sqrt(1 - 0.99**self.n) / (1 - 0.9**self.n)) * size
+        size *= np.float32(rate * np.sqrt(1 - 0.99**self.n) / (1 - 0.9**self.n))
+        self.flat -= size
 
 
 def train(flat: np.ndarray, texts: list[np.ndarray], steps: int, seed: int = 0, rate: float = INIT_RATE) -> np.ndarray:
@@ -266,7 +285,7 @@ def train_pass(flat: np.ndarray, texts: Iterable[np.ndarray], seed: int = 0, rat
 
     Every step moves the tables of the output side, every INPUTS-th those of the input side too.
     """
-    flat = flat.copy()
+    flat, grad = flat.copy(), np.zeros(SIZE, np.float32)
     adams, rng, learned = (Adam(flat[:OUTPUT]), Adam(flat[OUTPUT:])), np.random.default_rng(seed), 0
 
     def learn(pool: list[np.ndarray]) -> int:
@@ -276,7 +295,7 @@ def train_pass(flat: np.ndarray, texts: Iterable[np.ndarray], seed: int = 0, rat
         for a in range(0, len(x), BATCH):
             at = order[a : a + BATCH]
             inputs = adams[1].n % INPUTS == 0
-            grad = gradients(flat, x[at], y[at], first[at], before[at], valid[at], inputs)
+            gradients(flat, x[at], y[at], first[at], before[at], valid[at], inputs, grad)
             slower = rate / np.sqrt(1 + adams[1].n / 100)
             if inputs:
                 adams[0].step(grad[:OUTPUT], slower)
@@ -382,6 +401,7 @@ def _subword_counts(size: int):
 
 def _pair_counts(shared):
     def run(batches):
+        keep_memory()
         total = np.zeros(SLOTS * SLOTS, np.int64)
         held, size = [], 0
 
@@ -411,6 +431,7 @@ def _emitted(shard: int, flat: np.ndarray, weight: float) -> pa.RecordBatch:
 
 def _starter(shared, steps: int):
     def run(batches):
+        keep_memory()
         of, flat = shared.value
         texts = list(_slots(batches, of))
         if texts:
@@ -422,6 +443,7 @@ def _starter(shared, steps: int):
 def _trainer(shared):
     """Trains on each shard of a partition sorted by shard."""
     def run(batches):
+        keep_memory()
         of, start = shared.value
         dtype = stored(len(of))
         rows = ((shard, of[np.frombuffer(ids.as_buffer(), dtype)]) for b in batches for shard, ids in zip(b.column(0).to_pylist(), b.column(1), strict=True))
@@ -487,6 +509,7 @@ def _merge(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _word_counts(batches):
+    keep_memory()
     hasher = Hasher()
     held: list[np.ndarray] = []
     size = 0
@@ -506,11 +529,18 @@ def _word_counts(batches):
         yield out()
 
 
+@cache
+def _tools(path: str) -> tuple[Encoder, Hasher]:
+    """Made once in a Python worker, not in each of its tasks."""
+    return Encoder(path), Hasher()
+
+
 def _encoder(path: str, shared, divisor: float, dtype: str):
     """Subword ids and base scores by frequent words; hashes of the other words."""
     def run(batches):
+        keep_memory()
         known, counts = shared.value
-        encoder, hasher = Encoder(path), Hasher()
+        encoder, hasher = _tools(path)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = batch.column(2)
@@ -525,7 +555,7 @@ def _encoder(path: str, shared, divisor: float, dtype: str):
                 words = np.bincount(doc, minlength=n)
                 rare, rare_of = h[~often].view(np.int64), doc[~often]
                 edges = np.searchsorted(rare_of, np.arange(n + 1)).astype(np.int32)
-                ids = [encoder.encode(texts[lo + i].as_py() or "").astype(dtype).tobytes() for i in range(n)]
+                ids = [encoder.encode(text or "").astype(dtype).tobytes() for text in texts.slice(lo, n).to_pylist()]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.arange(row, row + n)), batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(words.astype(np.int64) + 1), pa.array(found.astype(np.int64)),
                     pa.array(base), pa.ListArray.from_arrays(pa.array(edges), pa.array(rare)), pa.array(ids, pa.binary())], names=["row", "id", "train", "n_tokens", "found", "base", "rare", "ids"])
@@ -537,6 +567,7 @@ def _encoder(path: str, shared, divisor: float, dtype: str):
 def _scorer(shared):
     """Rows with the model's score in place of their ids."""
     def run(batches):
+        keep_memory()
         of, tail, flat = shared.value
         dtype = stored(len(of))
         w = prepared(flat)

@@ -556,3 +556,20 @@ def test_lm_learns_from_all_training_documents(spark, monkeypatch):
     of, _, _ = lm.fit_model(docs, size)
     assert (of[encoder.encode("zyxomma quorvat ")] != of[-1]).all()
     assert seen[-1] == sum(len(ids) // 2 + 1 for _, ids in coded)
+
+
+def test_lm_steps_use_one_array_for_gradients():
+    x, y, first, before, valid = small_blocks()
+    flat = lm.start_weights()
+    again = np.full(lm.SIZE, np.float32(7))
+    assert lm.gradients(flat, x, y, first, before, valid, out=again) is again
+    assert np.array_equal(again, lm.gradients(flat, x, y, first, before, valid))
+    before_ = again[: lm.OUTPUT].copy()
+    lm.gradients(flat, x[:1], y[:1], first[:1], before[:1], valid[:1], inputs=False, out=again)
+    assert np.array_equal(again[: lm.OUTPUT], before_)
+    assert np.array_equal(again[lm.OUTPUT :], lm.gradients(flat, x[:1], y[:1], first[:1], before[:1], valid[:1], inputs=False)[lm.OUTPUT :])
+
+
+def test_lm_large_weights_give_finite_scores():
+    x, y, first, _, _ = small_blocks()
+    assert np.isfinite(lm.log_probabilities(lm.prepared(lm.start_weights() * np.float32(20)), x, y, first)).all()
