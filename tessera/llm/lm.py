@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .packing import Encoder, default_tokenizer
 from .quality import fold
-from .shared import cut, lower_ascii
+from .shared import LOWER, UPPER, cut
 from .text import Hasher, slices
 
 FOLDS, HELD_OUT = 5, 1
@@ -48,8 +48,11 @@ SHARD = 4_000_000
 #: Rows that a set of weights travels in.
 PARTS = 64
 FREQUENT = 4_000_000
+#: Bytes of text encoded at a time.
+ENCODED = 1 << 22
 #: Tokens scored at a time.
 SCORED = 1 << 13
+_LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _FAR = np.float32(-1e9)
 _SCALE = np.float32(DIM**-0.5)
 SHAPES = {"q": (SLOTS, DIM), "kv": (SLOTS, 2 * DIM), "u": (SLOTS, HIDDEN), "o": (DIM, HIDDEN), "b": (HIDDEN,), "far": (2 * HALF,),
@@ -177,12 +180,12 @@ def gradients(flat: np.ndarray, x: np.ndarray, y: np.ndarray, first: np.ndarray,
     keys = np.concatenate([before, x], axis=1)
     q = w["q"].take(x, axis=0, mode="clip")
     q *= _SCALE
-    kv = w["kv"].take(keys, axis=0, mode="clip")
-    k, v = kv[:, :, :DIM], kv[:, :, DIM:]
+    kv = np.concatenate([w["kv"], np.ones((SLOTS, 1), np.float32)], axis=1).take(keys, axis=0, mode="clip")
+    k, v = kv[:, :, :DIM], kv[:, :, DIM : 2 * DIM]
     a = _weights(q @ k.transpose(0, 2, 1), w["far"], first)
-    o, total = a @ v, (a @ ones[: 2 * HALF])[:, :, None]
-    o /= total
-    o = o.reshape(-1, DIM)
+    o = a @ kv[:, :, DIM:]
+    total = o[:, :, DIM:]
+    o = (o[:, :, :DIM] / total).reshape(-1, DIM)
     t = y.reshape(-1)
     group = (t // GROUP).astype(np.int16)
     order = np.argsort(group, kind="stable")
@@ -444,6 +447,7 @@ def _trainer(shared):
     """Trains on each shard of a partition sorted by shard."""
     def run(batches):
         keep_memory()
+        _tools.cache_clear()
         of, start = shared.value
         dtype = stored(len(of))
         rows = ((shard, of[np.frombuffer(ids.as_buffer(), dtype)]) for b in batches for shard, ids in zip(b.column(0).to_pylist(), b.column(1), strict=True))
@@ -543,23 +547,25 @@ def _encoder(path: str, shared, divisor: float, dtype: str):
         encoder, hasher = _tools(path)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            texts = batch.column(2)
-            for lo, hi, data, offsets in slices(texts):
-                _, _, doc, h = hasher.words(data, offsets)
-                n = hi - lo
-                at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
-                often = known[at] == h if len(known) else np.zeros(len(h), bool)
-                value = np.log10((counts[at[often]] + 0.5) / divisor) if often.any() else np.zeros(0)
-                base = np.bincount(doc[often], value, minlength=n).astype(np.float64)
-                found = np.bincount(doc[often], minlength=n)
-                words = np.bincount(doc, minlength=n)
-                rare, rare_of = h[~often].view(np.int64), doc[~often]
-                edges = np.searchsorted(rare_of, np.arange(n + 1)).astype(np.int32)
-                ids = [encoder.encode(text or "").astype(dtype).tobytes() for text in texts.slice(lo, n).to_pylist()]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.arange(row, row + n)), batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(words.astype(np.int64) + 1), pa.array(found.astype(np.int64)),
-                    pa.array(base), pa.ListArray.from_arrays(pa.array(edges), pa.array(rare)), pa.array(ids, pa.binary())], names=["row", "id", "train", "n_tokens", "found", "base", "rare", "ids"])
-                row += n
+            for begin, end, data, offsets in slices(batch.column(2), ENCODED):
+                ids, ends = encoder.encode_all(data.tobytes().translate(_LOWERED), offsets)
+                coded = pa.Array.from_buffers(pa.binary(), end - begin, [None, pa.py_buffer((ends * np.dtype(dtype).itemsize).astype(np.int32)), pa.py_buffer(ids.astype(dtype))])
+                some = batch.slice(begin, end - begin)
+                for lo, hi, data, offsets in slices(some.column(2)):
+                    _, _, doc, h = hasher.words(data, offsets)
+                    n = hi - lo
+                    at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+                    often = known[at] == h if len(known) else np.zeros(len(h), bool)
+                    value = np.log10((counts[at[often]] + 0.5) / divisor) if often.any() else np.zeros(0)
+                    base = np.bincount(doc[often], value, minlength=n).astype(np.float64)
+                    found = np.bincount(doc[often], minlength=n)
+                    words = np.bincount(doc, minlength=n)
+                    rare, rare_of = h[~often].view(np.int64), doc[~often]
+                    edges = np.searchsorted(rare_of, np.arange(n + 1)).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.arange(row, row + n)), some.column(0).slice(lo, n), some.column(1).slice(lo, n), pa.array(words.astype(np.int64) + 1), pa.array(found.astype(np.int64)),
+                        pa.array(base), pa.ListArray.from_arrays(pa.array(edges), pa.array(rare)), coded.slice(lo, n)], names=["row", "id", "train", "n_tokens", "found", "base", "rare", "ids"])
+                    row += n
 
     return run
 
@@ -610,7 +616,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     spark, path = docs.sparkSession, tokenizer or default_tokenizer()
     size = _vocabulary(path)
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("train", fold("id", FOLDS) != HELD_OUT)
-    # The hashes fold A-Z themselves.
+    # The hashes and the encoder fold A-Z themselves.
     raw = named.where("train")
     vocabulary = cut(raw.select("text").mapInArrow(_word_counts, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
     ends = raw.select("id").count()
@@ -622,8 +628,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     order = np.argsort(h)
     shared = spark.sparkContext.broadcast((h[order], (often.column("c").to_numpy() if often.num_rows else np.zeros(0, np.int64))[order]))
     schema = f"row long, id {dict(named.dtypes)['id']}, train boolean, n_tokens long, found long, base double, rare array<long>, ids binary"
-    rows = named.select("id", "train", lower_ascii(F.coalesce("text", F.lit(""))).alias("text"))
-    encoded = cut(rows.mapInArrow(_encoder(path, shared, divisor, stored(size)), schema))
+    encoded = cut(named.select("id", "train", "text").mapInArrow(_encoder(path, shared, divisor, stored(size)), schema))
     model = spark.sparkContext.broadcast(fit_model(encoded.where("train").select("id", "ids"), size))
     scored = encoded.select("row", "id", "n_tokens", "found", "base", "ids").mapInArrow(_scorer(model), f"row long, id {dict(named.dtypes)['id']}, n_tokens long, found long, base double, score double")
     probability = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / divisor)

@@ -14,7 +14,10 @@ kept in a monotone queue; lengths that are powers of two need no padding and are
 from __future__ import annotations
 
 import re
+import unicodedata
+from array import array
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,11 @@ LONG_SPACE = 50_000
 _LONG_SPACE = re.compile(r"\s{%d}" % LONG_SPACE)
 #: How the tokenizer file splits texts before it merges bytes (fixed value, the byte-level pattern).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Classes of characters in PATTERN; UNSURE: what editions of Unicode don't agree on, or what is rare.
+LETTER, NUMBER, SPACE, OTHER, UNSURE = range(5)
+_SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+#: Pieces of text that an encoder remembers, and how many bytes one of them has at most.
+REMEMBERED, REMEMBERED_BYTES = 1 << 19, 64
 
 
 def default_tokenizer() -> str:
@@ -49,6 +57,49 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+@cache
+def character_classes() -> np.ndarray:
+    """The class of each code point; sure is what has had its category since Unicode 3.2."""
+    out = np.full(0x110000, UNSURE, np.uint8)
+    for i in range(0x10000):
+        now = unicodedata.category(chr(i))
+        if now == unicodedata.ucd_3_2_0.category(chr(i)) and now != "Cn":
+            out[i] = LETTER if now[0] == "L" else NUMBER if now[0] == "N" else OTHER
+    out[_SPACES] = SPACE
+    return out
+
+
+def piece_starts(points: np.ndarray, kinds: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """For each code point, whether one of PATTERN's matches starts there. kinds: their classes; begins: whether a text does."""
+    n = len(points)
+    space = kinds == SPACE
+    starts = begins.copy()
+    starts[1:] |= kinds[1:] != kinds[:-1]
+    runs = starts.copy()
+    # The last white space before something else is by itself or, if a blank, starts what follows.
+    inner = ~begins[1:]
+    last = space[:-1] & ~space[1:] & inner
+    starts[:-1] |= last
+    joined = np.zeros(n, bool)
+    joined[1:] = last & (points[:-1] == 32)
+    starts &= ~joined
+    for i in np.flatnonzero((points == 39) & runs & ~joined).tolist():
+        end = i + 1
+        while end < min(n, i + 3) and not begins[end]:
+            end += 1
+        after = points[i + 1 : end].tolist()
+        k = 1 if after[:1] and after[0] in _SHORT else 2 if tuple(after) in _LONGER else 0
+        if k:
+            starts[i + 1 : i + 1 + k] = False
+            if i + 1 + k < n:
+                starts[i + 1 + k] |= kinds[i + 1 + k] == LETTER
+    return starts
+
+
+#: What is a piece by itself after an apostrophe.
+_SHORT, _LONGER = set(b"sdmt"), {tuple(b"ll"), tuple(b"ve"), tuple(b"re")}
+
+
 class Encoder:
     """Ids of whole texts, those that the tokenizer file gives through the `tokenizers` library.
 
@@ -65,12 +116,81 @@ class Encoder:
         letters = byte_letters()
         ranks = {bytes(letters[c] for c in word): i for word, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if word not in self.special}
         self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.known: dict[bytes, bytes] = {}
 
     def encode(self, text: str) -> np.ndarray:
         if any(x in text for x in self.special) or (len(text) > LONG_SPACE and _LONG_SPACE.search(text)):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32, copy=False)
 
+    def encode_all(self, data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many texts in a row, the same as encode's, and where each text's begin, the end last. offsets: of each text in data (UTF-8).
+
+        Texts are cut as PATTERN does, all at once, and each distinct piece is merged once. Texts with characters whose
+        class isn't sure, special tokens or bytes that are not UTF-8 go through encode.
+        """
+        try:
+            points = np.frombuffer(data.decode().encode("utf-32-le"), np.uint32)
+        except UnicodeDecodeError:
+            return self._apart(data, offsets, np.ones(len(offsets) - 1, bool))
+        if not len(points):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        kinds = character_classes().take(points)
+        at = None  # the byte of each code point, if not its number
+        places = offsets
+        if len(points) < len(data):
+            at = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
+            places = np.searchsorted(at, offsets)
+        odd = np.zeros(len(offsets) - 1, bool)
+        odd[np.searchsorted(places, np.flatnonzero(kinds == UNSURE), side="right") - 1] = True
+        for x in self.special:
+            if x.encode() in data:
+                odd |= [x.encode() in data[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        if odd.any():
+            return self._apart(data, offsets, odd)
+        begins = np.zeros(len(points) + 1, bool)
+        begins[places] = True
+        starts = np.flatnonzero(piece_starts(points, kinds, begins[:-1]))
+        cuts = np.append(starts if at is None else at[starts], len(data))
+        pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
+        which = pieces.indices.to_numpy()
+        distinct = self._pieces(pieces.dictionary)
+        sizes = np.fromiter(map(len, distinct), np.int64, len(distinct)) // 4
+        flat = np.frombuffer(b"".join(distinct), np.uint32)
+        taken = sizes.take(which)
+        ends = np.concatenate([[0], np.cumsum(taken)])
+        at = (np.cumsum(sizes) - sizes).take(which)
+        at -= ends[:-1]
+        at = np.repeat(at, taken)
+        at += np.arange(len(at))
+        return flat.take(at), ends[np.searchsorted(cuts[:-1], offsets)]
+
+    def _pieces(self, pieces: pa.Array) -> list[bytes]:
+        """The ids of each piece, as bytes of uint32."""
+        _, edges, raw = pieces.buffers()
+        edges, raw = np.frombuffer(edges, np.int32)[pieces.offset : pieces.offset + len(pieces) + 1].tolist(), raw.to_pybytes()
+        known, merge, out = self.known, self.fast._core_bpe.encode_single_piece, []
+        for a, b in zip(edges, edges[1:], strict=False):
+            piece = raw[a:b]
+            ids = known.get(piece)
+            if ids is None:
+                ids = array("I", merge(piece)).tobytes()
+                if b - a <= REMEMBERED_BYTES:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    known[piece] = ids
+            out.append(ids)
+        return out
+
+    def _apart(self, data: bytes, offsets: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """encode_all, odd texts by encode."""
+        texts = [data[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        plain = [t for t, o in zip(texts, odd.tolist(), strict=True) if not o]
+        ids, edges = self.encode_all(b"".join(plain), np.cumsum([0, *map(len, plain)]))
+        others = iter(np.split(ids, edges[1:-1]))
+        each = [self.encode(t.decode(errors="replace")) if o else next(others) for t, o in zip(texts, odd.tolist(), strict=True)]
+        return np.concatenate([*each, np.zeros(0, np.uint32)]), np.cumsum([0, *map(len, each)])
+
     def sentence_ends(self) -> np.ndarray:
         """For each id, whether its text ends a sentence or line."""
         out = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)

@@ -8,6 +8,7 @@ import zlib
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parents[1]))
@@ -570,6 +571,49 @@ def test_lm_steps_use_one_array_for_gradients():
     assert np.array_equal(again[lm.OUTPUT :], lm.gradients(flat, x[:1], y[:1], first[:1], before[:1], valid[:1], inputs=False)[lm.OUTPUT :])
 
 
+def test_encoder_of_many_texts_gives_the_same_ids():
+    encoder, rng = packing.Encoder(packing.default_tokenizer()), np.random.default_rng(4)
+
+    def same_ids(texts):
+        data = [t.encode() for t in texts]
+        ids, ends = encoder.encode_all(b"".join(data), np.cumsum([0, *map(len, data)]))
+        assert len(ends) == len(texts) + 1 and ends[-1] == len(ids)
+        for i, t in enumerate(texts):
+            assert np.array_equal(ids[ends[i] : ends[i + 1]], encoder.encode(t)), t
+
+    some = ["'", "s", "ll", "l", "ve", "re", "t", "S", " ", "  ", "\n", "\t", "\u2003", "é", "漢", "1", "٣", "½", "!", "\u0301", "\0", "\x1c", "\x85", "😀", "<|endoftext|>"]
+    for most in (9, len(some) - 2, len(some)):
+        for n in (0, 1, 2, 5, 2000):
+            same_ids(["".join(rng.choice(some[:most], rng.integers(0, 14))) for _ in range(n)])
+    sure = [chr(i) for i in np.flatnonzero(packing.character_classes() != packing.UNSURE) if not 0xD800 <= i < 0xE000]
+    assert len(sure) > 50_000
+    same_ids([f"a{c}1 {c}{c}! \n{c}b'{c}" for c in sure])
+    same_ids([" " * 60_000 + "a", "ab" * 30_000, "'s" * 20_000])
+    ids, ends = encoder.encode_all(b"good \xff and", np.array([0, 5, 10]))
+    assert np.array_equal(ids[: ends[1]], encoder.encode("good ")) and np.array_equal(ids[ends[1] :], encoder.encode("\ufffd and"))
+
+
+def test_lm_merges_each_piece_once(monkeypatch):
+    class Shared:
+        value = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    class Context:
+        def partitionId(self):
+            return 3
+
+    path, texts = packing.default_tokenizer(), ["The cat's hat\n", None, "", "the CAT's hat. " * 500, "é ß"]
+    want = [packing.Encoder(path).encode((t or "").translate(LOWER)).tolist() for t in texts]
+    monkeypatch.setattr(lm.TaskContext, "get", lambda: Context())
+    monkeypatch.setattr(packing.Encoder, "encode", None)  # text by text
+    lm._tools.cache_clear()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array([True] * 5), pa.array(texts)], names=["id", "train", "text"])
+    out = pa.Table.from_batches(lm._encoder(path, Shared, 1.0, "<u2")([batch.slice(0, 3), batch.slice(3)]))
+    assert [np.frombuffer(i, "<u2").tolist() for i in out.column("ids").to_pylist()] == want
+    assert out.column("row").to_pylist() == [(3 << 40) + i for i in range(5)] and out.column("id").to_pylist() == list(range(5))
+    assert sorted(lm._tools(path)[0].known) == sorted([b"the", b" cat", b"'s", b" hat", b"\n", b".", b" the", b" ", "é".encode(), " ß".encode()])
+    lm._tools.cache_clear()
+
+
 def test_lm_large_weights_give_finite_scores():
     x, y, first, _, _ = small_blocks()
     assert np.isfinite(lm.log_probabilities(lm.prepared(lm.start_weights() * np.float32(20)), x, y, first)).all()
